@@ -6,13 +6,14 @@ smallest doc_id it reaches over such links.
 
 1. One scan gives each text its set size and a 64-bit digest of its set.  Equal
    sets are one *class*; all later steps work on classes.
-2. Lists of shingles are ordered from rare to frequent.  Frequencies come from a
-   table of the (at most ``HOT_TOKENS``) most repeated shingles; any order is
-   correct, a good one keeps common passages out of the short lists.
-3. The ``|A| - ceil(percent * |A|) + 1`` rarest shingles of a class are its short
-   lists: linked classes share one of them.  The lists are dealt by shingle,
-   frequent ones salted, and give star edges; the components of those edges are
-   *blocks* that hold every link.
+2. The ``n - ceil(percent * n) + 1 + n // SLACK`` smallest shingle hashes of a class
+   are dealt by shingle into inverted lists; the most repeated shingles (at most
+   ``HOT_TOKENS`` of them) are salted.  A class linked with any other shares at
+   least ``least_shared(n)`` of these with it, so a class that shares fewer with
+   all others together is done.
+3. Of the shared ones, the rarest ``u - least_shared(n) + 1`` are a class's short
+   lists: linked classes have one of them in common.  They give star edges; the
+   components of those edges are *blocks* that hold every link.
 4. Each block is searched exactly: DivideSkip heap-merges a query's short
    inverted lists, binary-probes the long ones, and keeps classes that reach the
    overlap.  Blocks over ``BLOCK_SHINGLES`` shingles are cut into parts, and
@@ -42,9 +43,12 @@ from barloom.llm.shared import columns, components, keep, partitions
 WIDTH = 5
 PERCENT = 80
 HOT_TOKENS = 1 << 16
-"""Most shingles in the frequency table (12 bytes each in every task)."""
+"""Most shingles in the table of frequent ones (8 bytes each in every task)."""
 HOT_LEAST = 8
 SALTS = 32
+SLACK = 10
+"""A class's lists are longer than the least by this part of its size, so that chance overlaps show."""
+_FREQUENT = 1 << 40
 """Parts into which the list of a frequent shingle is dealt."""
 BLOCK_SHINGLES = 1 << 21
 """Shingles that one search holds of each side (8 bytes each)."""
@@ -75,7 +79,18 @@ def sets(col: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+    return min(n, n - (percent * n + 99) // 100 + 1 + n // SLACK)
+
+
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """A lower bound of the prefix hashes that a class of ``n`` shingles shares with a linked one.
+
+    Let the class with the smaller prefix bound be x and its partner y.  All of
+    x's prefix that lies in y lies in y's prefix, and x has at most
+    ``n_x - ceil(percent * max(n_x, n_y))`` shingles that y lacks; so x shares
+    ``1 + n_x // SLACK`` or more.  Seen from y, rounding costs 2 at most.
+    """
+    return np.maximum(1, n // SLACK - 1)
 
 
 class _Repeats:
@@ -126,15 +141,21 @@ def _profile(width: int):
     return run
 
 
-def _short_lists(width: int, percent: int, hot: np.ndarray, uses: np.ndarray):
-    """(token, salt, sig): the rarest shingles of each class, once in a task."""
+def _prefixes(width: int, percent: int, hot: np.ndarray):
+    """(token, salt, sig, n): the smallest shingle hashes of each class, once in a task."""
 
     def run(batches):
         seen: set[int] = set()
-        tokens, salts, sigs, size = [], [], [], 0
+        held, size = [], 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(salts)), pa.array(np.concatenate(sigs))], names=["token", "salt", "sig"])
+            token, sig, n = (np.concatenate([np.full(len(h[0]), h[k]) if k else h[0] for h in held]) for k in range(3))
+            salt = np.zeros(len(token), np.int32)
+            if len(hot):
+                at = np.searchsorted(hot, token)
+                at[at == len(hot)] = 0
+                salt = np.where(hot[at] == token, 1 + sig % SALTS, 0).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(salt), pa.array(sig), pa.array(n.astype(np.int32))], names=["token", "salt", "sig", "n"])
 
         for b in batches:
             for s in sets(b.column("text"), width):
@@ -142,30 +163,76 @@ def _short_lists(width: int, percent: int, hot: np.ndarray, uses: np.ndarray):
                     continue
                 if len(seen) < 1 << 20:  # only saves work: repeats are dropped after the shuffle too
                     seen.add(sig)
-                k = prefix_length(len(s), percent)
-                freq = np.zeros(len(s), np.int64)
-                if len(hot):
-                    at = np.searchsorted(hot, s)
-                    at[at == len(hot)] = 0
-                    freq = np.where(hot[at] == s, uses[at], 0)
-                if freq.any():
-                    pick = np.lexsort((s, freq))[:k]
-                    tokens.append(s[pick])
-                    salts.append(np.where(freq[pick] > 0, 1 + sig % SALTS, 0).astype(np.int32))
-                else:
-                    tokens.append(s[:k])
-                    salts.append(np.zeros(k, np.int32))
-                sigs.append(np.full(k, sig))
-                size += k
+                held.append((s[: prefix_length(len(s), percent)], sig, len(s)))
+                size += len(held[-1][0])
                 if size >= 1 << 17:
                     yield out()
-                    tokens, salts, sigs, size = [], [], [], 0
+                    held, size = [], 0
         if size:
             yield out()
 
     return run
 
 
+def _runs(batches, keys: tuple[str, ...]):
+    """Arrow tables of whole runs of equal ``keys`` (sorted), with each row's run length and place in it."""
+    held: list[pa.RecordBatch] = []
+
+    def whole(parts, last):
+        t = pa.Table.from_batches(parts).combine_chunks()
+        v = [t.column(k).to_numpy() for k in keys]
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in v])
+        first = np.flatnonzero(new)
+        upto = t.num_rows if last else int(first[-1])
+        length = np.diff(np.append(first, t.num_rows))
+        rank = np.arange(t.num_rows) - np.repeat(first, length)
+        return t.slice(0, upto), np.repeat(length, length)[:upto], rank[:upto], t.slice(upto)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if len(held) > 1 and all(b.column(k)[b.num_rows - 1] == held[0].column(k)[0] for k in keys):
+            continue  # one run goes on over whole batches
+        table, length, rank, rest = whole(held, False)
+        held = rest.to_batches()
+        yield table, length, rank
+    if held:
+        yield whole(held, True)[:3]
+
+
+def _shared_only(batches):
+    """(sig, n, token, size) of the entries whose list has two classes or more."""
+
+    def distinct():
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            token, salt, sig = (b.column(k).to_numpy() for k in ("token", "salt", "sig"))
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (sig[1:] != sig[:-1])
+            new[0] = (token[0], salt[0], sig[0]) != last
+            last = token[-1], salt[-1], sig[-1]
+            yield b.filter(pa.array(new))
+
+    for t, length, _ in _runs(distinct(), ("token", "salt")):
+        size = np.where(t.column("salt").to_numpy() > 0, _FREQUENT, length)
+        at = pa.array(size > 1)
+        yield from pa.table([t.column("sig"), t.column("n"), t.column("token"), pa.array(size)], names=["sig", "n", "token", "size"]).filter(at).to_batches()
+
+
+def _rarest(batches):
+    """(token, salt, sig): of a class's shared entries, sorted by list size, as many as it needs."""
+    for t, length, rank in _runs(batches, ("sig",)):
+        least = least_shared(t.column("n").to_numpy().astype(np.int64))
+        sig, often = t.column("sig").to_numpy(), t.column("size").to_numpy() == _FREQUENT
+        salt = np.where(often, 1 + sig % SALTS, 0).astype(np.int32)
+        at = pa.array(rank < length - least + 1)
+        yield from pa.table([t.column("token"), pa.array(salt), t.column("sig")], names=["token", "salt", "sig"]).filter(at).to_batches()
+
+
 def _stars(batches):
     """Star edges (a, b) within runs of equal (token, salt); salted runs also give (centre, null, token)."""
     last = None  # token, salt, centre
@@ -338,9 +405,12 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bloc
         kept.where("token is not null").groupBy("token").agg(F.sum("uses").alias("uses")).where(F.col("uses") >= HOT_LEAST)
         .orderBy(F.desc("uses"), "token").limit(HOT_TOKENS).toArrow()
     )
-    hot, uses = top["token"].to_numpy().astype(np.int64).view(np.uint64), top["uses"].to_numpy()
-    by = np.argsort(hot)
-    entries = docs.select("text").mapInArrow(_short_lists(width, percent, hot[by], uses[by]), "token long, salt int, sig long")
+    hot = np.sort(top["token"].to_numpy().astype(np.int64).view(np.uint64))
+    parts = partitions(docs.sparkSession)
+    entries = docs.select("text").mapInArrow(_prefixes(width, percent, hot), "token long, salt int, sig long, n int")
+    listed = entries.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "sig")
+    shared = listed.mapInArrow(_shared_only, "sig long, n int, token long, size long")
+    entries = shared.repartition(parts, "sig").sortWithinPartitions("sig", "size", "token").mapInArrow(_rarest, "token long, salt int, sig long")
     return linked_groups(docs, profile, entries, width, percent, block_shingles)
 
 
