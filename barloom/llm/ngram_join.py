@@ -50,9 +50,12 @@ SLACK = 10
 """A class's lists are longer than the least by this part of its size, so that chance overlaps show."""
 _FREQUENT = 1 << 40
 """Parts into which the list of a frequent shingle is dealt."""
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 19
 """Shingles that one search holds of each side (8 bytes each)."""
 
+FILTER_BITS = 1 << 26
+"""Most bits of the filter that tells which texts may be in a block (8 MB in every task)."""
+
 _MARK = np.uint64(0xC0FFEE1234567891)
 
 
@@ -383,15 +386,28 @@ def _block_links(percent: int, most: int):
     return run
 
 
-def _shingled(width: int):
-    """The set of each class that is in a block, where the text has that digest."""
+def _member_filter(members: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter (one hash) of the members' ids: a bit for each id's hash, at most ``FILTER_BITS``."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * members.count()).bit_length()))
+    h = members.select(F.pmod(F.xxhash64("rep"), F.lit(bits)).alias("h"))
+    words = h.groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy().astype(np.int64)] = words["bits"].to_numpy()
+    return out.view(np.uint64), bits
+
+
+def _shingled(width: int, likely: np.ndarray):
+    """The digest and set of each text whose id may be a member's."""
 
     def run(batches):
         for b in batches:
-            sig = b.column("sig").to_pylist()
-            raw = [s.tobytes() if set_digest(s) == sig[k] else None for k, s in enumerate(sets(b.column("text"), width))]
-            out = pa.RecordBatch.from_arrays([b.column("block"), b.column("parts"), b.column("sig"), pa.array(raw, pa.binary())], names=["block", "parts", "sig", "shingles"])
-            yield out.filter(pa.array([r is not None for r in raw]))
+            h = b.column("h").to_numpy()
+            at = np.flatnonzero(likely[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1))
+            b = b.take(pa.array(at))
+            every = list(sets(b.column("text"), width))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array([set_digest(s) for s in every], pa.int64()), pa.array([s.tobytes() for s in every], pa.binary())], names=["doc_id", "sig", "shingles"]
+            )
 
     return run
 
@@ -422,9 +438,11 @@ def linked_groups(docs: DataFrame, profile: DataFrame, entries: DataFrame, width
     blocks = components(edges).withColumnsRenamed({"id": "sig", "component": "block"})
     members = keep(blocks.join(classes, "sig"), "members")
     sizes = members.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("parts"))
-    members = members.join(sizes, "block").select("block", "parts", "sig", "rep")
-    found = docs.join(members, docs["doc_id"].eqNullSafe(members["rep"])).select("block", "parts", "sig", "text")
-    shingled = found.mapInArrow(_shingled(width), "block long, parts int, sig long, shingles binary")
+    members = keep(members.join(sizes, "block").select("block", "parts", "sig", "rep"), "sized")
+    likely, bits = _member_filter(members)
+    hashed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h"))
+    found = hashed.mapInArrow(_shingled(width, likely), "doc_id long, sig long, shingles binary").withColumnRenamed("sig", "digest")
+    shingled = found.join(members, found["doc_id"].eqNullSafe(members["rep"]) & (found["digest"] == members["sig"])).select("block", "parts", "sig", "shingles")
     own = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
     tiled = shingled.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiled = tiled.select(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "sig", "shingles")
