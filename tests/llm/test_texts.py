@@ -108,7 +108,7 @@ def test_wrapped_secrets(first, second):
 
 
 def test_spans_map_to_the_encoded_piece():
-    inner = "x" * 6 + "token=abcdefghijkl" + "y y" * 4
+    inner = "x" * 6 + "token=abcdefghijkl" + " yy" * 4
     text = "pre " + WRAPS["base64"](inner)
     (span,) = [s for s in secrets.all_spans(text, [])[0] if s[1] == 0]
     assert span == (4 + 8, 0, 4 + 32)
