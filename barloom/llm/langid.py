@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.shared import columns
+from barloom.llm.shared import columns, keep
 
 PROFILE = 300
 PER_LANGUAGE = 400
 """Labelled documents that a language's profile is fitted on, at most."""
+BROADCAST_ROWS = 1 << 18
+"""Chosen rows up to which they are broadcast to the texts; more (of very many languages) are joined by a shuffle."""
 REJECT_BELOW = 0.25
 """Scores below this are taken for no language by :func:`keep_known`."""
 UNKNOWN = "und"
@@ -76,7 +78,9 @@ def _learn(docs: DataFrame, per_language: int) -> dict[str, np.ndarray]:
     labelled = docs.where(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull() & (remainder != 2))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
-    texts = labelled.join(chosen.select("doc_id", "lang").distinct(), ["doc_id", "lang"]).select("lang", "text")
+    chosen = keep(chosen.select("doc_id", "lang").distinct(), "learned-from")
+    small = chosen.count() <= BROADCAST_ROWS  # it has per_language rows for each language at most
+    texts = labelled.join(F.broadcast(chosen) if small else chosen, ["doc_id", "lang"]).select("lang", "text")
 
     def count(batches):
         sums: dict[str, dict[int, int]] = {}
@@ -116,8 +120,8 @@ def _predict(profiles: dict[str, np.ndarray]):
     def run(batches):
         for b in batches:
             lang, score = [], []
-            for text in b.column("text").to_pylist():
-                g, n = grams(text or "")
+            for text in b.column("text"):
+                g, n = grams(text.as_py() or "")
                 if not len(g) or not names:
                     lang.append(UNKNOWN)
                     score.append(0.0)
