@@ -73,29 +73,68 @@ def segment_keys(line: Column, n: Column, threshold: int) -> tuple[Column, Colum
             # A segment with i before it moves by i at most, seen from the left, and by what is left of the threshold, seen from the right.
             low, high = max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i))
             probe += [_key(line, other, i, start + move, size) for move in range(low, high + 1)]
-    return F.array(*index), F.array_distinct(F.array(*probe))
+    return F.array(*index), F.array(*probe)
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for the row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _trimmed(a: Column, b: Column) -> Column:
+    """The two strings without the prefix and then the suffix that they share, found by doubling steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(27))])
+
+    def common(t: Column, most: Column, piece) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= most) & (piece("a", "m", n, step) == piece("b", "n", n, step)), n + step).otherwise(n))
+
+    def suffix(t: Column) -> Column:
+        return common(t, F.least(t["m"], t["n"]) - t["p"], lambda c, n, done, step: F.substring(t[c], t[n] - done - step + 1, step))
+
+    def prefix(t: Column) -> Column:
+        return common(t, F.least(t["m"], t["n"]), lambda c, n, done, step: F.substring(t[c], done + 1, step))
+
+    whole = F.struct(a.alias("a"), b.alias("b"), F.char_length(a).alias("m"), F.char_length(b).alias("n"))
+    headless = lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), t["m"].alias("m"), t["n"].alias("n"), prefix(t).alias("p"))
+    both = lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), t["m"].alias("m"), t["n"].alias("n"), t["p"].alias("p"), suffix(t).alias("q"))
+    cut = lambda t, c, n: F.substring(t[c], t["p"] + 1, t[n] - t["p"] - t["q"])
+    return _let(_let(_let(whole, headless), both), lambda t: F.struct(cut(t, "a", "m").alias("a"), cut(t, "b", "n").alias("b")))
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
     """Whether the edit distance of two strings is at most ``threshold`` (31 at most).
 
-    Bit-parallel in a band: bit r of the state stands for row ``j - threshold + r`` at
-    column j, so the word moves down the diagonal by one row a column.  The score
-    follows the band's last row to the text's end, and then goes up the last column.
+    What the strings share at either end is cut off first.  Then bit-parallel in
+    a band: bit r of the state stands for row ``j - threshold + r`` at column j, so the
+    word moves down the diagonal by one row a column.  The score follows the
+    band's last row to the end, and then goes up the last column.
     """
+    letters = lambda t: F.struct(F.split(t["a"], "").alias("x"), F.split(t["b"], "").alias("y"), F.char_length(t["a"]).alias("m"), F.char_length(t["b"]).alias("n"))
+    close = lambda t: F.abs(t["m"] - t["n"]) <= threshold
+    sizes = F.abs(F.char_length(a) - F.char_length(b)) <= threshold
+    return sizes & _let(_let(_trimmed(a, b), letters), lambda t: close(t) & _banded(t, threshold))
+
+
+def _banded(t: Column, threshold: int) -> Column:
+    """The banded distance of the letters ``x`` (m of them) and ``y`` (n)."""
     width = 2 * threshold + 1
     full = (1 << width) - 1
-    x, y = F.split(a, ""), F.split(b, "")
-    m, n = F.char_length(a), F.char_length(b)
+    m, n = t["m"], t["n"]
+    let = _let
 
     def column(state: Column, j: Column) -> Column:
-        """One column (j from 1): equality bits, then vertical and horizontal differences."""
-        c = F.get(y, j - 1)
-        equal = reduce(
-            lambda p, q: p.bitwiseOR(q),
-            [F.when(F.get(x, F.when(j - 1 - threshold + r >= 0, j - 1 - threshold + r)) == c, F.lit(1 << r)).otherwise(F.lit(0)).cast("long") for r in range(width)],
-        )
-        return F.struct(state["vp"].alias("vp"), state["vn"].alias("vn"), equal.alias("eq"), state["score"].alias("score"))
+        """One column (j from 1): equality bits beside the vertical differences."""
+
+        def bits(v: Column) -> Column:
+            c = v["c"]
+            out = []
+            for k in range(width):
+                at = j - 1 - threshold + k
+                same = F.coalesce(F.get(t["x"], at) == c, F.lit(False))  # null outside the string
+                out.append(F.when(same, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+            return F.struct(state["vp"].alias("vp"), state["vn"].alias("vn"), reduce(lambda p, q: p.bitwiseOR(q), out).alias("eq"), state["score"].alias("score"))
+
+        return let(F.struct(F.get(t["y"], j - 1).alias("c")), bits)
 
     def diagonal(s: Column) -> Column:
         vp, vn, eq = s["vp"], s["vn"], s["eq"]
@@ -111,10 +150,6 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         miss = F.when(d0.bitwiseAND(F.lit(1 << (width - 1))) == 0, 1).otherwise(0)
         return F.struct(vp.alias("vp"), vn.alias("vn"), (s["score"] + miss).alias("score"))
 
-    def let(value: Column, body) -> Column:
-        """``body(value)`` with the value computed once."""
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
     def step(state: Column, j: Column) -> Column:
         def with_diagonal(s: Column) -> Column:
             return let(F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["score"].alias("score"), diagonal(s).alias("d0")), moved)
@@ -137,17 +172,17 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         )
         return up <= threshold
 
-    return (F.abs(m - n) <= threshold) & let(last, finish)
+    return let(last, finish)
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc_id, t, pos, h; h null for blank lines), and (h, class) of the lines alike to another line."""
     docs = columns(docs, doc_id="long", text="string")
-    solid = F.length(F.trim(F.translate("line", "\t\r\f\x0b", "    "))) > 0
+    solid = F.col("line").rlike("[^ \t\r\f\x0b]")
     occurrences = keep(_lines(docs).select("doc_id", "t", "pos", F.when(solid, F.xxhash64("line")).alias("h")), "lines")
-    n = F.char_length("line")
-    index, probe = segment_keys(F.col("line"), n, threshold)
-    keyed = _lines(docs).where(solid & (n >= min_chars)).select(F.xxhash64("line").alias("h"), index.alias("index"), F.when(n - threshold >= 0, probe).alias("probe"))
+    index, probe = segment_keys(F.col("line"), F.col("n"), threshold)
+    long = _lines(docs).where(solid).select("line", F.char_length("line").alias("n")).where(F.col("n") >= max(min_chars, 2 * threshold + 1))
+    keyed = long.select(F.xxhash64("line").alias("h"), index.alias("index"), probe.alias("probe"))
     per_line = keep(keyed.groupBy("h").agg(F.first("index").alias("index"), F.first("probe").alias("probe")), "segments")
     left = per_line.select(F.col("h").alias("a"), F.explode("index").alias("key"))
     right = per_line.select(F.col("h").alias("b"), F.explode("probe").alias("key"))
