@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from barloom.plans.registry import ORACLE, QUERIES
+
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("indicators",)
+
+for _name in MODULES:
+    importlib.import_module(f"barloom.plans.{_name}_queries")
+
+__all__ = ["ORACLE", "QUERIES"]
