@@ -14,11 +14,15 @@ Only DataFrame and SQL functions are used:
    multi-match-aware windows of a segment-partition join.  A key holds the
    indexed line's length and the segment's number.  They are aggregated by line
    before the shuffle, so a line that fills the corpus is sent once a task.
-2. Index and probe keys are joined; distinct pairs are the candidates.
+2. Index and probe keys are joined where the counts of eight letters allow the
+   distance (an edit changes two counts by one at most); distinct pairs are the
+   candidates.  Their texts are fetched behind a broadcast bit table of the hashes
+   wanted, of at most ``FILTER_BITS`` bits, so that few lines are shuffled.
 3. Candidates are verified by a banded bit-parallel edit distance: the band of
    ``2 * threshold + 1`` rows is one word, moved along the diagonal.
 4. Components of the verified pairs are the classes.  A bit mask of each
-   document's surviving lines goes back to it.
+   document's surviving lines goes back to it; documents that lose no line are
+   told by another such table and stay where they are.
 
 Defined cases: a null text stays null and has no lines; an empty text is one
 blank line; rows of equal doc_id and text are the same document, so they lose the
@@ -38,6 +42,10 @@ from barloom.llm.shared import columns, components, keep
 
 THRESHOLD = 2
 MIN_CHARS = 20
+FILTER_BITS = 1 << 24
+"""Most bits of a broadcast table (a row of 16 bytes for each 64)."""
+# Fixed value: frequent letters, whose counts tell lines apart.
+LETTERS = "eainorst"
 
 
 def _shift(value: Column, by: Column) -> Column:
@@ -76,6 +84,37 @@ def segment_keys(line: Column, n: Column, threshold: int) -> tuple[Column, Colum
     return F.array(*index), F.array(*probe)
 
 
+def letter_counts(line: Column) -> Column:
+    """The counts of eight letters, four bits each."""
+    size = F.octet_length(line)
+    packed = [F.shiftleft((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("long"), 4 * k) for k, c in enumerate(LETTERS)]
+    return reduce(lambda a, b: a.bitwiseOR(b), packed)
+
+
+def counts_within(a: Column, b: Column, threshold: int) -> Column:
+    """Whether packed counts differ by no more than ``threshold`` edits can make them (counts are modulo 16)."""
+    nibble = lambda v, k: F.shiftright(v, 4 * k).bitwiseAND(F.lit(15)) if k else v.bitwiseAND(F.lit(15))
+    apart = [(nibble(a, k) - nibble(b, k)).bitwiseAND(F.lit(15)) for k in range(len(LETTERS))]
+    return reduce(lambda p, q: p + q, [F.least(d, 16 - d) for d in apart]) <= 2 * threshold
+
+
+def _bit_table(hashes: DataFrame, h: str = "h") -> tuple[DataFrame, int]:
+    """(word, bits): a bit for each hash, modulo the number of bits."""
+    size = min(FILTER_BITS, max(1 << 16, 1 << (16 * hashes.count()).bit_length()))
+    at = F.pmod(F.col(h), F.lit(size))
+    words = hashes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    return keep(words, "bit-table"), size
+
+
+def _marked(df: DataFrame, table: DataFrame, size: int, h: str, how: str = "inner") -> DataFrame:
+    """Rows whose hash may be in the table (or, with ``left``, all rows and a column ``likely``)."""
+    at = F.pmod(F.col(h), F.lit(size))
+    found = df.withColumn("_at", at).join(F.broadcast(table), F.shiftright("_at", 6) == F.col("word"), how)
+    likely = F.coalesce(_shift(F.col("bits"), F.col("_at").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    found = found.withColumn("likely", likely).drop("_at", "word", "bits")
+    return found if how == "left" else found.where("likely").drop("likely")
+
+
 def _let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once for the row, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -182,11 +221,12 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     occurrences = keep(_lines(docs).select("doc_id", "t", "pos", F.when(solid, F.xxhash64("line")).alias("h")), "lines")
     index, probe = segment_keys(F.col("line"), F.col("n"), threshold)
     long = _lines(docs).where(solid).select("line", F.char_length("line").alias("n")).where(F.col("n") >= max(min_chars, 2 * threshold + 1))
-    keyed = long.select(F.xxhash64("line").alias("h"), index.alias("index"), probe.alias("probe"))
-    per_line = keep(keyed.groupBy("h").agg(F.first("index").alias("index"), F.first("probe").alias("probe")), "segments")
-    left = per_line.select(F.col("h").alias("a"), F.explode("index").alias("key"))
-    right = per_line.select(F.col("h").alias("b"), F.explode("probe").alias("key"))
-    pairs = left.join(right, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keyed = long.select(F.xxhash64("line").alias("h"), letter_counts(F.col("line")).alias("letters"), index.alias("index"), probe.alias("probe"))
+    per_line = keep(keyed.groupBy("h").agg(F.first("letters").alias("letters"), F.first("index").alias("index"), F.first("probe").alias("probe")), "segments")
+    left = per_line.select(F.col("h").alias("a"), F.col("letters").alias("letters_a"), F.explode("index").alias("key"))
+    right = per_line.select(F.col("h").alias("b"), F.col("letters").alias("letters_b"), F.explode("probe").alias("key"))
+    may = (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & counts_within(F.col("letters_a"), F.col("letters_b"), threshold)
+    pairs = left.join(right, may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = keep(pairs, "pairs")
     texts = _texts(docs, pairs)
     with_a = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
@@ -198,7 +238,8 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(h, line) of the lines in ``pairs``, once each."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    lines = _lines(docs).select(F.xxhash64("line").alias("h"), "line")
+    wanted = keep(wanted, "wanted")
+    lines = _marked(_lines(docs).select(F.xxhash64("line").alias("h"), "line"), *_bit_table(wanted), "h")
     return keep(lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
 
 
@@ -226,26 +267,36 @@ def _cut(text: Column, mask: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: stays(i)), "\n")
 
 
-def dedup_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Rows (doc_id, n_lines, n_kept, text_sha256), one for each row of ``docs``: of the text that is left."""
-    return _joined(columns(docs, doc_id="long", text="string"), threshold, min_chars).select(
-        "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
-    )
+def _applied(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """``docs`` with the surviving lines as ``text``, and how many lines there were and are (``\u0001n``, ``\u0001kept``).
 
+    Only documents that may lose a line meet their marks; the others stay as they are.
+    """
+    n, kept, mask, key = "\u0001n", "\u0001kept", "\u0001mask", "\u0001key"
+    marks = surviving(columns(docs, doc_id="long", text="string"), threshold, min_chars).where("n_kept < n_lines")
+    marks = marks.select(F.xxhash64("doc_id", "t").alias(key), F.col("doc_id").alias("\u0001id"), F.col("t").alias("\u0001t"), F.col("n_lines").alias(n), F.col("n_kept").alias(kept), F.col("mask").alias(mask))
+    marks = keep(marks, "marks")
+    table, size = _bit_table(marks, key)
+    keyed = docs.withColumn("\u0001text", F.xxhash64(docs["text"].cast("string"))).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("\u0001text")))
+    told = _marked(keyed, table, size, key, "left")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    same = told.where("not likely or text is null").select(*names, count.alias(n), count.alias(kept))
+    maybe = told.where("likely and text is not null").drop("likely").withColumnRenamed(key, "\u0001own")
+    hit = maybe.join(marks, (F.col("\u0001own") == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col("\u0001id")) & (F.col("\u0001text") == F.col("\u0001t")), "left")
+    cut = F.when(F.col(mask).isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col(mask)))
+    changed = hit.select(*[cut.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(n, count).cast("long").alias(n), F.coalesce(kept, count).cast("long").alias(kept))
+    return same.unionByName(changed)
 
-def _joined(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    marks = keep(surviving(docs.select("doc_id", "text"), threshold, min_chars), "marks")
-    marks = marks.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "n_lines", "n_kept", "mask")
-    found = docs.join(marks, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left")
-    return found.withColumn("text", F.when(F.col("n_kept") == F.col("n_lines"), F.col("text")).otherwise(_cut(F.col("text"), F.col("mask"))))
+
+def dedup_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Rows (doc_id, n_lines, n_kept, text_sha256), one for each row of ``docs``: of the text that is left."""
+    out = _applied(columns(docs, doc_id="long", text="string"), threshold, min_chars)
+    return out.select("doc_id", F.col("\u0001n").alias("n_lines"), F.col("\u0001kept").alias("n_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with repeated lines cut from ``text``; documents left without any line but blank ones go."""
-    marks = keep(surviving(columns(docs, doc_id="long", text="string"), threshold, min_chars), "marks")
-    marks = marks.select(F.col("doc_id").alias("\u0001id"), F.col("t").alias("\u0001t"), F.col("n_lines").alias("\u0001n"), F.col("n_kept").alias("\u0001kept"), F.col("mask").alias("\u0001mask"))
-    found = docs.join(marks, docs["doc_id"].cast("long").eqNullSafe(F.col("\u0001id")) & (F.xxhash64(docs["text"]) == F.col("\u0001t")), "left")
-    cut = F.when(F.col("\u0001kept") < F.col("\u0001n"), _cut(docs["text"], F.col("\u0001mask"))).otherwise(docs["text"])
-    out = found.select(*[cut.alias("text") if c == "text" else docs[c] for c in docs.columns], (F.col("\u0001kept") < F.col("\u0001n")).alias("\u0001less"))
-    empty = F.length(F.trim(F.translate("text", "\n\t\r\f\x0b", "     "))) == 0
-    return out.where(~F.coalesce(F.col("\u0001less") & empty, F.lit(False))).drop("\u0001less")
+    """``docs`` with repeated lines cut from ``text``; documents that are left without any line but blank ones go."""
+    out = _applied(docs, threshold, min_chars)
+    gone = (F.col("\u0001kept") < F.col("\u0001n")) & ~F.col("text").rlike("[^ \n\t\r\f\x0b]")
+    return out.where(~F.coalesce(gone, F.lit(False))).drop("\u0001n", "\u0001kept")
