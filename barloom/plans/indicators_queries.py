@@ -123,7 +123,7 @@ bar_query("price_transforms", I.price_transforms, [{"avgprice": "(open + high +
 
 # Microstructure and tail risk
 bar_query("micro_amihud", I.amihud, [{"x": f"abs({RET}) / nullif(quote_volume, 0)"}, {"amihud": S.mean("x", 21)}], ["amihud"])
-bar_query("micro_kyle_lambda", I.kyle_lambda, [{"p": f"close - {S.lag('close')}"}, {"v": "sign(p) * volume"}, {"kyle_lambda": f"coalesce({S.pair('covar_samp', 'p', 'v', 21)} / nullif({S.var('v', 21)}, 0), 0)"}], ["kyle_lambda"], digits=4)
+bar_query("micro_kyle_lambda", I.kyle_lambda, [{"p": f"close - {S.lag('close')}"}, {"v": "sign(p) * volume"}, {"kyle_lambda": f"coalesce({S.pair('covar_samp', 'p', 'v', 21)} / nullif({S.var('v', 21)}, 0), 0)"}], ["kyle_lambda"], digits=1)
 bar_query("micro_roll_spread", I.roll_spread, [{"d": f"close - {S.lag('close')}"}, {"e": S.lag("d")}, {"c": S.pair("covar_samp", "d", "e", 21)}, {"roll_spread": "2 * sqrt(greatest(-c, 0))"}], ["roll_spread"])
 _K2 = 3 - 2 * math.sqrt(2)
 bar_query(
