@@ -79,11 +79,18 @@ def zscore(c: C, n: int) -> Column:
     return F.when(s > 0, (col(c) - mean(c, n)) / s)
 
 
-def corr(a: C, b: C, n: int) -> Column:
+def pearson(a: C, b: C, over: WindowSpec | None = None) -> Column:
+    """Correlation over rows that have both, null for constants (an aggregate, or over a window)."""
     a, b = col(a), col(b)
-    both = F.when(a.isNotNull() & b.isNotNull(), a)
-    steady = (F.stddev_pop(a).over(frame(n)) <= 1e-12) | (F.stddev_pop(b).over(frame(n)) <= 1e-12)
-    return full(both, n, F.when(~steady, F.corr(a, b).over(frame(n))))
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    on = (lambda e: e) if over is None else (lambda e: e.over(over))
+    spread = on(F.stddev_pop(x)) * on(F.stddev_pop(y))
+    return on(F.covar_pop(a, b)) / F.when(spread > 1e-14, spread)
+
+
+def corr(a: C, b: C, n: int) -> Column:
+    both = F.when(col(a).isNotNull() & col(b).isNotNull(), col(a))
+    return full(both, n, pearson(a, b, frame(n)))
 
 
 def covar(a: C, b: C, n: int, ddof: int = 1) -> Column:

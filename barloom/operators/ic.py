@@ -24,8 +24,7 @@ def ic(df: DataFrame, feature: str, label: str, keys: list[str], method: str = "
     both = df.where(F.col(feature).isNotNull() & F.col(label).isNotNull()).select(*keys, F.col(feature).alias("x"), F.col(label).alias("y"))
     if method == "spearman":
         both = both.withColumns({"x": average_rank("x", keys), "y": average_rank("y", keys)})
-    steady = (F.stddev_pop("x") <= 0) | (F.stddev_pop("y") <= 0)
-    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when((F.count(F.lit(1)) > 1) & ~steady, F.corr("x", "y")).alias("ic"))
+    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), R.pearson("x", "y").alias("ic"))
 
 
 def kendall(df: DataFrame, feature: str, label: str, keys: list[str]) -> DataFrame:
@@ -85,8 +84,7 @@ def decay(df: DataFrame, feature: str, horizons: list[int], keys: list[str], pri
 
 def autocorrelation(df: DataFrame, c: str, lag: int = 1) -> DataFrame:
     d = df.withColumn("_before", R.lag(c, lag))
-    steady = (F.stddev_pop(c) <= 0) | (F.stddev_pop("_before") <= 0)
-    return d.where("_before is not null").groupBy("symbol").agg(F.when(~steady, F.corr(c, "_before")).alias("autocorr"))
+    return d.where("_before is not null").groupBy("symbol").agg(R.pearson(c, "_before").alias("autocorr"))
 
 
 def newey_west(df: DataFrame, z: str, lags: int, keys: list[str], order: str = "ts") -> DataFrame:
@@ -148,7 +146,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair of columns over rows that have both, in one aggregation: (a, b, r, n)."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     both = lambda a, b: F.when(F.col(b).isNotNull(), F.col(a))
-    row = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r"), F.count(both(a, b)).alias("n")) for a, b in pairs]).alias("pairs"))
+    row = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), R.pearson(a, b).alias("r"), F.count(both(a, b)).alias("n")) for a, b in pairs]).alias("pairs"))
     return row.select(F.inline("pairs"))
 
 
