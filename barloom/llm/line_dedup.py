@@ -14,7 +14,7 @@ Only DataFrame and SQL functions are used:
    multi-match-aware windows of a segment-partition join.  A key holds the
    indexed line's length and the segment's number.  They are aggregated by line
    before the shuffle, so a line that fills the corpus is sent once a task.
-2. Index and probe keys are joined where the counts of eight letters allow the
+2. Index and probe keys are joined where the counts of twelve letters allow the
    distance (an edit changes two counts by one at most); distinct pairs are the
    candidates.  Their texts are fetched behind a broadcast bit table of the hashes
    wanted, of at most ``FILTER_BITS`` bits, so that few lines are shuffled.
@@ -44,8 +44,8 @@ THRESHOLD = 2
 MIN_CHARS = 20
 FILTER_BITS = 1 << 24
 """Most bits of a broadcast table (a row of 16 bytes for each 64)."""
-# Fixed value: frequent letters, whose counts tell lines apart.
-LETTERS = "eainorst"
+# Fixed value: the most frequent letters of English text, whose counts tell lines apart.
+LETTERS = "etaoinshrdlu"
 
 
 def _shift(value: Column, by: Column) -> Column:
@@ -84,10 +84,11 @@ def segment_keys(line: Column, n: Column, threshold: int) -> tuple[Column, Colum
     return F.array(*index), F.array(*probe)
 
 
-def letter_counts(line: Column) -> Column:
-    """The counts of eight letters, four bits each."""
+def letter_counts(line: Column, n: Column) -> Column:
+    """The counts of :data:`LETTERS` and above them the length, four bits each."""
     size = F.octet_length(line)
     packed = [F.shiftleft((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("long"), 4 * k) for k, c in enumerate(LETTERS)]
+    packed.append(F.shiftleft(n.bitwiseAND(F.lit(15)).cast("long"), 4 * len(LETTERS)))
     return reduce(lambda a, b: a.bitwiseOR(b), packed)
 
 
@@ -221,11 +222,14 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     occurrences = keep(_lines(docs).select("doc_id", "t", "pos", F.when(solid, F.xxhash64("line")).alias("h")), "lines")
     index, probe = segment_keys(F.col("line"), F.col("n"), threshold)
     long = _lines(docs).where(solid).select("line", F.char_length("line").alias("n")).where(F.col("n") >= max(min_chars, 2 * threshold + 1))
-    keyed = long.select(F.xxhash64("line").alias("h"), letter_counts(F.col("line")).alias("letters"), index.alias("index"), probe.alias("probe"))
+    keyed = long.select(F.xxhash64("line").alias("h"), letter_counts(F.col("line"), F.col("n")).alias("letters"), index.alias("index"), probe.alias("probe"))
     per_line = keep(keyed.groupBy("h").agg(F.first("letters").alias("letters"), F.first("index").alias("index"), F.first("probe").alias("probe")), "segments")
     left = per_line.select(F.col("h").alias("a"), F.col("letters").alias("letters_a"), F.explode("index").alias("key"))
     right = per_line.select(F.col("h").alias("b"), F.col("letters").alias("letters_b"), F.explode("probe").alias("key"))
-    may = (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & counts_within(F.col("letters_a"), F.col("letters_b"), threshold)
+    top = 4 * len(LETTERS)
+    same_length = F.shiftright("letters_a", top) == F.shiftright("letters_b", top)  # such a pair meets from both sides
+    once = F.when(same_length, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+    may = (left["key"] == right["key"]) & once & counts_within(F.col("letters_a"), F.col("letters_b"), threshold)
     pairs = left.join(right, may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = keep(pairs, "pairs")
     texts = _texts(docs, pairs)
