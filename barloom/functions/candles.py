@@ -34,7 +34,10 @@ def prepare(bars: DataFrame) -> DataFrame:
         ready = F.count(x).over(R.order().rowsBetween(-n, -1)) >= n if n else F.lit(True)
         value = before * factor / (2 if kind == "shadows" else 1)
         new[f"_avg_{name}"] = F.when(ready, value)
-    return base.withColumns(new)
+    ready = base.withColumns(new)
+    # Every candle that a pattern looks at, in one window: patterns are then a projection.
+    looked = ["open", "high", "low", "close", *[c for c in ready.columns if c.startswith("_")]]
+    return ready.withColumns({f"{c}__{k}": R.lag(c, k) for c in looked for k in range(1, 5)})
 
 
 @dataclass(frozen=True)
@@ -44,7 +47,7 @@ class Candle:
     k: int
 
     def _(self, name: str) -> Column:
-        return F.col(name) if self.k == 0 else R.lag(name, self.k)
+        return F.col(name if self.k == 0 else f"{name}__{self.k}")
 
     @property
     def o(self) -> Column:
