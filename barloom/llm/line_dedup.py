@@ -38,7 +38,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import columns, components, keep
+from barloom.llm.shared import columns, components, discard, keep
 
 THRESHOLD = 2
 MIN_CHARS = 20
@@ -69,7 +69,7 @@ def _key(line: Column, indexed: Column, i: int, start: Column, size: Column) ->
     return F.xxhash64(indexed, F.lit(i), F.substring(line, start, size))
 
 
-def segment_keys(line: Column, n: Column, threshold: int) -> tuple[Column, Column]:
+def segment_keys(line: Column, n: Column, threshold: int) -> tuple[list[Column], list[Column]]:
     """The index keys and the probe keys of a line of ``n`` code points."""
     parts = threshold + 1
     index = [_key(line, n, i, *_segment(n, i, parts)) for i in range(parts)]
@@ -81,7 +81,7 @@ def segment_keys(line: Column, n: Column, threshold: int) -> tuple[Column, Colum
             # A segment with i before it moves by i at most, seen from the left, and by what is left of the threshold, seen from the right.
             low, high = max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i))
             probe += [_key(line, other, i, start + move, size) for move in range(low, high + 1)]
-    return F.array(*index), F.array(*probe)
+    return index, probe
 
 
 def letter_counts(line: Column, n: Column) -> Column:
@@ -222,16 +222,20 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     occurrences = keep(_lines(docs).select("doc_id", "t", "pos", F.when(solid, F.xxhash64("line")).alias("h")), "lines")
     index, probe = segment_keys(F.col("line"), F.col("n"), threshold)
     long = _lines(docs).where(solid).select("line", F.char_length("line").alias("n")).where(F.col("n") >= max(min_chars, 2 * threshold + 1))
-    keyed = long.select(F.xxhash64("line").alias("h"), letter_counts(F.col("line"), F.col("n")).alias("letters"), index.alias("index"), probe.alias("probe"))
-    per_line = keep(keyed.groupBy("h").agg(F.first("letters").alias("letters"), F.first("index").alias("index"), F.first("probe").alias("probe")), "segments")
-    left = per_line.select(F.col("h").alias("a"), F.col("letters").alias("letters_a"), F.explode("index").alias("key"))
-    right = per_line.select(F.col("h").alias("b"), F.col("letters").alias("letters_b"), F.explode("probe").alias("key"))
+    # One long for each key: equal lines then meet in a hash aggregate (their keys are equal, so the maximum is any of them).
+    named = {"letters": letter_counts(F.col("line"), F.col("n"))} | {f"i{k}": c for k, c in enumerate(index)} | {f"p{k}": c for k, c in enumerate(probe)}
+    keyed = long.select(F.xxhash64("line").alias("h"), *[c.alias(k) for k, c in named.items()])
+    per_line = keep(keyed.groupBy("h").agg(*[F.max(k).alias(k) for k in named]), "segments")
+    discard(docs.sparkSession)
+    left = per_line.select(F.col("h").alias("a"), F.col("letters").alias("letters_a"), F.explode(F.array(*[f"i{k}" for k in range(len(index))])).alias("key"))
+    right = per_line.select(F.col("h").alias("b"), F.col("letters").alias("letters_b"), F.explode(F.array(*[f"p{k}" for k in range(len(probe))])).alias("key"))
     top = 4 * len(LETTERS)
     same_length = F.shiftright("letters_a", top) == F.shiftright("letters_b", top)  # such a pair meets from both sides
     once = F.when(same_length, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
     may = (left["key"] == right["key"]) & once & counts_within(F.col("letters_a"), F.col("letters_b"), threshold)
     pairs = left.join(right, may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = keep(pairs, "pairs")
+    discard(docs.sparkSession, per_line)
     texts = _texts(docs, pairs)
     with_a = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
     both = with_a.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -38,7 +39,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._barloom_path = path
+    return kept
+
+
+def discard(spark: SparkSession, *kept: DataFrame) -> None:
+    """Delete tables of :func:`keep` that no later step reads, and let Spark drop the shuffles behind them.
+
+    Spark removes a shuffle's files once the driver has collected the plan that made it.
+    """
+    for df in kept:
+        remove(spark, df._barloom_path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession | None, path: str) -> None:
