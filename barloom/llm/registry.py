@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, langid, line_dedup, minhash, ngram_join, packing, pii, secrets, token_output, warc
+from barloom.llm import decontaminate, langid, line_dedup, minhash, ngram_join, oracle, packing, pii, secrets, token_output, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,4 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_output": op10_token_output,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_ngram_join": oracle.NGRAM_JOIN,
+    "op4_warc": oracle.WARC,
+    "op6_decontaminate": oracle.DECONTAMINATE,
+}
