@@ -24,7 +24,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +31,7 @@ from pyspark.sql import functions as F
 from barloom.llm.packing import blocks, documents
 from barloom.llm.shared import columns, keep, partitions, scratch
 from barloom.llm.tokenize import default_path
+from barloom.llm.warc import file_system, take_name
 
 LENGTH = 1024
 BLOCK_TOKENS = 1 << 21
@@ -97,13 +97,9 @@ def best_fit(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int, int
     return sorted(out, key=lambda p: (p[3], p[4]))
 
 
-def _file_system(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
-
-
 def _write(folder: str, path: str, length: int, block_tokens: int):
     def run(batches):
-        fs, root = _file_system(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         context = TaskContext.get()
         for k, block in enumerate(blocks(documents(batches, path), block_tokens)):
@@ -123,7 +119,7 @@ def _write(folder: str, path: str, length: int, block_tokens: int):
                 own = f"{root}/.{name}.{kind}.{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
                 with fs.open_output_stream(own) as f:
                     f.write(memoryview(np.ascontiguousarray(data)).cast("B"))
-                fs.move(own, f"{root}/{name}.{kind}")
+                take_name(fs, own, f"{root}/{name}.{kind}")
             segments = [{"doc_id": block[d][0], "start": a, "length": n, "sequence": r, "offset": o} for d, a, n, r, o in pieces]
             yield pa.RecordBatch.from_pylist(
                 [{"folder": folder, "block": name, "sequences": sequences, "width": length, "segments": segments}], schema=_ARROW
@@ -145,7 +141,7 @@ def write_packed(docs: DataFrame, folder: str, path: str | None = None, length:
 def _read(batches):
     for b in batches:
         for row in b.to_pylist():
-            fs, root = _file_system(row["folder"])
+            fs, root = file_system(row["folder"])
             load = lambda kind: np.frombuffer(fs.open_input_stream(f"{root}/{row['block']}.{kind}").read(), "<u4")  # noqa: B023, E731
             matrix, cumulative, resets = load("ids").reshape(row["sequences"], row["width"]), load("lengths"), load("resets")
             # A row's cumulative lengths begin with 0: differences without the falls are the segments' lengths.

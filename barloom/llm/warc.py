@@ -69,6 +69,13 @@ def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
 
 
+def take_name(fs: pafs.FileSystem, own: str, final: str) -> None:
+    """Give a finished file its name; an earlier attempt's file of that name goes first."""
+    if fs.get_file_info(final).type != pafs.FileType.NotFound:
+        fs.delete_file(final)
+    fs.move(own, final)
+
+
 class _Output:
     """A file under an attempt's name that takes its own name when closed."""
 
@@ -85,7 +92,7 @@ class _Output:
 
     def close(self) -> None:
         self.stream.close()
-        self.fs.move(self.own, self.final)
+        take_name(self.fs, self.own, self.final)
 
 
 def record(page_id: int | None, place: str, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
