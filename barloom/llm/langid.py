@@ -35,7 +35,7 @@ PER_LANGUAGE = 400
 """Labelled documents that a language's profile is fitted on, at most."""
 BROADCAST_ROWS = 1 << 18
 """Chosen rows up to which they are broadcast to the texts; more (of very many languages) are joined by a shuffle."""
-REJECT_BELOW = 0.25
+REJECT_BELOW = 0.05
 """Scores below this are taken for no language by :func:`keep_known`."""
 UNKNOWN = "und"
 _B1, _B2 = np.int64(1 << 21), np.int64(1 << 42)

@@ -116,6 +116,13 @@ def test_spans_map_to_the_encoded_piece():
     assert [s for s in secrets.all_spans(text, [])[0] if s[1] == 0] == [(4, 0, 24)]
 
 
+def test_styled_letters():
+    wide = "".join(chr(ord(c) + 0xFEE0) if c != " " else c for c in "token=abcdefghijkl0")
+    text = f"é {wide} \U0001d429assword=abcdefghijkl1"
+    spans = secrets.all_spans(text, secrets.scan(text))[0]
+    assert [s for s in spans if s[1] == 0] == [(2, 0, 2 + len(wide)), (3 + len(wide), 0, len(text))]
+
+
 def test_cycles_and_bombs_end():
     text = "%2525252541" * 40
     assert secrets.all_spans(text, []) == ([], 0)
