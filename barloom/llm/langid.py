@@ -9,7 +9,8 @@ wins, ties going to the smaller name.  The score is one minus the distance over
 its largest possible value.
 
 The profiles are fitted on at most ``PER_LANGUAGE`` labelled documents of each
-language, taken in the order of a hash of doc_id among those whose crc32(doc_id)
+language, taken in the order of a hash of doc_id (of a frequent language, among the twice
+``PER_LANGUAGE`` or so that its size lets come first) from those whose crc32(doc_id)
 mod 4 is not 2; their whole texts are used.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0, and
@@ -76,8 +77,13 @@ def top(gram: np.ndarray, count: np.ndarray, most: int = PROFILE) -> np.ndarray:
 def _learn(docs: DataFrame, per_language: int) -> dict[str, np.ndarray]:
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     labelled = docs.where(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull() & (remainder != 2))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
+    # Most rows of a frequent language are out by their hash already, so no task ranks a language's rows in full.
+    sizes = keep(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "languages")
+    small = sizes.count() <= BROADCAST_ROWS
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    near = labelled.select("doc_id", "lang").join(F.broadcast(sizes) if small else sizes, "lang").where(place.cast("double") * F.col("size") <= 2.0 * per_language * (1 << 40))
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    chosen = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
     chosen = keep(chosen.select("doc_id", "lang").distinct(), "learned-from")
     small = chosen.count() <= BROADCAST_ROWS  # it has per_language rows for each language at most
     texts = labelled.join(F.broadcast(chosen) if small else chosen, ["doc_id", "lang"]).select("lang", "text")
