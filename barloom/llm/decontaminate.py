@@ -37,7 +37,7 @@ from barloom.llm import textops
 from barloom.llm.shared import columns, scratch
 
 WINDOW = 13
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 21
 SAMPLE = 8
 BLOCK_BYTES = 4 << 20
 SHARE = 20

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 """Texts are hashed in slices of about this many bytes (a longer text is one slice)."""
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
