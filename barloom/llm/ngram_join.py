@@ -16,13 +16,9 @@ smallest doc_id it reaches over such links.
    components of those edges are *blocks* that hold every link.
 4. Each block is searched exactly: DivideSkip heap-merges a query's short
    inverted lists, binary-probes the long ones, and keeps classes that reach the
-   overlap.  A search emits a spanning forest of its links, not all pairs.
-   Blocks over ``BLOCK_SHINGLES`` shingles are cut into parts.  First each part is
-   searched together with some ``PIVOTS`` classes of the block, which usually
-   connects most of a group of copies.  What is outside the block's largest
-   component then meets every part; pairs connected already are left out, and
-   pairs within that component need no search.  So a task's memory is bounded, no
-   link is lost, and a group of copies costs its size times the rest's, not its square.
+   overlap.  Blocks over ``BLOCK_SHINGLES`` shingles are cut into parts, and
+   every pair of parts is one search, so a task's memory is bounded and no link
+   is lost.  A search emits a spanning forest of its links, not all pairs.
 5. Components over the links, then one row for each document.
 
 Defined cases: null, empty or blank texts have an empty set and link with
@@ -42,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import textops
-from barloom.llm.shared import columns, components, keep, partitions
+from barloom.llm.shared import columns, components, discard, keep, partitions
 
 WIDTH = 5
 PERCENT = 80
@@ -54,10 +50,8 @@ SLACK = 10
 """A class's lists are longer than the least by this part of its size, so that chance overlaps show."""
 _FREQUENT = 1 << 40
 """Parts into which the list of a frequent shingle is dealt."""
-BLOCK_SHINGLES = 1 << 17
+BLOCK_SHINGLES = 1 << 19
 """Shingles that one search holds of each side (8 bytes each)."""
-PIVOTS = 32
-"""Classes of a large block, more or less, that every part of it is searched with."""
 
 FILTER_BITS = 1 << 26
 """Most bits of the filter that tells which texts may be in a block (8 MB in every task)."""
@@ -151,7 +145,10 @@ def _profile(width: int):
 
 
 def _prefixes(width: int, percent: int, hot: np.ndarray):
-    """(token, salt, sig, n): the smallest shingle hashes of each class, once in a task."""
+    """(token, salt, sig, n): the smallest shingle hashes of each class, once in a task.
+
+    Lists are keyed by 48 bits of the hash: two that meet by chance only add candidates.
+    """
 
     def run(batches):
         seen: set[int] = set()
@@ -164,7 +161,7 @@ def _prefixes(width: int, percent: int, hot: np.ndarray):
                 at = np.searchsorted(hot, token)
                 at[at == len(hot)] = 0
                 salt = np.where(hot[at] == token, 1 + sig % SALTS, 0).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(salt), pa.array(sig), pa.array(n.astype(np.int32))], names=["token", "salt", "sig", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(signed(token >> np.uint64(16))), pa.array(salt), pa.array(sig), pa.array(n.astype(np.int32))], names=["token", "salt", "sig", "n"])
 
         for b in batches:
             for s in sets(b.column("text"), width):
@@ -279,8 +276,7 @@ class Search:
     MU = 0.0085
     """DivideSkip's weight of a probe against a merge step, as published."""
 
-    def __init__(self, members: list[np.ndarray], percent: int = PERCENT, joined: list[int] | None = None) -> None:
-        """``joined``: a component of each set; sets of one component are connected already."""
+    def __init__(self, members: list[np.ndarray], percent: int = PERCENT) -> None:
         self.percent = percent
         self.order = np.argsort([len(m) for m in members], kind="stable")
         self.members = [members[k] for k in self.order]
@@ -294,8 +290,7 @@ class Search:
         ids = np.empty(len(flat), np.int64)
         ids[by] = np.repeat(np.arange(len(first)), np.diff(self.begin))
         self.tokens = np.split(ids, np.cumsum(self.size)[:-1]) if members else []
-        first: dict[int, int] = {}
-        self.root = [first.setdefault(joined[k], i) for i, k in enumerate(self.order)] if joined else list(range(len(self.members)))
+        self.root = list(range(len(self.members)))
 
     def find(self, x: int) -> int:
         while self.root[x] != x:
@@ -366,23 +361,27 @@ def _block_links(percent: int, most: int):
     """Search runs of rows of equal ``tile``; small tiles share a search."""
 
     def run(batches):
-        group: dict[int, tuple[int, bytes]] = {}
+        group: list[tuple[int, bytes]] = []
         weight, tile = 0, None
 
         def search():
-            sig = list(group)
-            found = Search([np.frombuffer(raw, np.uint64) for _, raw in group.values()], percent, [c for c, _ in group.values()])
-            pairs = [(sig[x], sig[y]) for x, y in found.links()]
+            seen, sig, members = set(), [], []
+            for s, raw in group:
+                if s not in seen:
+                    seen.add(s)
+                    sig.append(s)
+                    members.append(np.frombuffer(raw, np.uint64))
+            pairs = [(sig[x], sig[y]) for x, y in Search(members, percent).links()]
             a, b = (np.array(v, np.int64) for v in (zip(*pairs) if pairs else ((), ())))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for b in batches:
-            for t, s, c, raw in zip(*(b.column(k).to_pylist() for k in ("tile", "sig", "comp", "shingles")), strict=True):
+            for t, s, raw in zip(b.column("tile").to_pylist(), b.column("sig").to_pylist(), b.column("shingles").to_pylist(), strict=True):
                 if t != tile and weight >= most:
                     yield search()
-                    group, weight = {}, 0
+                    group, weight = [], 0
                 tile = t
-                group[s] = c, raw
+                group.append((s, raw))
                 weight += len(raw) // 8
         if group:
             yield search()
@@ -390,35 +389,6 @@ def _block_links(percent: int, most: int):
     return run
 
 
-def _searched(tiles: DataFrame, parts: int, percent: int, most: int) -> DataFrame:
-    dealt = tiles.select("tile", "sig", "comp", "shingles").repartition(parts, "tile").sortWithinPartitions("tile", "sig")
-    return keep(dealt.mapInArrow(_block_links(percent, most), "a long, b long"), "links")
-
-
-def _links(shingled: DataFrame, parts: int, percent: int, most: int) -> DataFrame:
-    """All links (a, b), up to connectivity, of classes (block, parts, size, sig, n, shingles)."""
-    one = shingled.where("parts = 1").select(F.xxhash64("block").alias("tile"), "sig", F.col("sig").alias("comp"), "shingles")
-    large = shingled.where("parts > 1").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
-    pivot = F.pmod(F.xxhash64("sig", F.lit(7)), F.lit(1 << 30)) < F.lit(PIVOTS << 30) / F.col("size")
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    tiled = large.withColumn("part", F.explode(F.when(pivot, every).otherwise(F.array("own"))))
-    tiled = tiled.select(F.xxhash64("block", "part").alias("tile"), "sig", F.col("sig").alias("comp"), "shingles")
-    first = _searched(one.unionByName(tiled), parts, percent, most)
-    if not large.limit(1).count():
-        return first
-    reached = components(first).withColumnsRenamed({"id": "sig", "component": "comp"})
-    slim = keep(large.select("block", "parts", "own", "sig", "n").join(reached, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "reached")
-    weights = slim.groupBy("block", "comp").agg(F.sum("n").alias("weight"))
-    main = weights.groupBy("block").agg(F.max_by("comp", F.struct("weight", "comp")).alias("main"), F.ceil((F.sum("weight") - F.max("weight")) / most).cast("int").alias("others"))
-    rest = keep(slim.join(main, "block").where("others > 0").withColumn("outside", F.col("comp") != F.col("main")), "rest")
-    at = F.pmod(F.xxhash64("sig", F.lit(3)), F.col("others")).cast("int")
-    whole = rest.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    meets = rest.where("outside").withColumn("j", at).withColumn("i", F.explode(every))
-    asked = whole.unionByName(meets).select("sig", "comp", F.xxhash64("block", "i", "j").alias("tile")).distinct()
-    second = _searched(asked.join(large.select("sig", "shingles"), "sig"), parts, percent, most)
-    return first.unionByName(second)
-
-
 def _member_filter(members: DataFrame) -> tuple[np.ndarray, int]:
     """A Bloom filter (one hash) of the members' ids: a bit for each id's hash, at most ``FILTER_BITS``."""
     bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * members.count()).bit_length()))
@@ -470,14 +440,16 @@ def linked_groups(docs: DataFrame, profile: DataFrame, entries: DataFrame, width
     classes = profile.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     blocks = components(edges).withColumnsRenamed({"id": "sig", "component": "block"})
     members = keep(blocks.join(classes, "sig"), "members")
-    sizes = members.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("parts"), F.count(F.lit(1)).alias("size"))
-    members = keep(members.join(sizes, "block").select("block", "parts", "size", "sig", "n", "rep"), "sized")
+    sizes = members.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("parts"))
+    members = keep(members.join(sizes, "block").select("block", "parts", "sig", "rep"), "sized")
     likely, bits = _member_filter(members)
     hashed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h"))
     found = hashed.mapInArrow(_shingled(width, likely), "doc_id long, sig long, shingles binary").withColumnRenamed("sig", "digest")
-    same = found["doc_id"].eqNullSafe(members["rep"]) & (found["digest"] == members["sig"])
-    shingled = keep(found.join(members, same).select("block", "parts", "size", "sig", "n", "shingles"), "shingled")
-    links = _links(shingled, parts, percent, block_shingles)
+    shingled = found.join(members, found["doc_id"].eqNullSafe(members["rep"]) & (found["digest"] == members["sig"])).select("block", "parts", "sig", "shingles")
+    own = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
+    tiled = shingled.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiled = tiled.select(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "sig", "shingles")
+    links = tiled.repartition(parts, "tile").sortWithinPartitions("tile", "sig").mapInArrow(_block_links(percent, block_shingles), "a long, b long")
     linked = keep(components(links).withColumnsRenamed({"id": "sig"}).join(classes, "sig").select("sig", "component", "rep"), "linked")
     smallest = linked.groupBy("component").agg(F.min("rep").alias("least"))
     named = linked.join(smallest, "component").select("sig", "least")
@@ -492,6 +464,7 @@ def _candidates(entries: DataFrame, parts: int) -> DataFrame:
     """Distinct star edges of the short lists; the salted parts of a list are joined by their centres."""
     dealt = entries.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "sig")
     stars = keep(dealt.mapInArrow(_stars, "a long, b long, token long"), "stars")
+    discard(entries.sparkSession)
     tops = stars.where("token is not null").select("token", "a").distinct()
     first = tops.groupBy("token").agg(F.min("a").alias("b"))
     across = tops.join(first, "token").where("a != b").select("a", "b")
