@@ -335,7 +335,7 @@ INTERVALS = """with iv as (select event_id, event_type as symbol, epoch_us(ts) /
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("symbol"), t.alias("start"), (t + F.col("user_id") * 60).alias("end")).where("event_id < 2000")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("symbol"), t.alias("start"), (t + F.col("user_id") * 60).alias("end"))
 
 
 @query("event_manifest_overlaps", INTERVALS + """, o as (select a.event_id, count(*) as overlaps from iv a join iv b on b.start <= a."end" and b."end" >= a.start group by 1),
