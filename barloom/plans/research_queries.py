@@ -85,7 +85,7 @@ def _(spark, sf_dir):
  t as (select symbol, sum(sx * sy) as s, sum(sx * sx) as a, sum(sy * sy) as c from p group by symbol), m as (select symbol, count(*) as n from b group by symbol)
  select t.symbol, m.n, round(s / sqrt(a * c), 6) + 0.0 as ic from t join m on t.symbol = m.symbol""")
 def _(spark, sf_dir):
-    return rounded(ic.kendall(scored(spark, sf_dir).where("n <= 200"), "mom3", "fwd4", ["symbol"]), "ic")
+    return rounded(ic.kendall(scored(spark, sf_dir), "mom3", "fwd4", ["symbol"]), "ic")
 
 
 @query("ic_rolling_rank")

@@ -8,7 +8,7 @@ from barloom.plans.catalog import ORACLE, QUERIES
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name, cut", [("event_manifest_overlaps", " where event_id < 2000"), ("event_time_split", " where event_id < 2000")])
+@pytest.mark.parametrize("name, cut", [("event_manifest_overlaps", " where event_id < 2000"), ("event_time_split", " where event_id < 2000"), ("ic_kendall", " and n <= 200")])
 def test_query_takes_every_row(spark, name, cut):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{SF}/events.parquet'")
