@@ -86,7 +86,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     d = scored(spark, sf_dir).withColumn("r1", F.col("close") / F.nullif(R.lag("close"), F.lit(0.0)) - 1)
     features = ["mom3", "volume", "taker_ratio", "r1"]
-    model, ranked = models.boosted(d.where("n <= 400"), features, "up")
+    model, ranked = models.boosted(d, features, "up")
     return spark.createDataFrame([(f, round(v, 6)) for f, v in ranked], "name string, importance double")
 
 
