@@ -46,11 +46,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_table(spark, sf_dir, "documents"), special_tokens=True)
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.packed_digest(_table(spark, sf_dir, "documents"))
+    return token_output.packed_digest(_table(spark, sf_dir, "documents"), special_tokens=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
