@@ -36,8 +36,8 @@ PER_LANGUAGE = 400
 """Labelled documents that a language's profile is fitted on, at most."""
 BROADCAST_ROWS = 1 << 18
 """Chosen rows up to which they are broadcast to the texts; more (of very many languages) are joined by a shuffle."""
-REJECT_BELOW = 0.05
-"""Scores below this are taken for no language by :func:`keep_known`."""
+REJECT_SHARE = 0.5
+"""Scores below this share of the median score of a language's learned texts are taken for no language by :func:`keep_known`."""
 UNKNOWN = "und"
 _B1, _B2 = np.int64(1 << 21), np.int64(1 << 42)
 _letters: np.ndarray | None = None
@@ -74,7 +74,8 @@ def top(gram: np.ndarray, count: np.ndarray, most: int = PROFILE) -> np.ndarray:
     return gram[np.argsort(-count, kind="stable")[:most]]
 
 
-def _learn(docs: DataFrame, per_language: int) -> dict[str, np.ndarray]:
+def _learned_texts(docs: DataFrame, per_language: int) -> DataFrame:
+    """Rows (lang, text) that the profiles are fitted on."""
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     labelled = docs.where(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull() & (remainder != 2))
     # Most rows of a frequent language are out by their hash already, so no task ranks a language's rows in full.
@@ -86,8 +87,10 @@ def _learn(docs: DataFrame, per_language: int) -> dict[str, np.ndarray]:
     chosen = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
     chosen = keep(chosen.select("doc_id", "lang").distinct(), "learned-from")
     small = chosen.count() <= BROADCAST_ROWS  # it has per_language rows for each language at most
-    texts = labelled.join(F.broadcast(chosen) if small else chosen, ["doc_id", "lang"]).select("lang", "text")
+    return labelled.join(F.broadcast(chosen) if small else chosen, ["doc_id", "lang"]).select("lang", "text")
 
+
+def _profiles(texts: DataFrame) -> dict[str, np.ndarray]:
     def count(batches):
         sums: dict[str, dict[int, int]] = {}
         for b in batches:
@@ -145,26 +148,36 @@ def _predict(profiles: dict[str, np.ndarray]):
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score), one for each row of ``docs`` (doc_id, text, lang)."""
     docs = columns(docs, doc_id="long", text="string", lang="string")
-    profiles = _learn(docs, per_language)
+    profiles = _profiles(_learned_texts(docs, per_language))
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     found = docs.select("doc_id", "text").mapInArrow(_predict(profiles), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, reject_below: float = REJECT_BELOW, per_language: int = PER_LANGUAGE) -> DataFrame:
+def _floors(texts: DataFrame, profiles: dict[str, np.ndarray], share: float) -> dict[str, float]:
+    """The score below which a text is taken for no language: ``share`` of the median score of those learned texts that are of the language."""
+    found = texts.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_predict(profiles), "doc_id long, lang_pred string, score double")
+    rows = found.where(F.col("lang_pred") != UNKNOWN).groupBy("lang_pred").agg(F.percentile("score", F.lit(0.5)).alias("median")).collect()
+    return {r.lang_pred: share * r.median for r in rows}
+
+
+def keep_known(docs: DataFrame, reject_share: float = REJECT_SHARE, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in a known language.
 
-    Rejected are texts that are ``und`` and those that score below ``reject_below``
-    (far from every learned profile).
+    Rejected are texts that are ``und`` and those that score below ``reject_share`` of
+    what the learned texts of their language score (its median), so far from every
+    learned profile.  A language of which no learned text was predicted rejects none.
     """
-    profiles = _learn(columns(docs, doc_id="long", text="string", lang="string"), per_language)
+    texts = keep(_learned_texts(columns(docs, doc_id="long", text="string", lang="string"), per_language), "learned-texts")
+    profiles = _profiles(texts)
+    floors = _floors(texts, profiles, reject_share)
     predict = _predict(profiles)
 
     def run(batches):
         for b in batches:
             rows = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column("text")], names=["doc_id", "text"])
             out = next(iter(predict([rows])))
-            ok = [x != UNKNOWN and y >= reject_below for x, y in zip(out.column("lang_pred").to_pylist(), out.column("score").to_pylist(), strict=True)]
+            ok = [x != UNKNOWN and y >= floors.get(x, 0.0) for x, y in zip(out.column("lang_pred").to_pylist(), out.column("score").to_pylist(), strict=True)]
             yield b.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
