@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import textops
-from barloom.llm.shared import columns, scratch
+from barloom.llm.shared import columns, in_batches, scratch
 
 WINDOW = 13
 SHARD_BYTES = 1 << 21
@@ -289,7 +289,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                 names=["doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
-    return columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<bigint>>")
+    return columns(docs, doc_id="long", text="string").transform(in_batches, run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<bigint>>")
 
 
 def contamination(found: DataFrame) -> DataFrame:
@@ -309,6 +309,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
             keep = [~((hits > 0) & (SHARE * hits >= words)) for _, _, words, hits, _, _ in _search(b.column("text"), blocks)]
             yield b.filter(pa.array(np.concatenate(keep))) if keep else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_batches, run, docs.schema)
 
 

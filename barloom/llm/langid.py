@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.shared import columns, keep
+from barloom.llm.shared import columns, in_batches, keep
 
 PROFILE = 300
 PER_LANGUAGE = 400
@@ -102,7 +102,7 @@ def _profiles(texts: DataFrame) -> dict[str, np.ndarray]:
         for lang, into in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(into)), pa.array(list(into), pa.int64()), pa.array(list(into.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    counted = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = texts.transform(in_batches, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     ranked = counted.withColumn("k", F.row_number().over(best)).where(F.col("k") <= PROFILE).toPandas()
     return {lang: part.sort_values("k")["gram"].to_numpy(np.int64) for lang, part in sorted(ranked.groupby("lang"))}
@@ -150,13 +150,13 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     docs = columns(docs, doc_id="long", text="string", lang="string")
     profiles = _profiles(_learned_texts(docs, per_language))
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
-    found = docs.select("doc_id", "text").mapInArrow(_predict(profiles), "doc_id long, lang_pred string, score double")
+    found = docs.select("doc_id", "text").transform(in_batches, _predict(profiles), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def _floors(texts: DataFrame, profiles: dict[str, np.ndarray], share: float) -> dict[str, float]:
     """The score below which a text is taken for no language: ``share`` of the median score of those learned texts that are of the language."""
-    found = texts.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_predict(profiles), "doc_id long, lang_pred string, score double")
+    found = texts.select(F.lit(None).cast("long").alias("doc_id"), "text").transform(in_batches, _predict(profiles), "doc_id long, lang_pred string, score double")
     rows = found.where(F.col("lang_pred") != UNKNOWN).groupBy("lang_pred").agg(F.percentile("score", F.lit(0.5)).alias("median")).collect()
     return {r.lang_pred: share * r.median for r in rows}
 
@@ -180,4 +180,4 @@ def keep_known(docs: DataFrame, reject_share: float = REJECT_SHARE, per_language
             ok = [x != UNKNOWN and y >= floors.get(x, 0.0) for x, y in zip(out.column("lang_pred").to_pylist(), out.column("score").to_pylist(), strict=True)]
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_batches, run, docs.schema)

@@ -14,12 +14,14 @@ Only DataFrame and SQL functions are used:
    multi-match-aware windows of a segment-partition join.  A key holds the
    indexed line's length and the segment's number.  They are aggregated by line
    before the shuffle, so a line that fills the corpus is sent once a task.
-2. Index and probe keys are joined where the counts of twelve letters allow the
-   distance (an edit changes two counts by one at most); distinct pairs are the
-   candidates.  Their texts are fetched behind a broadcast bit table of the hashes
+2. One shuffle by key leaves the keys that two lines share, and a semi join the lines
+   that have a partner of which the counts of twelve letters allow the
+   distance (an edit changes two counts by one at most).  Their texts are fetched
+   behind a broadcast bit table of the hashes
    wanted, of at most ``FILTER_BITS`` bits, so that few lines are shuffled.
-3. Candidates are verified by a banded bit-parallel edit distance: the band of
-   ``2 * threshold + 1`` rows is one word, moved along the diagonal.
+3. The lines of a key are compared with one pivot of the key, and then those that are
+   still in different components with each other, by a banded bit-parallel edit
+   distance: the band of ``2 * threshold + 1`` rows is one word, moved along the diagonal.
 4. Components of the verified pairs are the classes.  A bit mask of each
    document's surviving lines goes back to it; documents that lose no line are
    told by another such table and stay where they are.
@@ -37,6 +39,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barloom.llm.shared import columns, components, discard, keep
 
@@ -46,6 +49,12 @@ FILTER_BITS = 1 << 24
 """Most bits of a broadcast table (a row of 16 bytes for each 64)."""
 # Fixed value: the most frequent letters of English text, whose counts tell lines apart.
 LETTERS = "etaoinshrdlu"
+INDEXED = 1 << 60
+"""Bit of a row's mark, above the letter counts, that says that its key is an index key."""
+SAMPLE, HOT_LINES, HOT_KEYS, SALTS = 64, 1 << 13, 1 << 14, 64
+"""Keys of ``HOT_LINES`` lines or so, judged by one line in ``SAMPLE``, are dealt by ``SALTS``; ``HOT_KEYS`` of them at most. Results don't depend on it."""
+PIVOT_ROUNDS, PAIRS_A_ROW = 4, 2
+"""Rounds of comparisons with pivots, made only while lines of a key that are apart make more pairs than ``PAIRS_A_ROW`` a row."""
 
 
 def _shift(value: Column, by: Column) -> Column:
@@ -70,7 +79,7 @@ def _key(line: Column, indexed: Column, i: int, start: Column, size: Column) ->
 
 
 def segment_keys(line: Column, n: Column, threshold: int) -> tuple[list[Column], list[Column]]:
-    """The index keys and the probe keys of a line of ``n`` code points."""
+    """The index keys of a line of ``n`` code points, which also find lines of its own length, and the other probe keys."""
     parts = threshold + 1
     index = [_key(line, n, i, *_segment(n, i, parts)) for i in range(parts)]
     probe = []
@@ -80,7 +89,7 @@ def segment_keys(line: Column, n: Column, threshold: int) -> tuple[list[Column],
             start, size = _segment(other, i, parts)
             # A segment with i before it moves by i at most, seen from the left, and by what is left of the threshold, seen from the right.
             low, high = max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i))
-            probe += [_key(line, other, i, start + move, size) for move in range(low, high + 1)]
+            probe += [_key(line, other, i, start + move, size) for move in range(low, high + 1) if shorter or move]
     return index, probe
 
 
@@ -215,9 +224,41 @@ def _banded(t: Column, threshold: int) -> Column:
     return let(last, finish)
 
 
+def _keys(per_line: DataFrame, index: int, probe: int) -> DataFrame:
+    """Rows (key, h, mark): the keys of each line; ``mark`` is the letter counts, with ``INDEXED`` for index keys."""
+    pairs = [F.struct(F.col(f"i{k}").alias("key"), F.col("letters").bitwiseOR(F.lit(INDEXED)).alias("mark")) for k in range(index)]
+    pairs += [F.struct(F.col(f"p{k}").alias("key"), F.col("letters").alias("mark")) for k in range(probe)]
+    return per_line.select("h", F.inline(F.array(*pairs)))
+
+
+def _shared_keys(per_line: DataFrame, index: int, probe: int) -> DataFrame:
+    """The rows of :func:`_keys` whose key two lines have, one of them as index key.
+
+    The rows of a key meet in one window.  Keys that a sample of the lines shows to be
+    frequent are dealt over ``SALTS`` windows, and all their rows are kept.
+    """
+    some = _keys(per_line.where(F.pmod("h", F.lit(SAMPLE)) == 0), index, probe).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = keep(some.where(F.col("n") >= HOT_LINES // SAMPLE).orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key", F.lit(True).alias("hot")), "hot-keys")
+    rows = _keys(per_line, index, probe)
+    if hot.limit(1).count():
+        rows = rows.join(F.broadcast(hot), "key", "left")  # HOT_KEYS rows at most
+    else:
+        rows = rows.withColumn("hot", F.lit(None).cast("boolean"))
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("h"), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long")))
+    same = Window.partitionBy("key", "salt")
+    told = rows.withColumns({"least": F.min("h").over(same), "most": F.max("h").over(same), "marks": F.bit_or("mark").over(same)})
+    return told.where((F.col("salt") > 0) | ((F.col("least") < F.col("most")) & (F.col("marks").bitwiseAND(F.lit(INDEXED)) != 0))).select("key", "h", "mark")
+
+
+def _meet(a: Column, b: Column, threshold: int) -> Column:
+    """Whether two rows of a key may be alike: one is indexed, and their letters allow it."""
+    return (a.bitwiseOR(b).bitwiseAND(F.lit(INDEXED)) != 0) & counts_within(a, b, threshold)
+
+
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc_id, t, pos, h; h null for blank lines), and (h, class) of the lines alike to another line."""
     docs = columns(docs, doc_id="long", text="string")
+    spark = docs.sparkSession
     solid = F.col("line").rlike("[^ \t\r\f\x0b]")
     occurrences = keep(_lines(docs).select("doc_id", "t", "pos", F.when(solid, F.xxhash64("line")).alias("h")), "lines")
     index, probe = segment_keys(F.col("line"), F.col("n"), threshold)
@@ -226,27 +267,65 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     named = {"letters": letter_counts(F.col("line"), F.col("n"))} | {f"i{k}": c for k, c in enumerate(index)} | {f"p{k}": c for k, c in enumerate(probe)}
     keyed = long.select(F.xxhash64("line").alias("h"), *[c.alias(k) for k, c in named.items()])
     per_line = keep(keyed.groupBy("h").agg(*[F.max(k).alias(k) for k in named]), "segments")
-    discard(docs.sparkSession)
-    left = per_line.select(F.col("h").alias("a"), F.col("letters").alias("letters_a"), F.explode(F.array(*[f"i{k}" for k in range(len(index))])).alias("key"))
-    right = per_line.select(F.col("h").alias("b"), F.col("letters").alias("letters_b"), F.explode(F.array(*[f"p{k}" for k in range(len(probe))])).alias("key"))
-    top = 4 * len(LETTERS)
-    same_length = F.shiftright("letters_a", top) == F.shiftright("letters_b", top)  # such a pair meets from both sides
-    once = F.when(same_length, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
-    may = (left["key"] == right["key"]) & once & counts_within(F.col("letters_a"), F.col("letters_b"), threshold)
-    pairs = left.join(right, may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = keep(pairs, "pairs")
-    discard(docs.sparkSession, per_line)
-    texts = _texts(docs, pairs)
+    discard(spark)
+    shared = keep(_shared_keys(per_line, len(index), len(probe)), "shared-keys")
+    discard(spark, per_line)
+    # A line that no other may be alike to is out before any text is fetched; the semi join gives no pairs.
+    other = shared.select(F.col("key").alias("key_b"), F.col("h").alias("b"), F.col("mark").alias("mark_b"))
+    near = (F.col("key") == F.col("key_b")) & (F.col("h") != F.col("b")) & _meet(F.col("mark"), F.col("mark_b"), threshold)
+    members = keep(shared.join(other, near, "left_semi").distinct(), "members")
+    discard(spark, shared)
+    texts = _texts(docs, members)
+    links = _links(members, texts, threshold)
+    return occurrences, components(links).select(F.col("id").alias("h"), F.col("component").alias("class"))
+
+
+def _links(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Alike lines (a, b) that connect every class of the ``members`` (key, h, mark) of keys.
+
+    Each line of a key is compared with one pivot of the key, for some rounds while
+    many lines of a key are apart; then those lines of a key that are still in
+    different components are compared with each other.  So a group of near copies takes
+    as many comparisons as it has lines, not their square, and no link between
+    components is missed.
+    """
+    n = members.count()
+    links, parts, tested = None, members.withColumn("part", F.col("h")), None
+    for k in range(PIVOT_ROUNDS):
+        apart = parts.groupBy("key", "part").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key").agg((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
+        if (apart.agg(F.sum("pairs")).first()[0] or 0) <= PAIRS_A_ROW * n:
+            break
+        turn = F.xxhash64("h", F.lit(k)) if k else F.col("h")
+        pivots = parts.where(F.col("mark").bitwiseAND(F.lit(INDEXED)) != 0).groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "h", "mark", "part")).alias("pivot"))
+        stars = parts.join(pivots, "key").where((F.col("part") != F.col("pivot.part")) & _meet(F.col("mark"), F.col("pivot.mark"), threshold))
+        stars = stars.select(F.least("h", "pivot.h").alias("a"), F.greatest("h", "pivot.h").alias("b")).distinct()
+        stars = keep(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), "stars")
+        found = keep(_alike(stars, texts, threshold), "links")
+        tested = stars if tested is None else tested.unionByName(stars)
+        links = found if links is None else links.unionByName(found)
+        grouped = components(links).select(F.col("id").alias("h"), "component")
+        parts = keep(members.join(grouped, "h", "left").select("key", "h", "mark", F.coalesce("component", "h").alias("part")), "parts")
+    left = parts.where(F.col("mark").bitwiseAND(F.lit(INDEXED)) != 0).select(F.col("key").alias("key_a"), F.col("h").alias("a"), F.col("mark").alias("mark_a"), F.col("part").alias("part_a"))
+    both = F.col("mark").bitwiseAND(F.lit(INDEXED)) != 0  # such a pair meets from both sides
+    once = ~both | (F.col("a") < F.col("h"))
+    pairs = left.join(parts, (F.col("key_a") == F.col("key")) & (F.col("part_a") != F.col("part")) & once & counts_within(F.col("mark_a"), F.col("mark"), threshold))
+    pairs = pairs.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    rest = _alike(keep(pairs, "pairs"), texts, threshold)
+    return rest if links is None else links.unionByName(rest)
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The ``pairs`` (a, b) of hashes whose lines are within the threshold."""
     with_a = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
     both = with_a.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
-    links = both.where(within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b")
-    return occurrences, components(links).select(F.col("id").alias("h"), F.col("component").alias("class"))
+    return both.where(within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(h, line) of the lines in ``pairs``, once each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    wanted = keep(wanted, "wanted")
+def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(h, line) of the lines in ``members``, once each."""
+    wanted = keep(members.select("h").distinct(), "wanted")
     lines = _marked(_lines(docs).select(F.xxhash64("line").alias("h"), "line"), *_bit_table(wanted), "h")
     return keep(lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
 
@@ -254,9 +333,9 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def surviving(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, t, n_lines, n_kept, mask): of each document, the surviving lines as words of 64 bits."""
     occurrences, classes = line_classes(docs, threshold, min_chars)
-    named = occurrences.join(classes, "h", "left").withColumn("class", F.coalesce("class", "h"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "pos")
-    first = named.where("class is not null").groupBy("class").agg(F.min(order).alias("first"))
+    per_line = occurrences.where("h is not null").groupBy("h").agg(F.min(order).alias("first"))  # before the join, so no line is frequent there
+    first = per_line.join(classes, "h", "left").groupBy(F.coalesce("class", "h").alias("class")).agg(F.min("first").alias("first"))
     first = first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.t").alias("t"), F.col("first.pos").alias("pos"), F.lit(True).alias("stays"))
     blank = occurrences.where("h is null").select("doc_id", "t", "pos", F.lit(True).alias("stays")).distinct()
     every = occurrences.select("doc_id", "t", "pos", F.lit(False).alias("stays")).distinct()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import textops
 from barloom.llm.ngram_join import PERCENT, WIDTH, _profile, linked_groups, set_digest, sets
-from barloom.llm.shared import columns, keep, partitions
+from barloom.llm.shared import columns, in_batches, keep, partitions
 
 K = 128
 BANDS = 32
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_hex(signatures(b.column("text"), width)), pa.string())], names=["doc_id", "fingerprint"])
 
-    return columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fingerprint string")
+    return columns(docs, doc_id="long", text="string").transform(in_batches, run, "doc_id long, fingerprint string")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
@@ -84,7 +84,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     every pair is searched.
     """
     docs = columns(docs, doc_id="long", text="string")
-    profile = keep(docs.mapInArrow(_profile(width), "doc_id long, n long, sig long, token long, uses long"), "profiles")
+    profile = keep(docs.transform(in_batches, _profile(width), "doc_id long, n long, sig long, token long, uses long"), "profiles")
     profile = profile.where("n is not null").select("doc_id", "n", "sig")
     rows = K // bands
 
@@ -104,7 +104,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
             flat = pa.RecordBatch.from_arrays([pa.array(token.ravel().view(np.int64)), pa.array(salt), pa.array(np.repeat(digest, bands))], names=["token", "salt", "sig"])
             yield pa.Table.from_batches([flat]).group_by(["token", "salt", "sig"]).aggregate([]).combine_chunks().to_batches()[0] if flat.num_rows else flat
 
-    entries = docs.select("text").mapInArrow(run, "token long, salt int, sig long")
+    entries = docs.select("text").transform(in_batches, run, "token long, salt int, sig long")
     return linked_groups(docs, profile, entries, width, percent)
 
 
@@ -125,7 +125,7 @@ def _ranges(docs: DataFrame, pieces: int) -> np.ndarray:
         k = np.flatnonzero(least < np.iinfo(np.int64).max)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(least[k])], names=["k", "id"])
 
-    found = ids.mapInArrow(firsts, "k long, id long").groupBy("k").agg(F.min("id").alias("id")).toArrow()
+    found = ids.transform(in_batches, firsts, "k long, id long").groupBy("k").agg(F.min("id").alias("id")).toArrow()
     return np.sort(found["id"].to_numpy().astype(np.int64))
 
 
@@ -200,6 +200,6 @@ def edited_fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     first = _ranges(docs, min(8 * parts, 4096))
     if not len(first):
         return docs.sparkSession.createDataFrame([], schema)
-    dealt = docs.mapInArrow(_lent(first), "k long, lent boolean, key long, doc_id long, text string")
+    dealt = docs.transform(in_batches, _lent(first), "k long, lent boolean, key long, doc_id long, text string")
     dealt = dealt.repartition(parts, "k").sortWithinPartitions("k", "lent", "key", "text")
-    return dealt.mapInArrow(_edited(width), schema)
+    return dealt.transform(in_batches, _edited(width), schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import textops
-from barloom.llm.shared import columns, components, discard, keep, partitions
+from barloom.llm.shared import columns, components, discard, in_batches, keep, partitions
 
 WIDTH = 5
 PERCENT = 80
@@ -418,7 +418,7 @@ def _shingled(width: int, likely: np.ndarray):
 def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of ``docs`` (doc_id, text)."""
     docs = columns(docs, doc_id="long", text="string")
-    kept = keep(docs.mapInArrow(_profile(width), "doc_id long, n long, sig long, token long, uses long"), "profiles")
+    kept = keep(docs.transform(in_batches, _profile(width), "doc_id long, n long, sig long, token long, uses long"), "profiles")
     profile = kept.where("n is not null").select("doc_id", "n", "sig")
     top = (
         kept.where("token is not null").groupBy("token").agg(F.sum("uses").alias("uses")).where(F.col("uses") >= HOT_LEAST)
@@ -426,10 +426,10 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bloc
     )
     hot = np.sort(top["token"].to_numpy().astype(np.int64).view(np.uint64))
     parts = partitions(docs.sparkSession)
-    entries = docs.select("text").mapInArrow(_prefixes(width, percent, hot), "token long, salt int, sig long, n int")
+    entries = docs.select("text").transform(in_batches, _prefixes(width, percent, hot), "token long, salt int, sig long, n int")
     listed = entries.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "sig")
-    shared = listed.mapInArrow(_shared_only, "sig long, n int, token long, size long")
-    entries = shared.repartition(parts, "sig").sortWithinPartitions("sig", "size", "token").mapInArrow(_rarest, "token long, salt int, sig long")
+    shared = listed.transform(in_batches, _shared_only, "sig long, n int, token long, size long")
+    entries = shared.repartition(parts, "sig").sortWithinPartitions("sig", "size", "token").transform(in_batches, _rarest, "token long, salt int, sig long")
     return linked_groups(docs, profile, entries, width, percent, block_shingles)
 
 
@@ -444,12 +444,12 @@ def linked_groups(docs: DataFrame, profile: DataFrame, entries: DataFrame, width
     members = keep(members.join(sizes, "block").select("block", "parts", "sig", "rep"), "sized")
     likely, bits = _member_filter(members)
     hashed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h"))
-    found = hashed.mapInArrow(_shingled(width, likely), "doc_id long, sig long, shingles binary").withColumnRenamed("sig", "digest")
+    found = hashed.transform(in_batches, _shingled(width, likely), "doc_id long, sig long, shingles binary").withColumnRenamed("sig", "digest")
     shingled = found.join(members, found["doc_id"].eqNullSafe(members["rep"]) & (found["digest"] == members["sig"])).select("block", "parts", "sig", "shingles")
     own = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
     tiled = shingled.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiled = tiled.select(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "sig", "shingles")
-    links = tiled.repartition(parts, "tile").sortWithinPartitions("tile", "sig").mapInArrow(_block_links(percent, block_shingles), "a long, b long")
+    links = tiled.repartition(parts, "tile").sortWithinPartitions("tile", "sig").transform(in_batches, _block_links(percent, block_shingles), "a long, b long")
     linked = keep(components(links).withColumnsRenamed({"id": "sig"}).join(classes, "sig").select("sig", "component", "rep"), "linked")
     smallest = linked.groupBy("component").agg(F.min("rep").alias("least"))
     named = linked.join(smallest, "component").select("sig", "least")
@@ -463,7 +463,7 @@ def linked_groups(docs: DataFrame, profile: DataFrame, entries: DataFrame, width
 def _candidates(entries: DataFrame, parts: int) -> DataFrame:
     """Distinct star edges of the short lists; the salted parts of a list are joined by their centres."""
     dealt = entries.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "sig")
-    stars = keep(dealt.mapInArrow(_stars, "a long, b long, token long"), "stars")
+    stars = keep(dealt.transform(in_batches, _stars, "a long, b long, token long"), "stars")
     discard(entries.sparkSession)
     tops = stars.where("token is not null").select("token", "a").distinct()
     first = tops.groupBy("token").agg(F.min("a").alias("b"))

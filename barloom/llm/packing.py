@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from barloom.llm.shared import columns
+from barloom.llm.shared import columns, in_batches
 from barloom.llm.tokenize import default_path, encoder
 
 LENGTH = 1024
@@ -111,4 +111,4 @@ def _run(path: str, length: int, block_tokens: int, special_tokens: bool):
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS, special_tokens: bool = False) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one for each piece."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return columns(docs, doc_id="long", text="string").mapInArrow(_run(path or default_path(), length, block_tokens, special_tokens), schema)
+    return columns(docs, doc_id="long", text="string").transform(in_batches, _run(path or default_path(), length, block_tokens, special_tokens), schema)

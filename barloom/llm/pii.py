@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import columns
+from barloom.llm.shared import columns, in_batches
 
 KEY = b"barloom surrogate key"
 """Default key; production runs pass their own."""
@@ -292,7 +292,7 @@ def surrogate_report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 kinds.append(",".join(f"{k}:{every.count(k)}" for k in KINDS if k in every))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(kinds, pa.string())], names=["doc_id", "text", "n_entities", "kinds"])
 
-    return columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, text string, n_entities long, kinds string")
+    return columns(docs, doc_id="long", text="string").transform(in_batches, run, "doc_id long, text string, n_entities long, kinds string")
 
 
 def anonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -305,7 +305,7 @@ def anonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             k = b.schema.get_field_index("text")
             yield b.set_column(k, b.schema.field(k), pa.array(text, b.schema.field(k).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_batches, run, docs.schema)
 
 
 def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -321,7 +321,7 @@ def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in rows], pa.string()) for k in range(2)] + [pa.array([memo[v] for v in rows], pa.string())], names=["kind", "entity", "surrogate"])
             memo.clear()
 
-    return columns(docs, text="string").mapInArrow(run, "kind string, entity string, surrogate string").distinct()
+    return columns(docs, text="string").transform(in_batches, run, "kind string, entity string, surrogate string").distinct()
 
 
 def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:

@@ -3,25 +3,33 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+BATCH_BYTES = 4 << 20
+"""Bytes of a batch that goes to a Python worker."""
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this session below ``spark.checkpoint.dir``.
 
-    Where the cluster names no such folder (a local session, as in tests), a
-    temporary one is set, as the driver and the executors are then one machine.
+    Where a local session names no such folder, as in tests, a temporary one is set, as
+    the driver and the executors are then one machine; a cluster has to name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(remove, None, base)
@@ -44,6 +52,29 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return kept
 
 
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of ``BATCH_BYTES`` or so (a longer row is one), so that memory doesn't follow the length of texts.
+
+    The limit is the session's; one that it has set itself stays.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH_LIMIT, None) is None:
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+
+    def bounded(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def release() -> None:
+    """Give what a task has freed back to the system, as its worker stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def discard(spark: SparkSession, *kept: DataFrame) -> None:
     """Delete tables of :func:`keep` that no later step reads, and let Spark drop the shuffles behind them.
 
@@ -81,15 +112,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rows ``(id, component)``; self-loops alone give no row.  Each round keeps
     one parent per child (its smallest), links the other parents to that one,
-    and replaces each parent by its own parent; so depths halve.  Only children
-    are grouped, never the hub of a group: a hub is only ever a join key, where
-    Spark can split it.  The rounds go on until nothing moves.
+    and replaces each parent by its own parent; so depths halve.  The smallest
+    parent is an aggregate, combined before its shuffle, and hubs are only ever
+    join keys, where Spark can split them.  The rounds go on until nothing moves.
     """
-    tree = edges.select(F.greatest("a", "b").alias("c"), F.least("a", "b").alias("p")).where("c != p").distinct()
-    tree = tree.withColumn("moved", F.lit(False))
-    per_child = Window.partitionBy("c")
+    tree = keep(edges.select(F.greatest("a", "b").alias("c"), F.least("a", "b").alias("p")).where("c != p").distinct().withColumn("moved", F.lit(False)), "edges")
     while True:
-        ranked = tree.select("c", "p", "moved", F.min("p").over(per_child).alias("top"))
+        ranked = tree.join(tree.groupBy("c").agg(F.min("p").alias("top")), "c")
         linked = ranked.select(
             F.inline(
                 F.when(

@@ -7,8 +7,8 @@ that still holds it, found in a segment tree over the room left.  A block is
 written to the output folder as three files: the id matrix (rows of ``length``
 little-endian unsigned 32-bit ids, zero-padded), and the cumulative lengths of its
 segments and the places where positions start again at 0 (both unsigned 32-bit,
-with row offsets in the manifest).  Files are written under a task attempt's name
-and then renamed, so a retry replaces its own files and readers see whole ones.
+with row offsets in the manifest).  Files bear a task attempt's own name, which the
+manifest gives, so an attempt that is lost or late never touches another's files.
 
 The manifest names every file; :func:`read_packed` reads the matrices back.
 
@@ -19,7 +19,6 @@ gives an empty manifest; extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -29,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.packing import blocks, documents
-from barloom.llm.shared import columns, keep, partitions, scratch
+from barloom.llm.shared import columns, in_batches, keep, partitions, scratch
 from barloom.llm.tokenize import default_path
-from barloom.llm.warc import file_system, take_name
+from barloom.llm.warc import attempt, file_system
 
 LENGTH = 1024
 BLOCK_TOKENS = 1 << 21
@@ -114,12 +113,10 @@ def _write(folder: str, path: str, length: int, block_tokens: int, special_token
                 cumulative.append(offset + n)
                 resets.append(offset)
                 last = row
-            name = f"part-{context.partitionId():06d}-{k:05d}"
+            name = f"part-{context.partitionId():06d}-{k:05d}-{attempt()}"
             for kind, data in (("ids", matrix), ("lengths", np.array(cumulative, "<u4")), ("resets", np.array(resets, "<u4"))):
-                own = f"{root}/.{name}.{kind}.{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-                with fs.open_output_stream(own) as f:
+                with fs.open_output_stream(f"{root}/{name}.{kind}") as f:
                     f.write(memoryview(np.ascontiguousarray(data)).cast("B"))
-                take_name(fs, own, f"{root}/{name}.{kind}")
             segments = [{"doc_id": block[d][0], "start": a, "length": n, "sequence": r, "offset": o} for d, a, n, r, o in pieces]
             yield pa.RecordBatch.from_pylist(
                 [{"folder": folder, "block": name, "sequences": sequences, "width": length, "segments": segments}], schema=_ARROW
@@ -135,7 +132,7 @@ _ARROW = pa.schema([("folder", pa.string()), ("block", pa.string()), ("sequences
 def write_packed(docs: DataFrame, folder: str, path: str | None = None, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS, special_tokens: bool = False) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into files in ``folder`` (a shared one) and return the manifest, one row for each block."""
     docs = columns(docs, doc_id="long", text="string")
-    return keep(docs.mapInArrow(_write(folder, path or default_path(), length, block_tokens, special_tokens), _MANIFEST), "manifest")
+    return keep(docs.transform(in_batches, _write(folder, path or default_path(), length, block_tokens, special_tokens), _MANIFEST), "manifest")
 
 
 def _read(batches):
@@ -161,7 +158,7 @@ def _read(batches):
 def read_packed(manifest: DataFrame) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, block, sequence, offset), one for each segment, read from the files."""
     schema = "doc_id long, start long, length long, ids_crc32 long, block string, sequence long, offset long"
-    return manifest.repartition(partitions(manifest.sparkSession), F.xxhash64("block")).mapInArrow(_read, schema)
+    return manifest.repartition(partitions(manifest.sparkSession), F.xxhash64("block")).transform(in_batches, _read, schema)
 
 
 def packed_digest(docs: DataFrame, path: str | None = None, length: int = LENGTH, special_tokens: bool = False) -> DataFrame:

@@ -9,9 +9,9 @@ compressed blocks of ``BLOCK_LINES`` lines, with a sparse directory of the block
 first keys beside it.  :func:`lookup` finds the range, then the block, then the line by
 binary search, and reads just the record's bytes from its archive.
 
-Files go to a folder that all executors share, through pyarrow's file systems;
-they are written under the name of the task's attempt and then renamed, so retries
-replace their own files.
+Files go to a folder that all executors share, through pyarrow's file systems.
+Their names are the task attempt's own, and the captures and the index name them, so
+attempts that are lost, late or speculative never touch another's files.
 
 Defined cases: a null html is empty; a null url has the key ``-``; pages with a null
 page_id are responses, are referred to by none, and are found by their url; rows
@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import columns, keep, partitions, scratch
+from barloom.llm.shared import columns, in_batches, keep, partitions, scratch
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
@@ -69,20 +69,11 @@ def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
 
 
-def take_name(fs: pafs.FileSystem, own: str, final: str) -> None:
-    """Give a finished file its name; an earlier attempt's file of that name goes first."""
-    if fs.get_file_info(final).type != pafs.FileType.NotFound:
-        fs.delete_file(final)
-    fs.move(own, final)
-
-
 class _Output:
-    """A file under an attempt's name that takes its own name when closed."""
+    """A file and how much was written; its name holds the attempt's, and the rows that the winning attempt returns hold it."""
 
     def __init__(self, fs: pafs.FileSystem, root: str, name: str) -> None:
-        self.fs, self.final = fs, f"{root}/{name}"
-        self.own = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        self.stream, self.size = fs.open_output_stream(self.own), 0
+        self.stream, self.size = fs.open_output_stream(f"{root}/{name}"), 0
 
     def write(self, data: bytes) -> int:
         at = self.size
@@ -92,7 +83,11 @@ class _Output:
 
     def close(self) -> None:
         self.stream.close()
-        take_name(self.fs, self.own, self.final)
+
+
+def attempt() -> str:
+    """A name of this task attempt's own: a retried, speculative or lost attempt never touches another's files."""
+    return f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
 
 
 def record(page_id: int | None, place: str, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -138,7 +133,7 @@ def _archive(folder: str):
             rows = []
             for page_id, url, html, digest, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
                 if out is None:
-                    name = f"pages-{part:06d}-{number:04d}.warc.gz"
+                    name = f"pages-{part:06d}-{number:04d}-{attempt()}.warc.gz"
                     out = _Output(fs, root, name)
                     number += 1
                 z = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -164,7 +159,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) ->
     equal = keep(equal.where("copies > 1").drop("copies"), "equal-payloads")
     named = pages.join(equal, ["digest", "n"], "left")
     refers = F.when(F.col("page_id") != F.col("response"), F.col("response"))
-    rows = named.select("page_id", "url", "html", "digest", refers.alias("refers_to")).mapInArrow(_archive(folder), _ENTRY)
+    rows = named.select("page_id", "url", "html", "digest", refers.alias("refers_to")).transform(in_batches, _archive(folder), _ENTRY)
     return keep(rows, "captures")
 
 
@@ -180,7 +175,7 @@ def _index(folder: str, lines: int):
     def run(batches):
         fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
-        name = f"index-{TaskContext.get().partitionId():06d}"
+        name = f"index-{TaskContext.get().partitionId():06d}-{attempt()}"
         out, directory, held, ends = None, [], [], []
 
         def block():
@@ -218,7 +213,7 @@ def build_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> D
     parts = partitions(captures.sparkSession)
     at = F.coalesce("page_id", F.lit(_NONE))
     ranged = captures.repartitionByRange(parts, F.col("key"), at).sortWithinPartitions("key", at, "file", "offset")
-    return keep(ranged.mapInArrow(_index(folder, lines), "name string, first_key string, first_id long, last_key string, last_id long, blocks long"), "index")
+    return keep(ranged.transform(in_batches, _index(folder, lines), "name string, first_key string, first_id long, last_key string, last_id long, blocks long"), "index")
 
 
 class Index:
@@ -307,7 +302,7 @@ def lookup(wanted: DataFrame, index: DataFrame, folder: str) -> DataFrame:
     parts = partitions(wanted.sparkSession)
     host = F.lower(F.regexp_extract("url", r"^[^/]*//(?:[^/@]*@)?([^/:?#]*)", 1))
     dealt = wanted.repartitionByRange(parts, F.reverse(F.split(host, r"\.")), "url", "page_id").sortWithinPartitions(F.reverse(F.split(host, r"\.")), "url", "page_id")
-    return dealt.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return dealt.transform(in_batches, run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
