@@ -73,7 +73,7 @@ class _Output:
     """A file and how much was written; its name holds the attempt's, and the rows that the winning attempt returns hold it."""
 
     def __init__(self, fs: pafs.FileSystem, root: str, name: str) -> None:
-        self.stream, self.size = fs.open_output_stream(f"{root}/{name}"), 0
+        self.stream, self.size = fs.open_output_stream(f"{root}/{name}", compression=None), 0
 
     def write(self, data: bytes) -> int:
         at = self.size
