@@ -1,24 +1,29 @@
 """Operator 8: personal data replaced by keyed, type-consistent surrogates.
 
-Entities are found by pattern: e-mail addresses, IPv4 and IPv6 and MAC addresses, IBANs,
-payment cards, US social security numbers, phone numbers, and names after a form
-of address.  A surrogate is a keyed permutation of the entity's own form, so it
-is the same wherever the entity occurs (coreference) without any table or
-shuffle, and no two entities share one (distinctness):
+Entities are found by pattern: e-mail addresses, IPv4, IPv6 (compressed too) and MAC
+addresses, IBANs, payment cards, US social security numbers, phone numbers, and names after
+forms of address or words of introduction, in any script.  The words of a name found so are
+then found wherever else the text has them.  A surrogate is a keyed permutation of the
+entity's own form, so it is the same wherever the entity occurs (coreference) without any
+table or shuffle, and no two entities share one (distinctness):
 
 * Digits and letters are numbers in mixed radix, permuted by a Feistel network
   over HMAC-SHA256 within their form: digits stay digits, and letters stay in their
-  case and script (Latin, Greek or Cyrillic).  Separators stay.
+  case, script and block of the code.  Separators stay.
 * Checks are kept: a card passes Luhn's test exactly if its original does, an IBAN's
   check digits are computed anew, an address stays public or private, and an area
   code doesn't begin with 0 or 1 unless the original's does.
 * Known given names are permuted among the names of their gender and script; other
-  given names and surnames by letters, so "Mrs. Jones" and "Anna Jones" still share a
-  surname.  Forms of address stay, and with them gender.
+  words of names by letters, whatever their case, so "Mrs. Jones", "Anna Jones" and "JONES" still
+  share a surname.  Forms of address stay, and with them gender.
 
 Permuting again until a predicate holds that the original fulfils ("cycle walking")
 keeps each map one to one.  :func:`collisions` checks that over a corpus: it
-gives entities, of equal type, that share a surrogate or were left as they were.
+gives entities, of equal type, that share a surrogate or were left as they were; and
+:func:`surrogate_report` with ``check`` refuses a corpus that has any.
+
+Whoever has the key can undo the surrogates: it is an argument or ``KEY_SETTING``, or else
+drawn at random for the session; there is no default.
 
 Defined cases: a null text stays null; an empty one has no entities; each row is
 treated by itself, so repeated rows and ids agree; extra columns are kept by
@@ -29,18 +34,22 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import secrets
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.shared import columns, in_batches
 
-KEY = b"barloom surrogate key"
-"""Default key; production runs pass their own."""
+KEY_SETTING = "spark.barloom.surrogate.key"
+"""Where the registered query looks for its key; without one it draws a key for the session."""
 
 # The kinds of entities.
 KINDS = ("email", "ipv6", "mac", "ipv4", "iban", "card", "ssn", "phone", "name")
@@ -60,20 +69,36 @@ TITLES = {
     "Dr": "", "Prof": "", "Доктор": "",
 }
 
-_UPPER = "A-ZÀ-ÖØ-ÞΑ-ΡΣ-ΩА-ЯЁ"
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿΑ-ΡΣ-Ωα-ωА-яЁё"
-_WORD = f"[{_UPPER}][{_LETTER}]+(?:[-'’][{_UPPER}][{_LETTER}]+)*"
+# What introduces a name.
+LEADS = (
+    "my name is", "my name's", "mein name ist", "ich heiße", "je m'appelle", "je m’appelle", "mon nom est", "me llamo", "mi nombre es", "mi chiamo", "il mio nome è", "o meu nome é", "меня зовут", "моё имя",
+)
+# What stands before a number that is a telephone's, however it is written.
+PHONES = ("phone", "telephone", "tel", "mobile", "cell", "call", "fax", "telefon", "handy", "téléphone", "teléfono", "móvil", "телефон")
+
+_L = r"\p{L}\p{M}"
+_WORD = rf"\p{{L}}[{_L}]*(?:[-'’]\p{{L}}[{_L}]*)*(?![{_L}\d_])"
+_CAPITAL = rf"\p{{Lu}}[{_L}]*(?:[-'’]\p{{L}}[{_L}]*)*(?![{_L}\d_])"
+_MAJOR = rf"(?:{_CAPITAL}|(?!\p{{Ll}}){_WORD})"  # in scripts without case, any word
+_TITLE = "|".join(regex.escape(t) for t in sorted(TITLES, key=lambda t: (-len(t), t)))
+_SHORT_TITLE = "|".join(regex.escape(t.lower()) for t in sorted(TITLES, key=lambda t: (-len(t), t)))
 _PATTERNS = {
-    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
-    "ipv6": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    "email": regex.compile(r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,24}(?![\p{L}\p{N}-])"),
+    "ipv6": re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}(?![0-9A-Za-z:])"),
     "mac": re.compile(r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])"),
     "ipv4": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)", re.A),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", re.A),
     "card": re.compile(r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d]|-\d)", re.A),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.A),
     "phone": re.compile(r"(?<![\d+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d|[.-]\d)|(?<![\d+.-])\+\d{8,14}(?!\d)", re.A),
-    "name": re.compile(rf"(?<![{_LETTER}])(?:{'|'.join(sorted(TITLES, key=lambda t: (-len(t), t)))})\b\.?[ ]{_WORD}(?:[ ]{_WORD})?"),
+    # Forms of address in their own case with one or two capital words (or all in capitals), and, with a point, in lower case with one word.
+    "name": regex.compile(
+        rf"(?<![{_L}\d_])(?:(?:{_TITLE}|{_TITLE.upper()})(?![{_L}])\.?[ ])+(?P<a>{_MAJOR}(?:[ ]{_MAJOR})?)|(?<![{_L}\d_])(?:(?:{_SHORT_TITLE})\.[ ])+(?P<b>{_WORD}(?:[ ]{_WORD})?)"
+        rf"|(?<![{_L}\d_])(?i:{'|'.join(map(regex.escape, LEADS))})[ ](?P<c>{_MAJOR}(?:[ ]{_MAJOR})?)"
+    ),
 }
+_PLAIN_TITLES = {t.lower() for t in TITLES}
+_CUED = regex.compile(rf"(?<![{_L}])(?i:{'|'.join(PHONES)})(?![{_L}])[ .:#]{{0,3}}(?P<n>\+?\d[\d .()-]{{5,18}}\d)(?![\d])")
 _HINT = {"email": "@", "ipv6": ":"}
 _DIGITS = re.compile(r"\d[\d .()-]{5,}\d", re.A)
 
@@ -83,7 +108,9 @@ class Surrogates:
 
     ROUNDS = 6
 
-    def __init__(self, key: bytes = KEY) -> None:
+    def __init__(self, key: bytes) -> None:
+        if not key:
+            raise ValueError("surrogates need a key")
         self.key = key
 
     def _number(self, label: str, value: int, below: int) -> int:
@@ -135,9 +162,9 @@ class Surrogates:
                 return new
 
     def of(self, kind: str, text: str) -> str:
-        return getattr(self, f"_{kind}", self._plain)(kind, text)
+        return getattr(self, f"_{kind}", self._formed)(kind, text)
 
-    def _plain(self, kind: str, text: str) -> str:
+    def _formed(self, kind: str, text: str) -> str:
         return self.form(kind, text)
 
     def _hex(self, kind: str, text: str) -> str:
@@ -151,10 +178,9 @@ class Surrogates:
 
     def _email(self, kind: str, text: str) -> str:
         """Letters of addresses know no case: permuted in lower case, then set as the original."""
-        local, domain = text.lower().rsplit("@", 1)
+        local, domain = _lower(text).rsplit("@", 1)
         name, top = domain.rsplit(".", 1)
-        new = f"{self.form('local', local)}@{self.form('domain', name)}.{top}"
-        return "".join(c.upper() if o.isupper() else c for c, o in zip(new, text, strict=True))
+        return _cased(f"{self.form('local', local)}@{self.form('domain', name)}.{top}", text)
 
     def _digits(self, label: str, text: str, keeps: Callable[[str], object]) -> str:
         """Digits alone count, however they are set apart."""
@@ -189,33 +215,59 @@ class Surrogates:
         return "".join(next(new) if c != " " else c for c in text)
 
     def _name(self, kind: str, text: str) -> str:
-        title, *names = re.split(r"(?<=\S) ", text)
-        gender = TITLES[title.rstrip(".")]
-        if len(names) == 2:
-            return f"{title} {self.given(names[0], gender)} {self.surname(names[1])}"
-        return f"{title} {self.given(names[0], gender) if _gender(names[0]) else self.surname(names[0])}"
+        words = text.split(" ")
+        titles = len(words) - len(_words(text))
+        return " ".join([*words[:titles], *map(self.word, words[titles:])])
+
+    def word(self, name: str) -> str:
+        """One word of a name: a known given name among its like, another by letters; the case stays."""
+        plain = _lower(name)
+        known = _gender(plain)
+        if known:
+            pool = [_lower(x) for x in GIVEN[known]]
+            new = pool[self.permute(f"given{known}", pool.index(plain), len(pool))]
+            return new.upper() if name.isupper() else new if name == plain else new[:1].upper() + new[1:]
+        return _cased(self.form("name", plain, lambda x: bool(_gender(x))), name)
+
+
+def _words(name: str) -> list[str]:
+    """The words of a name without the forms of address before it."""
+    words = name.split(" ")
+    while len(words) > 1 and _lower(words[0]).rstrip(".") in _PLAIN_TITLES:
+        words = words[1:]
+    return words
+
 
-    def given(self, name: str, gender: str = "") -> str:
-        found = _gender(name)
-        if found:
-            pool = GIVEN[found]
-            return pool[self.permute(f"given{found}", pool.index(name), len(pool))]
-        return self.form("given", name, lambda x: bool(_gender(x)))
+def _lower(text: str) -> str:
+    """Lower case where that is one letter."""
+    return "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
-    def surname(self, name: str) -> str:
-        return self.form("surname", name, lambda x: bool(_gender(x)))
+
+def _cased(text: str, like: str) -> str:
+    """``text`` in the case of ``like``, letter by letter."""
+    return "".join(c.upper() if o.isupper() and len(c.upper()) == 1 else c for c, o in zip(text, like, strict=True))
+
+
+# The letters that a script's common alphabet moves among.
+_CORES = (("0", "9"), ("a", "z"), ("A", "Z"), ("α", "ω"), ("Α", "Ω"), ("а", "я"), ("А", "Я"))
 
 
 @lru_cache(maxsize=4096)
 def _alphabet(c: str) -> str:
-    """The letters or digits among which a character may move; empty for separators."""
-    for first, last in (("0", "9"), ("a", "z"), ("A", "Z"), ("α", "ρ"), ("σ", "ω"), ("Α", "Ρ"), ("Σ", "Ω"), ("а", "я"), ("А", "Я")):
+    """The letters or digits among which a character may move; empty for separators.
+
+    ASCII digits, and common letters of one case among themselves; other letters among those of their
+    script, kind and block of 256 codes (Latin's first two blocks are one) whose case is one letter.
+    """
+    for first, last in _CORES:
         if first <= c <= last:
-            return "".join(map(chr, range(ord(first), ord(last) + 1)))
-    for accented in ("àâäáãåæçèéêëìíîïñòóôöõøùúûüý", "ÀÂÄÁÃÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖÕØÙÚÛÜÝ"):
-        if c in accented:
-            return accented
-    return ""
+            return "".join(x for x in map(chr, range(ord(first), ord(last) + 1)) if x < "\x80" or x.upper().lower() == x or x.lower().upper() == x)
+    kind = unicodedata.category(c)
+    if kind not in ("Ll", "Lu", "Lo") or ord(c) < 128:
+        return ""
+    script = unicodedata.name(c, "").split(" ")[0]
+    block = range(0x80, 0x180) if ord(c) < 0x180 else range(ord(c) & ~255, (ord(c) | 255) + 1)
+    return "".join(x for x in map(chr, block) if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script and len(x.upper()) == len(x.lower()) == 1 and (kind == "Lo" or x.upper().lower() == x.lower() and x.lower().upper() == x.upper()) and not any(a <= x <= b for a, b in _CORES))
 
 
 def luhn(digits: str) -> bool:
@@ -237,14 +289,57 @@ def _network(x: int) -> int:
 
 @lru_cache(maxsize=4096)
 def _gender(name: str) -> tuple[str, str] | None:
-    return next((k for k, pool in GIVEN.items() if name in pool), None)
+    """Gender and script of a known given name, in lower case."""
+    return next((k for k, pool in GIVEN.items() if name in map(_lower, pool)), None)
+
+
+def _ipv6(text: str) -> bool:
+    """Whether colons and digits are an address: eight groups, or a gap and three or more, or a gap after a network's usual first group."""
+    groups = [g for g in text.split(":") if g]
+    if "::" in text:
+        if len(groups) < 3 and not (len(groups) == 2 and len(groups[0]) == 4 and groups[0][0] in "23fF"):
+            return False
+    elif len(groups) != 8:
+        return False
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return True
+
+
+def _names(text: str) -> list[tuple[int, int]]:
+    """Where names are: those told by what stands before them, then every other place of their words."""
+    told = []
+    for m in _PATTERNS["name"].finditer(text):
+        group = next(g for g in "abc" if m[g])
+        a, b = m.span(group)
+        first = m[group].split(" ")[0]
+        if group == "b" and not _gender(_lower(first)):
+            b = a + len(first)  # in lower case the next word is part of it only after a given name
+        told.append((a if group == "c" else m.start(), b))
+    words = {w for a, b in told for w in _words(text[a:b]) if len(w) > 2}
+    if words:
+        forms = words | {w.upper() for w in words} | {w[:1].upper() + w[1:].lower() for w in words}
+        again = regex.compile(rf"(?<![{_L}\d_])(?:{'|'.join(map(regex.escape, sorted(forms, key=lambda w: (-len(w), w))))})(?![{_L}\d_])")
+        told += [m.span() for m in again.finditer(text)]
+    return told
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """Entities (start, end, kind) from left to right; of overlapping ones the kind listed first."""
     taken: list[tuple[int, int, str]] = []
     digits = None
+
+    def take(a: int, b: int, kind: str) -> None:
+        if all(b <= x or y <= a for x, y, _ in taken):
+            taken.append((a, b, kind))
+
     for kind in KINDS:
+        if kind == "name":
+            for a, b in _names(text):
+                take(a, b, kind)
+            continue
         if kind in _HINT and _HINT[kind] not in text:
             continue
         if kind in ("ipv4", "card", "ssn", "phone", "iban", "mac"):
@@ -253,10 +348,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if not digits and kind not in ("iban", "mac"):
                 continue
         for m in _PATTERNS[kind].finditer(text):
-            if kind == "iban" and _mod97(m[0].replace(" ", "")[4:] + m[0][:4]) != 1:
+            if kind == "iban" and _mod97(m[0].replace(" ", "")[4:] + m[0][:4]) != 1 or kind == "ipv6" and not _ipv6(m[0]):
                 continue
-            if all(m.end() <= a or b <= m.start() for a, b, _ in taken):
-                taken.append((m.start(), m.end(), kind))
+            take(m.start(), m.end(), kind)
+        if kind == "phone" and digits:
+            for m in _CUED.finditer(text):
+                take(*m.span("n"), kind)
     return sorted(taken)
 
 
@@ -277,8 +374,23 @@ def replace(text: str, surrogates: Surrogates, memo: dict) -> tuple[str, list[tu
     return "".join([*out, text[at:]]), found
 
 
-def surrogate_report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """Rows (doc_id, text, n_entities, kinds), one for each row of ``docs`` (doc_id, text): the new text and counts by kind."""
+def session_key(spark: SparkSession) -> bytes:
+    """The key of ``KEY_SETTING``, or one drawn for this session."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key.encode()
+
+
+def surrogate_report(docs: DataFrame, key: bytes | None = None, check: bool = False) -> DataFrame:
+    """Rows (doc_id, text, n_entities, kinds), one for each row of ``docs`` (doc_id, text): the new text and counts by kind.
+
+    With ``check``, entities and surrogates of the whole corpus are compared first, and collisions are an error.
+    """
+    key = key or session_key(docs.sparkSession)
+    if check and (clash := collisions(docs, key).limit(3).collect()):
+        raise ValueError(f"surrogates collide: {[(r.kind, r.surrogate, r.n) for r in clash]}")
 
     def run(batches):
         surrogates, memo = Surrogates(key), {}
@@ -295,8 +407,9 @@ def surrogate_report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return columns(docs, doc_id="long", text="string").transform(in_batches, run, "doc_id long, text string, n_entities long, kinds string")
 
 
-def anonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def anonymize(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """``docs``, all columns, with surrogates in ``text``."""
+    key = key or session_key(docs.sparkSession)
 
     def run(batches):
         surrogates, memo = Surrogates(key), {}
@@ -308,25 +421,29 @@ def anonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return docs.transform(in_batches, run, docs.schema)
 
 
-def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """Distinct rows (kind, entity, surrogate) of a corpus."""
+def _plain(kind: str, entity: str, surrogate: str) -> tuple[str, str, str]:
+    """An entity without what tells no two apart: the case of names and addresses, and how digits are set."""
+    if kind in ("name", "email", "ipv6", "mac"):
+        return kind, _lower(entity), _lower(surrogate)
+    return kind, entity, surrogate
+
+
+def entities(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """Distinct rows (kind, entity, surrogate) of a corpus; names by word."""
+    key = key or session_key(docs.sparkSession)
 
     def run(batches):
-        surrogates, memo = Surrogates(key), {}
+        surrogates = Surrogates(key)
         for b in batches:
-            seen = {(k, t[x:y]) for t in b.column("text").to_pylist() if t for x, y, k in find(t)}
-            rows = sorted(seen)
-            for e in rows:
-                memo[e] = surrogates.of(*e)
-            yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in rows], pa.string()) for k in range(2)] + [pa.array([memo[v] for v in rows], pa.string())], names=["kind", "entity", "surrogate"])
-            memo.clear()
+            seen = {(k, w) for t in b.column("text").to_pylist() if t for x, y, k in find(t) for w in (_words(t[x:y]) if k == "name" else [t[x:y]])}
+            rows = sorted({_plain(*e, surrogates.of(*e)) for e in seen})
+            yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in rows], pa.string()) for k in range(3)], names=["kind", "entity", "surrogate"])
 
     return columns(docs, text="string").transform(in_batches, run, "kind string, entity string, surrogate string").distinct()
 
 
-def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def collisions(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """Rows (kind, surrogate, n) where ``n`` entities share a surrogate, or one is its own."""
     found = entities(docs, key)
+    # An entity that has a single form (no letters or digits that could move) stays as it is by necessity.
     return found.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("entity") == F.col("surrogate")).alias("same")).where("n > 1 or same").drop("same")
-
-
