@@ -3,8 +3,8 @@
 Each text's ``width``-word shingles go through ``K`` universal hash functions
 ``a * x + b mod 2**64`` (a odd) in numpy; a component is 16 mixed bits of the
 least value.  :func:`near_duplicates` joins the bands of the signatures in Spark
-and verifies every group by exact Jaccard.  :func:`edited_fingerprints` sets each
-document beside its successor by doc_id: the ids are cut into ranges, each range
+and verifies every group by exact Jaccard.  :func:`edited_fingerprints` (which can name
+these groups too) sets each document beside its successor by doc_id: the ids are cut into ranges, each range
 is lent the first document of the next one, and a task streams its ranges, so
 that one shuffle of the texts is all it takes and no task sees the whole order.
 
@@ -20,15 +20,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import textops
-from barloom.llm.ngram_join import PERCENT, WIDTH, _profile, linked_groups, set_digest, sets
-from barloom.llm.shared import columns, in_batches, keep, partitions
+from barloom.llm.ngram_join import PERCENT, WIDTH, _profile, linked_classes, linked_groups, set_digest, sets
+from barloom.llm.shared import columns, discard, in_batches, keep, partitions
 
 K = 128
 BANDS = 32
+BROADCAST_ROWS = 1 << 18
+"""Sets with near duplicates (16 bytes each) up to which they are broadcast; more are joined by a shuffle."""
 _CHUNK = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(97))
 _A = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,10 +57,13 @@ def signatures(col: pa.Array, width: int = WIDTH) -> np.ndarray:
     return out
 
 
-def _hex(sig: np.ndarray) -> list[str]:
-    raw = sig.astype(">u2").tobytes().hex()
-    n = 4 * sig.shape[1]
-    return [raw[k : k + n] for k in range(0, len(raw), n)]
+def _raw(sig: np.ndarray) -> pa.Array:
+    """The signatures as bytes."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * sig.shape[1]), len(sig), [None, pa.py_buffer(sig.astype(">u2").tobytes())]).cast(pa.binary())
+
+
+def _hexed(column: str) -> Column:
+    return F.lower(F.hex(column)).alias(column)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,21 +76,13 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_hex(signatures(b.column("text"), width)), pa.string())], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _raw(signatures(b.column("text"), width))], names=["doc_id", "fingerprint"])
 
-    return columns(docs, doc_id="long", text="string").transform(in_batches, run, "doc_id long, fingerprint string")
+    return columns(docs, doc_id="long", text="string").transform(in_batches, run, "doc_id long, fingerprint binary").select("doc_id", _hexed("fingerprint"))
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id) over pairs that share a band and reach the similarity.
-
-    Candidates are those of the bands (at 0.8 a pair is missed with a chance below
-    1e-7 at 32 bands of 4); their groups are verified exactly, and within a group
-    every pair is searched.
-    """
-    docs = columns(docs, doc_id="long", text="string")
-    profile = keep(docs.transform(in_batches, _profile(width), "doc_id long, n long, sig long, token long, uses long"), "profiles")
-    profile = profile.where("n is not null").select("doc_id", "n", "sig")
+def _banded(width: int, bands: int):
+    """(token, salt, sig): the bands of each text's signature, keyed by the text's set."""
     rows = K // bands
 
     def run(batches):
@@ -104,8 +101,33 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
             flat = pa.RecordBatch.from_arrays([pa.array(token.ravel().view(np.int64)), pa.array(salt), pa.array(np.repeat(digest, bands))], names=["token", "salt", "sig"])
             yield pa.Table.from_batches([flat]).group_by(["token", "salt", "sig"]).aggregate([]).combine_chunks().to_batches()[0] if flat.num_rows else flat
 
-    entries = docs.select("text").transform(in_batches, run, "token long, salt int, sig long")
-    return linked_groups(docs, profile, entries, width, percent)
+    return run
+
+
+def _profiled(docs: DataFrame, width: int) -> DataFrame:
+    profile = keep(docs.transform(in_batches, _profile(width), "doc_id long, n long, sig long, token long, uses long"), "profiles")
+    return profile.where("n is not null").select("doc_id", "n", "sig")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id) over pairs that share a band and reach the similarity.
+
+    Candidates are those of the bands (at 0.8 a pair is missed with a chance below
+    1e-7 at 32 bands of 4); their groups are verified exactly, and within a group
+    every pair is searched.
+    """
+    docs = columns(docs, doc_id="long", text="string")
+    entries = docs.select("text").transform(in_batches, _banded(width, bands), "token long, salt int, sig long")
+    return linked_groups(docs, _profiled(docs, width), entries, width, percent)
+
+
+def near_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
+    """Rows (sig, component_id) of the shingle sets that have more than one document in their component."""
+    docs = columns(docs, doc_id="long", text="string")
+    entries = docs.select("text").transform(in_batches, _banded(width, bands), "token long, salt int, sig long")
+    classes, linked = linked_classes(docs, _profiled(docs, width), entries, width, percent)
+    several = classes.join(linked, "sig", "left").where("least is not null or copies > 1")
+    return keep(several.select("sig", F.coalesce("least", "rep").alias("component_id")), "near-classes")
 
 
 def _ranges(docs: DataFrame, pieces: int) -> np.ndarray:
@@ -179,27 +201,41 @@ def _compare(rows: list[tuple], width: int) -> pa.RecordBatch:
             pa.array([rows[i][2] for i in pairs], pa.int64()),
             pa.array([len(texts[i]) for i in pairs], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-            pa.array(_hex(own[at]), pa.string()),
-            pa.array(_hex(new), pa.string()),
+            _raw(own[at]),
+            _raw(new),
             pa.array(likeness(own[at], new)),
             pa.array(likeness(own[at], own[at + 1])),
+            pa.array([set_digest(s) for s in sets(pa.array([texts[i] for i in pairs], pa.large_string()), width)], pa.int64()),
         ],
-        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "sig"],
     )
 
 
-def edited_fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, width: int = WIDTH, near: bool = False) -> DataFrame:
     """Fingerprints of each document, of its edited text, and their likenesses.
 
     The edited text has the last floor(n / 2) code points replaced by the first as
-    many (or all) of the next document by doc_id; the first follows the last.
+    many (or all) of the next document by doc_id; the first follows the last.  With
+    ``near``, the signatures' bands are joined and verified first, and ``component_id``
+    is the smallest doc_id that a document reaches over near duplicates, its own without any.
     """
     docs = columns(docs, doc_id="long", text="string")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    parts = partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    groups = near_classes(docs, width) if near else None
+    if near:
+        discard(spark)
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, sig long"
+    parts = partitions(spark)
     first = _ranges(docs, min(8 * parts, 4096))
-    if not len(first):
-        return docs.sparkSession.createDataFrame([], schema)
-    dealt = docs.transform(in_batches, _lent(first), "k long, lent boolean, key long, doc_id long, text string")
-    dealt = dealt.repartition(parts, "k").sortWithinPartitions("k", "lent", "key", "text")
-    return dealt.transform(in_batches, _edited(width), schema)
+    if len(first):
+        dealt = docs.transform(in_batches, _lent(first), "k long, lent boolean, key long, doc_id long, text string")
+        dealt = dealt.repartition(parts, "k").sortWithinPartitions("k", "lent", "key", "text")
+        found = dealt.transform(in_batches, _edited(width), schema)
+    else:
+        found = spark.createDataFrame([], schema)
+    out = ["doc_id", "n_chars", "edited_sha256", _hexed("fingerprint"), _hexed("edited_fingerprint"), "near_edited", "near_next"]
+    if near:
+        small = groups.count() <= BROADCAST_ROWS
+        found = found.join(F.broadcast(groups) if small else groups, "sig", "left")
+        out.append(F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.select(*out)

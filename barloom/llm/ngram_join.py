@@ -435,9 +435,19 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bloc
 
 def linked_groups(docs: DataFrame, profile: DataFrame, entries: DataFrame, width: int, percent: int, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Search the blocks that ``entries`` (token, salt, sig) give, and name each document's component."""
+    classes, linked = linked_classes(docs, profile, entries, width, percent, block_shingles)
+    per_class = keep(classes.join(linked, "sig", "left").select("sig", F.coalesce("least", "rep").alias("component_id")), "classes")
+    return (
+        profile.join(per_class, "sig", "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    )
+
+
+def linked_classes(docs: DataFrame, profile: DataFrame, entries: DataFrame, width: int, percent: int, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """Classes (sig, rep, n, copies), and (sig, least) of those that have a link: the smallest doc_id of their component."""
     parts = partitions(docs.sparkSession)
     edges = _candidates(entries, parts)
-    classes = profile.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    classes = profile.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     blocks = components(edges).withColumnsRenamed({"id": "sig", "component": "block"})
     members = keep(blocks.join(classes, "sig"), "members")
     sizes = members.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("parts"))
@@ -452,12 +462,7 @@ def linked_groups(docs: DataFrame, profile: DataFrame, entries: DataFrame, width
     links = tiled.repartition(parts, "tile").sortWithinPartitions("tile", "sig").transform(in_batches, _block_links(percent, block_shingles), "a long, b long")
     linked = keep(components(links).withColumnsRenamed({"id": "sig"}).join(classes, "sig").select("sig", "component", "rep"), "linked")
     smallest = linked.groupBy("component").agg(F.min("rep").alias("least"))
-    named = linked.join(smallest, "component").select("sig", "least")
-    per_class = keep(classes.join(named, "sig", "left").select("sig", F.coalesce("least", "rep").alias("component_id")), "classes")
-    return (
-        profile.join(per_class, "sig", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    return classes, linked.join(smallest, "component").select("sig", "least")
 
 
 def _candidates(entries: DataFrame, parts: int) -> DataFrame:

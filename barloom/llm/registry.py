@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.edited_fingerprints(_table(spark, sf_dir, "documents"))
+    return minhash.edited_fingerprints(_table(spark, sf_dir, "documents"), near=True)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogate_report(_table(spark, sf_dir, "documents"))
+    return pii.surrogate_report(_table(spark, sf_dir, "documents"), pii.session_key(spark), check=True)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
