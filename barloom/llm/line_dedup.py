@@ -14,13 +14,13 @@ Only DataFrame and SQL functions are used:
    multi-match-aware windows of a segment-partition join.  A key holds the
    indexed line's length and the segment's number.  They are aggregated by line
    before the shuffle, so a line that fills the corpus is sent once a task.
-2. One shuffle by key leaves the keys that two lines share, and a semi join the lines
+2. One shuffle by key leaves the keys that two lines share.  The texts of their lines
+   are fetched behind a broadcast bit table of the hashes wanted, of at most
+   ``FILTER_BITS`` bits, so that few lines are shuffled, and a semi join leaves the lines
    that have a partner of which the counts of twelve letters allow the
-   distance (an edit changes two counts by one at most).  Their texts are fetched
-   behind a broadcast bit table of the hashes
-   wanted, of at most ``FILTER_BITS`` bits, so that few lines are shuffled.
-3. The lines of a key are compared with one pivot of the key, and then those that are
-   still in different components with each other, by a banded bit-parallel edit
+   distance (an edit changes two counts by one at most).
+3. The lines of a key are compared with one pivot of the key, and then those that
+   aren't known to be connected with each other, by a banded bit-parallel edit
    distance: the band of ``2 * threshold + 1`` rows is one word, moved along the diagonal.
 4. Components of the verified pairs are the classes.  A bit mask of each
    document's surviving lines goes back to it; documents that lose no line are
@@ -53,7 +53,7 @@ INDEXED = 1 << 60
 """Bit of a row's mark, above the letter counts, that says that its key is an index key."""
 SAMPLE, HOT_LINES, HOT_KEYS, SALTS = 64, 1 << 13, 1 << 14, 64
 """Keys of ``HOT_LINES`` lines or so, judged by one line in ``SAMPLE``, are dealt by ``SALTS``; ``HOT_KEYS`` of them at most. Results don't depend on it."""
-PIVOT_ROUNDS, PAIRS_A_ROW = 4, 2
+PIVOT_ROUNDS, PAIRS_A_ROW = 4, 8
 """Rounds of comparisons with pivots, made only while lines of a key that are apart make more pairs than ``PAIRS_A_ROW`` a row."""
 
 
@@ -225,9 +225,9 @@ def _banded(t: Column, threshold: int) -> Column:
 
 
 def _keys(per_line: DataFrame, index: int, probe: int) -> DataFrame:
-    """Rows (key, h, mark): the keys of each line; ``mark`` is the letter counts, with ``INDEXED`` for index keys."""
-    pairs = [F.struct(F.col(f"i{k}").alias("key"), F.col("letters").bitwiseOR(F.lit(INDEXED)).alias("mark")) for k in range(index)]
-    pairs += [F.struct(F.col(f"p{k}").alias("key"), F.col("letters").alias("mark")) for k in range(probe)]
+    """Rows (key, h, indexed): the keys of each line."""
+    pairs = [F.struct(F.col(f"i{k}").alias("key"), F.lit(True).alias("indexed")) for k in range(index)]
+    pairs += [F.struct(F.col(f"p{k}").alias("key"), F.lit(False).alias("indexed")) for k in range(probe)]
     return per_line.select("h", F.inline(F.array(*pairs)))
 
 
@@ -240,14 +240,15 @@ def _shared_keys(per_line: DataFrame, index: int, probe: int) -> DataFrame:
     some = _keys(per_line.where(F.pmod("h", F.lit(SAMPLE)) == 0), index, probe).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     hot = keep(some.where(F.col("n") >= HOT_LINES // SAMPLE).orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key", F.lit(True).alias("hot")), "hot-keys")
     rows = _keys(per_line, index, probe)
+    by = ["key"]
     if hot.limit(1).count():
         rows = rows.join(F.broadcast(hot), "key", "left")  # HOT_KEYS rows at most
-    else:
-        rows = rows.withColumn("hot", F.lit(None).cast("boolean"))
-    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("h"), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long")))
-    same = Window.partitionBy("key", "salt")
-    told = rows.withColumns({"least": F.min("h").over(same), "most": F.max("h").over(same), "marks": F.bit_or("mark").over(same)})
-    return told.where((F.col("salt") > 0) | ((F.col("least") < F.col("most")) & (F.col("marks").bitwiseAND(F.lit(INDEXED)) != 0))).select("key", "h", "mark")
+        rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("h"), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long")))
+        by = ["key", "salt"]
+    same = Window.partitionBy(*by)
+    told = rows.withColumns({"least": F.min("h").over(same), "most": F.max("h").over(same), "found": F.max("indexed").over(same)})
+    shared = (F.col("least") < F.col("most")) & F.col("found")
+    return told.where(shared | (F.col("salt") > 0) if len(by) > 1 else shared).select("key", "h", "indexed")
 
 
 def _meet(a: Column, b: Column, threshold: int) -> Column:
@@ -264,18 +265,21 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     index, probe = segment_keys(F.col("line"), F.col("n"), threshold)
     long = _lines(docs).where(solid).select("line", F.char_length("line").alias("n")).where(F.col("n") >= max(min_chars, 2 * threshold + 1))
     # One long for each key: equal lines then meet in a hash aggregate (their keys are equal, so the maximum is any of them).
-    named = {"letters": letter_counts(F.col("line"), F.col("n"))} | {f"i{k}": c for k, c in enumerate(index)} | {f"p{k}": c for k, c in enumerate(probe)}
+    named = {f"i{k}": c for k, c in enumerate(index)} | {f"p{k}": c for k, c in enumerate(probe)}
     keyed = long.select(F.xxhash64("line").alias("h"), *[c.alias(k) for k, c in named.items()])
     per_line = keep(keyed.groupBy("h").agg(*[F.max(k).alias(k) for k in named]), "segments")
     discard(spark)
     shared = keep(_shared_keys(per_line, len(index), len(probe)), "shared-keys")
     discard(spark, per_line)
-    # A line that no other may be alike to is out before any text is fetched; the semi join gives no pairs.
-    other = shared.select(F.col("key").alias("key_b"), F.col("h").alias("b"), F.col("mark").alias("mark_b"))
+    texts = _texts(docs, shared)
+    letters = texts.select("h", letter_counts(F.col("line"), F.char_length("line")).alias("letters"))
+    marked = shared.join(letters, "h").select("key", "h", F.when(F.col("indexed"), F.col("letters").bitwiseOR(F.lit(INDEXED))).otherwise(F.col("letters")).alias("mark"))
+    marked = keep(marked.groupBy("key", "h").agg(F.max("mark").alias("mark")), "marked")
+    # A line that no other may be alike to is out; the semi join gives no pairs.
+    other = marked.select(F.col("key").alias("key_b"), F.col("h").alias("b"), F.col("mark").alias("mark_b"))
     near = (F.col("key") == F.col("key_b")) & (F.col("h") != F.col("b")) & _meet(F.col("mark"), F.col("mark_b"), threshold)
-    members = keep(shared.join(other, near, "left_semi").distinct(), "members")
-    discard(spark, shared)
-    texts = _texts(docs, members)
+    members = keep(marked.join(other, near, "left_semi"), "members")
+    discard(spark, shared, marked)
     links = _links(members, texts, threshold)
     return occurrences, components(links).select(F.col("id").alias("h"), F.col("component").alias("class"))
 
@@ -284,10 +288,9 @@ def _links(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """Alike lines (a, b) that connect every class of the ``members`` (key, h, mark) of keys.
 
     Each line of a key is compared with one pivot of the key, for some rounds while
-    many lines of a key are apart; then those lines of a key that are still in
-    different components are compared with each other.  So a group of near copies takes
-    as many comparisons as it has lines, not their square, and no link between
-    components is missed.
+    many lines of a key are apart; then those lines of a key that aren't known to be
+    connected are compared with each other.  So a group of near copies takes
+    as many comparisons as it has lines, not their square, and no connection is missed.
     """
     n = members.count()
     links, parts, tested = None, members.withColumn("part", F.col("h")), None
@@ -303,8 +306,7 @@ def _links(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
         found = keep(_alike(stars, texts, threshold), "links")
         tested = stars if tested is None else tested.unionByName(stars)
         links = found if links is None else links.unionByName(found)
-        grouped = components(links).select(F.col("id").alias("h"), "component")
-        parts = keep(members.join(grouped, "h", "left").select("key", "h", "mark", F.coalesce("component", "h").alias("part")), "parts")
+        parts = keep(members.join(_near(links), "h", "left").select("key", "h", "mark", F.coalesce("part", "h").alias("part")), "parts")
     left = parts.where(F.col("mark").bitwiseAND(F.lit(INDEXED)) != 0).select(F.col("key").alias("key_a"), F.col("h").alias("a"), F.col("mark").alias("mark_a"), F.col("part").alias("part_a"))
     both = F.col("mark").bitwiseAND(F.lit(INDEXED)) != 0  # such a pair meets from both sides
     once = ~both | (F.col("a") < F.col("h"))
@@ -316,6 +318,14 @@ def _links(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return rest if links is None else links.unionByName(rest)
 
 
+def _near(links: DataFrame) -> DataFrame:
+    """(h, part): the smallest line within two links or so; lines of one part are connected, though connected lines may differ in it."""
+    both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    one = both.groupBy("x").agg(F.min("y").alias("p")).select("x", F.least("x", "p").alias("p"))
+    two = both.join(one.select(F.col("x").alias("y"), F.col("p").alias("q")), "y").groupBy("x").agg(F.min("q").alias("q"))
+    return one.join(two, "x").select(F.col("x").alias("h"), F.least("p", "q").alias("part"))
+
+
 def _alike(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """The ``pairs`` (a, b) of hashes whose lines are within the threshold."""
     with_a = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
