@@ -267,16 +267,16 @@ def rolling_drawdown(n: int = 55) -> Stages:
 
 
 def state_counters(n: int = 24, fast: int = 5, slow: int = 20, threshold: float = 50.0) -> Stages:
-    """Bars since a cross and since an upward cross of a level, crosses, run length, ratio to the maximum."""
+    """Bars since a cross and since an upward cross of a level, crosses, length of the run of rises or falls, ratio to the maximum."""
     cross = R.crosses("_fast", "_slow")
-    up = F.coalesce((_c("close") > threshold) & (R.lag("close") <= threshold), F.lit(False))
+    up = F.coalesce((_c("close") >= threshold) & (R.lag("close") < threshold), F.lit(False))
     sign = F.signum(_c("close") - R.lag("close"))
     top = R.highest("close", n)
     return [
         {"_fast": R.mean("close", fast), "_slow": R.mean("close", slow), "_sign": sign},
         {"_turn": F.coalesce((_c("_sign") != R.lag("_sign")).cast("int"), F.lit(1)), "bars_since_cross": R.bars_since(cross, n), "cross_count": R.count_in(cross, n), "bars_since_threshold": R.bars_since(up, n), "window_max_ratio": F.when(top > 0, _c("close") / top)},
         {"_start": F.max(F.when(_c("_turn") == 1, R.row_no())).over(R.running())},
-        {"consecutive_run": F.when(_c("_sign") == 0, 0).when(_c("_sign").isNotNull(), F.least(R.row_no() - _c("_start") + 1, F.lit(n)))},
+        {"consecutive_run": F.when((_c("_sign") != 0) & (R.row_no() >= n), F.least(R.row_no() - _c("_start") + 1, F.lit(n)))},
     ]
 
 

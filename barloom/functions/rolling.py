@@ -186,17 +186,17 @@ def safe_ratio(a: C, b: C, eps: float = 1e-12, cap: float | None = None) -> Colu
 
 
 def crosses(a: C, b: C) -> Column:
-    """Whether the sign of ``a - b`` differs from the row before."""
+    """Whether ``a - b`` changes sign from the row before; a difference of zero or null on either row is no cross."""
     s = F.signum(col(a) - col(b))
-    before = F.lag(s).over(order())
-    return F.coalesce((s != before) & (s != 0), F.lit(False))
+    return F.coalesce(s * F.lag(s).over(order()) < 0, F.lit(False))
 
 
 def bars_since(event: Column, n: int) -> Column:
-    """Rows since ``event`` last held, within the frame; null if it did not or the frame is short."""
+    """Rows since ``event`` last held among the last ``n``; null if it did not, and on the first ``n`` rows, as an event needs the row before."""
     at = F.max(F.when(event, row_no())).over(frame(n))
-    return F.when(row_no() >= n, row_no() - at)
+    return F.when(row_no() > n, row_no() - at)
 
 
 def count_in(event: Column, n: int) -> Column:
-    return F.when(row_no() >= n, F.sum(event.cast("int")).over(frame(n)))
+    """How often ``event`` holds among the last ``n`` rows; null on the first ``n``."""
+    return F.when(row_no() > n, F.sum(event.cast("int")).over(frame(n)))

@@ -116,36 +116,38 @@ def features_at(events: DataFrame, features: DataFrame, timeframe: str, columns:
     return asof(events, right, "decision_at", "_close", {c: f"{timeframe}_{c}" for c in columns})
 
 
-def manifest(events: DataFrame, gap: int = 0) -> DataFrame:
+def manifest(events: DataFrame, gap: int = 0, bucket: int = 86400) -> DataFrame:
     """Events (event_id, start, end) with overlap count, uniqueness and cluster.
 
-    The count of intervals that overlap [start, end] (itself included) is that of starts
-    up to its end less that of ends before its start: two running counts, no self
-    join.  A cluster goes on while a start is within the latest end, or ``gap`` of
-    the latest start, so far.
+    The intervals that overlap [start, end) (itself included) are the starts before its
+    end less the ends up to its start: two running counts, no self join.  A cluster
+    goes on while a start is within the latest end, or ``gap`` of the latest start,
+    so far.  Everything runs within ``bucket`` seconds, with one row a bucket between them.
     """
-    e = events.withColumn("_all", F.lit(1))
-    starts, ends = F.col("start"), F.col("end")
-    marks = e.select(starts.alias("t"), F.lit(0).alias("side"), F.lit(1).alias("s"), F.lit(0).alias("f"), F.lit(None).cast("long").alias("event_id"))
-    marks = marks.unionByName(e.select(ends.alias("t"), F.lit(2).alias("side"), F.lit(0).alias("s"), F.lit(1).alias("f"), F.lit(None).cast("long").alias("event_id")))
-    ask = e.select(ends.alias("t"), F.lit(1).alias("side"), F.lit(0).alias("s"), F.lit(0).alias("f"), F.col("event_id"))
-    ask = ask.unionByName(e.select(starts.alias("t"), F.lit(-1).alias("side"), F.lit(0).alias("s"), F.lit(0).alias("f"), F.col("event_id")))
-    both = marks.unionByName(ask)
-    # Running sums by ranges: each range's total first, so that no task holds them all.
-    bucket = F.floor(F.col("t") / 86400)
-    both = both.withColumn("bucket", bucket)
+    at = lambda c: F.floor(F.col(c) / bucket)
+    empty = F.col("start") == F.col("end")
+    mark = lambda t, side, s, f, who: events.select(F.col(t).alias("t"), side.alias("side"), F.lit(s).alias("s"), F.lit(f).alias("f"), (F.col("event_id") if who else F.lit(None)).cast(events.schema["event_id"].dataType).alias("event_id"))
+    # At one time: questions for an end, starts, ends, questions for a start; those for an empty interval come before the ends of empty ones.
+    both = mark("end", F.lit(-1), 0, 0, True).unionByName(mark("start", F.lit(0), 1, 0, False))
+    both = both.unionByName(mark("end", F.when(empty, 3).otherwise(1), 0, 1, False)).unionByName(mark("start", F.when(empty, 2).otherwise(4), 0, 0, True)).withColumn("bucket", at("t"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
     totals = both.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("f").alias("f"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
     base = totals.select("bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum("f").over(before), F.lit(0)).alias("f0"))
     w = Window.partitionBy("bucket").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
     run = both.withColumn("ns", F.sum("s").over(w)).withColumn("nf", F.sum("f").over(w)).where("event_id is not null").join(base, "bucket")
-    count = run.groupBy("event_id").agg(
-        (F.max(F.when(F.col("side") == 1, F.col("ns") + F.col("s0"))) - F.max(F.when(F.col("side") == -1, F.col("nf") + F.col("f0")))).alias("overlaps")
-    )
-    by_start = Window.orderBy("start", "end", "event_id")
-    reach = F.max(F.greatest(ends, starts + gap)).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    clusters = events.withColumn("_new", F.coalesce((starts > reach).cast("int"), F.lit(1))).withColumn("cluster", F.sum("_new").over(by_start.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    return clusters.join(count, "event_id").withColumn("uniqueness", 1 / F.col("overlaps"))
+    many = F.max(F.when(F.col("side") == -1, F.col("ns") + F.col("s0"))) - F.max(F.when(F.col("side") > 0, F.col("nf") + F.col("f0")))
+    count = run.groupBy("event_id").agg(F.greatest(many, F.lit(1)).alias("overlaps"))
+    reach = F.greatest(F.col("end"), F.col("start") + gap)
+    e = events.withColumn("_b", at("start"))
+    ends = e.groupBy("_b").agg(F.max(reach).alias("_r"))
+    past = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_b").orderBy("start", "end", "event_id")
+    e = e.join(ends.select("_b", F.max("_r").over(past).alias("_past")), "_b")
+    so_far = F.greatest(F.max(reach).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("_past"))
+    e = e.withColumn("_new", F.coalesce((F.col("start") > so_far).cast("int"), F.lit(1)))
+    opened = e.groupBy("_b").agg(F.sum("_new").alias("_k")).select("_b", F.coalesce(F.sum("_k").over(past), F.lit(0)).alias("_before"))
+    clusters = e.join(opened, "_b").withColumn("cluster", F.col("_before") + F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return clusters.select(*events.columns, "cluster").join(count, "event_id").withColumn("uniqueness", 1 / F.col("overlaps"))
 
 
 def split_events(events: DataFrame, share: float = 0.7, embargo: int = 0, bucket: int = 86400) -> DataFrame:

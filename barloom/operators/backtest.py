@@ -10,32 +10,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+# How a trade ended.
+REASONS = {"stop": "stop_loss", "target": "take_profit", "trailing": "trailing_stop", "signal": "signal_exit", "end of data": "data_end"}
+
+
 @dataclass(frozen=True)
 class Strategy:
-    entry: float = 0.6
+    entry: float = 0.7
     exit: float = 0.4
     stop: float = 2.0
-    """Stop distance in ATRs; the target is ``reward`` times as far."""
-    reward: float = 2.0
-    trail: float | None = None
-    """Once up by so many ATRs, the stop follows the high at that distance."""
+    """Stop distance in ATRs of the entry bar; the target is ``reward`` times as far."""
+    reward: float = 3.0
+    trail: float | None = 0.05
+    """Once up by so many ATRs of the current bar, the stop follows the high at that distance."""
     cooldown: int = 0
-    commission: float = 0.0005
-    slippage: float = 0.0
+    commission: float = 0.001
+    slippage: float = 0.0005
     sizer: str = "fixed"
-    size: float = 1.0
-    """Fixed size, Kelly fraction or largest size, by sizer."""
-
-
-def kelly(p: float, reward: float, fraction: float, most: float = 1.0) -> float:
+    """``fixed``, ``kelly`` or ``scaled``."""
+    size: float = 0.1
+    """Size of the fixed sizer."""
+    fraction: float = 0.5
+    win_loss: float = 1.5
+    """Share of the Kelly size that is taken, and the ratio of a win to a loss that it assumes."""
+    most: float = 0.25
+    """Largest size of the other two."""
+    threshold: float = 0.5
+    """Probability at which the scaled size is 0."""
+
+
+def kelly(p: float, reward: float, fraction: float, most: float = 0.25) -> float:
     return min(max((p * reward - (1 - p)) / reward * fraction, 0.0), most)
 
 
 def position_size(s: Strategy, p: float) -> float:
+    p = min(max(p, 0.0), 1.0)
     if s.sizer == "kelly":
-        return kelly(p, s.reward, s.size)
+        return kelly(p, s.win_loss, s.fraction, s.most)
     if s.sizer == "scaled":
-        return min(max((p - s.entry) / (1 - s.entry), 0.0), 1.0) * s.size
+        return min(max((p - s.threshold) / (1 - s.threshold), 0.0), 1.0) * s.most
     return s.size
 
 
@@ -50,51 +63,58 @@ def cooled(signals: list[bool], bars: int) -> list[bool]:
 
 
 def simulate(o: list, h: list, low: list, c: list, atr: list, p: list, s: Strategy) -> list[tuple]:
-    """Trades (entry bar, exit bar, entry, exit, size, gain share, reason) of one symbol.
+    """Trades (entry bar, exit bar, entry, exit, size, gain share, reason, gain of the size, worst, best) of one symbol.
 
-    Entries are at the close of a signal bar.  From the next bar on, the stop comes
-    before the target, the target before the trailing stop, that before the signal.
+    Entries are at the close of a signal bar, and without stops where that bar has no
+    ATR.  From the next bar on, the stop comes before the target, the target before the
+    trailing stop, that before the signal.  The next entry is after the exit bar; what is
+    open at the end, be it since the last bar, ends at the last close.
     """
+    known = lambda x: x is not None and x == x
     cost = 2 * (s.commission + s.slippage)
-    enter = cooled([x is not None and x == x and x > s.entry for x in p], s.cooldown)
-    trades, i, n = [], 0, len(c)
+    enter = cooled([known(x) and x > s.entry for x in p], s.cooldown)
+    trades, n, i = [], len(c), 0
     while i < n:
-        if not enter[i] or atr[i] is None or atr[i] != atr[i]:
+        if not enter[i]:
             i += 1
             continue
-        price, size = c[i], position_size(s, p[i])
-        stop, target, trail = price - atr[i] * s.stop, price + atr[i] * s.stop * s.reward, None
-        j, out = i + 1, None
-        while j < n and out is None:
-            if s.trail is not None and h[j] >= price + atr[i] * s.trail:
-                trail = max(trail or 0.0, h[j] - atr[i] * s.trail)
-            if low[j] <= stop:
+        price, stop, target, trail = c[i], None, None, None
+        if known(atr[i]) and atr[i] > 0:
+            stop, target = price - atr[i] * s.stop, price + atr[i] * s.stop * s.reward
+        out = n - 1, c[-1], "end of data"
+        for j in range(i + 1, n):
+            if stop is not None and low[j] <= stop:
                 out = j, stop, "stop"
-            elif h[j] >= target:
+                break
+            if target is not None and h[j] >= target:
                 out = j, target, "target"
-            elif trail is not None and low[j] <= trail:
+                break
+            step = atr[j] * s.trail if s.trail is not None and stop is not None and known(atr[j]) and atr[j] > 0 else None
+            if step is not None and h[j] >= price + step:
+                trail = h[j] - step if trail is None else max(trail, h[j] - step)
+            if trail is not None and low[j] <= trail:
                 out = j, trail, "trailing"
-            elif p[j] is not None and p[j] < s.exit:
+                break
+            if known(p[j]) and p[j] < s.exit:
                 out = j, c[j], "signal"
-            j += 1
-        if out is None:
-            out = n - 1, c[-1], "end of data"
-        if out[0] > i:
-            trades.append((i, out[0], price, out[1], size, out[1] / price - 1 - cost, out[2]))
-        i = max(out[0], i + 1)
+                break
+        gain, size, held = out[1] / price - 1 - cost, position_size(s, p[i]), slice(i, out[0] + 1)
+        trades.append((i, out[0], price, out[1], size, gain, out[2], size * gain, min(low[held]) / price - 1, max(h[held]) / price - 1))
+        i = out[0] + 1
     return trades
 
 
-_TRADES = "symbol string, entry_ts long, exit_ts long, entry_price double, exit_price double, size double, gain double, reason string"
+_TRADES = "symbol string, entry_ts long, exit_ts long, entry_price double, exit_price double, size double, gain double, reason string, pnl double, mae double, mfe double"
 
 
 def trades(bars: DataFrame, strategy: Strategy, probability: str = "p", atr: str = "atr") -> DataFrame:
-    """Trades of each symbol; a task walks one symbol's bars."""
+    """Trades of each symbol, ``reason`` being one of :data:`REASONS`; a task walks one symbol's bars."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
         at = pdf["ts"].tolist()
         rows = simulate(*(pdf[k].tolist() for k in ("open", "high", "low", "close", atr, probability)), strategy)
-        return pd.DataFrame([(pdf["symbol"].iloc[0], at[i], at[j], *rest) for i, j, *rest in rows], columns=[c.split()[0] for c in _TRADES.split(", ")])
+        named = [(pdf["symbol"].iloc[0], at[i], at[j], *rest[:4], REASONS[rest[4]], *rest[5:]) for i, j, *rest in rows]
+        return pd.DataFrame(named, columns=[c.split()[0] for c in _TRADES.split(", ")])
 
     return bars.select("symbol", "ts", "open", "high", "low", "close", atr, probability).groupBy("symbol").applyInPandas(run, _TRADES)
 
@@ -127,14 +147,14 @@ def curve_metrics(curve: DataFrame, per_year: float, risk_free: float = 0.0) ->
 
 
 def trade_metrics(done: DataFrame) -> DataFrame:
-    """Counts, rates and averages over trades, with expectancy and system quality."""
-    g = F.col("gain")
-    win, loss = F.when(g > 0, g), F.when(g <= 0, g)
-    rate = F.avg((g > 0).cast("int"))
+    """Counts, rates and averages over trades by ``pnl`` (the gain of the size), and system quality by ``gain``; zeros where nothing is defined."""
+    g, r = F.col("pnl"), F.col("gain")
+    win, loss = F.when(g > 0, g), F.when(g < 0, g)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
     out = done.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n"), rate.alias("win_rate"), F.coalesce(F.avg(win), F.lit(0.0)).alias("avg_win"), F.coalesce(F.avg(loss), F.lit(0.0)).alias("avg_loss"),
-        F.coalesce(F.sum(win) / F.nullif(F.abs(F.sum(loss)), F.lit(0.0)), F.lit(0.0)).alias("profit_factor"),
-        (F.avg(g) / F.nullif(F.stddev_pop(g), F.lit(0.0)) * F.sqrt(F.least(F.count(F.lit(1)), F.lit(100)))).alias("sqn"),
+        F.count(F.lit(1)).alias("n"), F.avg((g > 0).cast("int")).alias("win_rate"), zero(F.avg(win)).alias("avg_win"), zero(F.avg(loss)).alias("avg_loss"),
+        zero(zero(F.sum(win)) / F.nullif(F.abs(F.sum(loss)), F.lit(0.0))).alias("profit_factor"),
+        zero(F.avg(r) / F.nullif(F.stddev_pop(r), F.lit(0.0)) * F.sqrt(F.least(F.count(F.lit(1)), F.lit(100)))).alias("sqn"),
     )
     return out.withColumn("expectancy", F.col("win_rate") * F.col("avg_win") - (1 - F.col("win_rate")) * F.abs("avg_loss"))
 

@@ -86,13 +86,22 @@ def psi(df: DataFrame, value: str, part: str, bins: int = 10, eps: float = 1e-6)
     return shares.where("bin is not null and n0 > 0").agg(F.coalesce(F.sum((a - e) * F.ln(a / e)), F.lit(0.0)).alias("psi"))
 
 
-def kolmogorov(df: DataFrame, value: str, part: str) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic of part 1 against part 0."""
+def kolmogorov(df: DataFrame, value: str, part: str, pieces: int = 64) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic of part 1 against part 0.
+
+    Values are cut into ranges at approximate quantiles; running counts go within a range,
+    and from range to range over one row each, so no task sorts all values.
+    """
     per = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(part) == 0).alias("a"), F.count_if(F.col(part) == 1).alias("b"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(whole) - F.sum("b").over(w) / F.sum("b").over(whole))
-    return per.withColumn("_g", gap).agg(F.max("_g").alias("ks"), F.sum("a").alias("n0"), F.sum("b").alias("n1"))
+    cuts = per.agg(F.percentile_approx(value, [k / pieces for k in range(1, pieces)], 10 * pieces).alias("c")).first()["c"] or []
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    per = per.withColumn("_r", at)
+    past, whole = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sums = per.groupBy("_r").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))
+    sums = sums.select("_r", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"{c}0") for c in ("_a", "_b")], *[F.sum(c).over(whole).alias(f"{c}n") for c in ("_a", "_b")])
+    w = Window.partitionBy("_r").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    gap = F.abs((F.col("_a0") + F.sum("a").over(w)) / F.col("_an") - (F.col("_b0") + F.sum("b").over(w)) / F.col("_bn"))
+    return per.join(F.broadcast(sums), "_r").withColumn("_g", gap).agg(F.max("_g").alias("ks"), F.sum("a").alias("n0"), F.sum("b").alias("n1"))  # sums: ``pieces`` rows
 
 
 def coverage(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
@@ -135,20 +144,6 @@ def cusum(df: DataFrame, value: str, keys: list[str], k: float = 5.0) -> DataFra
     return d.groupBy(*keys).agg(F.max("_c").alias("cusum"), F.max_by("ts", F.struct("_c", -F.col("ts"))).alias("at"), F.coalesce(F.max("_c") > k * F.max("_s"), F.lit(False)).alias("drift"))
 
 
-def time_weights(ts: str, half_life_days: float, least: float = 0.1) -> Column:
-    """Exponential decay by age within the symbol, floored, mean one."""
-    w = Window.partitionBy("symbol")
-    raw = F.greatest(F.exp(-0.6931471805599453 / half_life_days * (F.max(ts).over(w) - F.col(ts)) / 86400), F.lit(least))
-    return raw
-
-
-def class_weights(y: str, method: str = "balanced") -> Column:
-    """Balanced N / (K n_c) or its root form; 1 for a single class."""
-    whole, own = Window.partitionBy(), Window.partitionBy(y)
-    n, k, c = F.count(F.lit(1)).over(whole), F.size(F.collect_set(y).over(whole)), F.count(F.lit(1)).over(own)
-    return F.when(k < 2, 1.0).otherwise(n / (k * c) if method == "balanced" else F.sqrt(n / c))
-
-
 def pareto_front(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows that no other row beats in both objectives (larger is better): one sort, no self join."""
     best = df.groupBy(a).agg(F.max(b).alias("_best"))

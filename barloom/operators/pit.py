@@ -43,6 +43,27 @@ def _quantile(v: list[float], q: float) -> float:
     return v[k] if k + 1 >= len(v) else v[k] + (at - k) * (v[k + 1] - v[k])
 
 
+def _deviation(v: list[float], middle: float) -> float:
+    """Median distance of sorted values from ``middle``: the distances below and above it are sorted runs, merged by binary search."""
+    j = bisect.bisect_left(v, middle)
+    below, above = j, len(v) - j
+
+    def place(k: int) -> float:
+        """The k-th smallest distance (from 0)."""
+        low, high = max(0, k + 1 - above), min(k + 1, below)
+        while low < high:  # how many of the k + 1 smallest lie below
+            i = (low + high) // 2
+            if middle - v[j - 1 - i] < v[j + k - i] - middle:
+                low = i + 1
+            else:
+                high = i
+        i = low
+        return max(middle - v[j - i] if i else -1.0, v[j + k - i] - middle if k + 1 - i else -1.0)
+
+    n = len(v)
+    return (place((n - 1) // 2) + place(n // 2)) / 2
+
+
 def _history(x: np.ndarray, least: int, f: Callable[[list[float], float], tuple]) -> list[tuple | None]:
     held: list[float] = []
     out: list[tuple | None] = []
@@ -72,32 +93,57 @@ def expanding(df: DataFrame, c: str, low: float = 0.05, high: float = 0.95, q: i
     def one(v: list[float], x: float) -> tuple:
         left, right = bisect.bisect_left(v, x), bisect.bisect_right(v, x)
         median = _quantile(v, 0.5)
-        mad = float(np.median(np.abs(np.array(v) - median)))
-        return (left + right + 1) / 2, _quantile(v, low), _quantile(v, high), median, mad, qcut(v, x, q, full)
+        return (left + right + 1) / 2, _quantile(v, low), _quantile(v, high), median, _deviation(v, median), qcut(v, x, q, full)
 
     return apply(df, lambda d: _columns(_history(d[c], least, one), names), names, [c])
 
 
 def positions(df: DataFrame, c: str, q: int = 5, least: int = LEAST) -> DataFrame:
-    """+1 in the top bin, -1 in the bottom one, else 0."""
-    def one(v: list[float], x: float) -> tuple:
-        k = qcut(v, x, q)
-        return (1.0 if k == q - 1 else -1.0 if k == 0 else 0.0,)
+    """+1 in the top bin of the history, -1 in the bottom one, else 0, after ``least`` values.
+
+    There are as many bins as distinct values, ``q`` at most; where repeated edges
+    leave fewer, there is no top bin.
+    """
+    def kernel(d: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        held: list[float] = []
+        known: set[float] = set()
+        out = np.zeros(len(d[c]))
+        for i, x in enumerate(d[c].tolist()):
+            if x != x:
+                continue
+            bisect.insort(held, x)
+            if len(known) < q:
+                known.add(x)
+            bins = min(q, len(known))
+            if len(held) > least and bins > 1:
+                k = qcut(held, x, bins)
+                out[i] = 1.0 if k == bins - 1 else -1.0 if k == 0 else 0.0
+        return {"position": out}
+
+    return apply(df, kernel, ["position"], [c])
+
 
-    return apply(df, lambda d: {"position": np.nan_to_num(_columns(_history(d[c], least, one), ["position"])["position"])}, ["position"], [c])
+def rank_rows(v: np.ndarray) -> np.ndarray:
+    """Average ranks from 1 within each row."""
+    return (v[:, :, None] > v[:, None, :]).sum(axis=2) + ((v[:, :, None] == v[:, None, :]).sum(axis=2) + 1) / 2
 
 
 def rolling_rank_corr(df: DataFrame, a: str, b: str, n: int, stride: int = 1) -> DataFrame:
     """Spearman correlation over every ``stride``-th window of ``n`` rows; null for constant or incomplete ones."""
     def kernel(d: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         out = np.full(len(d[a]), NAN)
-        for i in range(n - 1, len(out), stride):
-            x, y = d[a][i - n + 1 : i + 1], d[b][i - n + 1 : i + 1]
-            if np.isfinite(x).all() and np.isfinite(y).all():
-                rx, ry = ranks(x), ranks(y)
-                sx, sy = rx.std(), ry.std()
-                if sx > 0 and sy > 0:
-                    out[i] = ((rx - rx.mean()) * (ry - ry.mean())).mean() / (sx * sy)
+        if len(out) < n:
+            return {"rank_corr": out}
+        x, y = (np.lib.stride_tricks.sliding_window_view(d[k], n)[::stride] for k in (a, b))
+        at = np.arange(n - 1, len(out), stride)
+        whole = np.flatnonzero(np.isfinite(x).all(axis=1) & np.isfinite(y).all(axis=1))
+        some = max(1, (1 << 22) // (n * n))  # windows at a time: a square of ranks each
+        for k in range(0, len(whole), some):
+            rows = whole[k : k + some]
+            rx, ry = rank_rows(x[rows]), rank_rows(y[rows])
+            rx, ry = rx - rx.mean(axis=1, keepdims=True), ry - ry.mean(axis=1, keepdims=True)
+            spread = np.sqrt((rx * rx).sum(axis=1) * (ry * ry).sum(axis=1))
+            out[at[rows]] = np.where(spread > 0, (rx * ry).sum(axis=1) / np.where(spread > 0, spread, 1), NAN)
         return {"rank_corr": out}
 
     return apply(df, kernel, ["rank_corr"], [a, b])

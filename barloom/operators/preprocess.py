@@ -43,6 +43,21 @@ def fitted_clip(df: DataFrame, c: str, train: Column, method: str = "percentile"
     return out.withColumn(f"{c}_clip", F.when(_c(c).isNotNull(), F.greatest(F.least(_c(c), F.coalesce("_hi", c)), F.coalesce("_lo", c)))).drop("_lo", "_hi")
 
 
+def chain(df: DataFrame, columns: list[str], train: Column, limit: int | None = None) -> DataFrame:
+    """``columns`` filled forward, clipped and standardised by symbol, with bounds and moments of the training rows only.
+
+    Columns that are constant on a symbol's training rows become null there.
+    """
+    for c in columns:
+        w = R.order().rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0)
+        df = df.withColumn(c, F.last(c, ignorenulls=True).over(w))
+        df = fitted_clip(df, c, train).drop(c).withColumnRenamed(f"{c}_clip", c)
+        x = F.when(train, _c(c))
+        fit = df.groupBy("symbol").agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
+        df = df.join(fit, "symbol", "left").withColumn(c, F.when(_c("_s") > 0, (_c(c) - _c("_m")) / _c("_s"))).drop("_m", "_s")
+    return df
+
+
 def gaussian_rank(c: str, n: int) -> Column:
     """Rolling rank share through the inverse normal distribution (rational approximation, error below 5e-4)."""
     p = R.rank_pct(c, n) * (n / (n + 1))

@@ -350,110 +350,157 @@ def mama(x: np.ndarray, fast: float = 0.5, slow: float = 0.05) -> tuple[np.ndarr
 # Entropy and fractal features over a window
 
 
-def windowed(x: np.ndarray, n: int, f: Callable[[np.ndarray], float]) -> np.ndarray:
+def windowed(x: np.ndarray, n: int, f: Callable[[np.ndarray], np.ndarray], rows: int = 2048) -> np.ndarray:
+    """``f`` of the windows of ``n`` values without a gap, as rows of matrices of ``rows`` windows at most."""
     out = np.full(len(x), NAN)
-    for i in range(n - 1, len(x)):
-        v = x[i - n + 1 : i + 1]
-        if not np.isnan(v).any():
-            out[i] = f(v)
+    if len(x) < n:
+        return out
+    v = np.lib.stride_tricks.sliding_window_view(x, n)
+    gaps = np.concatenate([[0], np.cumsum(np.isnan(x))])
+    full = np.flatnonzero(gaps[n:] == gaps[:-n])
+    for k in range(0, len(full), rows):
+        at = full[k : k + rows]
+        out[at + n - 1] = f(v[at])
     return out
 
 
-def shannon(v: np.ndarray, bins: int = 10) -> float:
-    if not len(v):
-        return NAN
-    if v.min() == v.max():
-        return 0.0
-    p = np.histogram(v, bins)[0] / len(v)
-    p = p[p > 0]
-    return float(-(p * np.log2(p)).sum())
+def _share_entropy(counts: np.ndarray) -> np.ndarray:
+    """Entropy in bits of each row's counts."""
+    p = counts / counts.sum(axis=1, keepdims=True)
+    return -np.where(p > 0, p * np.log2(np.where(p > 0, p, 1)), 0.0).sum(axis=1)
 
 
-def _matches(v: np.ndarray, m: int, r: float, own: bool) -> np.ndarray:
-    t = np.lib.stride_tricks.sliding_window_view(v, m)
-    near = np.abs(t[:, None] - t[None]).max(axis=2) <= r
-    return near.sum(axis=1) - (0 if own else 1)
+def _counts(codes: np.ndarray, kinds: int) -> np.ndarray:
+    """How often each code stands in each row."""
+    flat = codes + kinds * np.arange(len(codes))[:, None]
+    return np.bincount(flat.reshape(-1), minlength=kinds * len(codes)).reshape(len(codes), kinds)
 
 
-def approximate_entropy(v: np.ndarray, m: int = 2, r: float = 0.2) -> float:
-    tolerance = r * v.std()
-    if tolerance == 0:
-        return 0.0
-    phi = [np.log(_matches(v, k, tolerance, True) / (len(v) - k + 1)).mean() for k in (m, m + 1)]
-    return float(phi[0] - phi[1])
+def shannon_rows(v: np.ndarray, bins: int = 10) -> np.ndarray:
+    """Entropy over equal bins between each row's extremes, closed on the left but for the last."""
+    low, high = v.min(axis=1, keepdims=True), v.max(axis=1, keepdims=True)
+    edges = np.linspace(low[:, 0], high[:, 0], bins + 1, axis=1)
+    at = np.zeros(v.shape, np.int64)
+    for k in range(1, bins):
+        at += v >= edges[:, k : k + 1]
+    return np.where(low[:, 0] == high[:, 0], 0.0, _share_entropy(_counts(at, bins)))
 
 
-def sample_entropy(v: np.ndarray, m: int = 2, r: float = 0.2) -> float:
-    tolerance = r * v.std()
-    if tolerance == 0:
-        return 0.0
-    b, a = _matches(v[:-1], m, tolerance, False).sum(), _matches(v, m + 1, tolerance, False).sum()
-    return float(-np.log(a / b)) if a and b else NAN
+def permutation_rows(v: np.ndarray, m: int = 3) -> np.ndarray:
+    order = np.argsort(np.lib.stride_tricks.sliding_window_view(v, m, axis=1), axis=2, kind="stable")
+    return _share_entropy(_counts(order @ (m ** np.arange(m)), m**m)) / np.log2(np.prod(np.arange(1, m + 1)))
 
 
-def hurst(v: np.ndarray) -> float:
-    """Slope of log rescaled range on log size; null for poor fits and short windows."""
-    if len(v) < 20:
-        return NAN
-    sizes = [s for s in (len(v) // 8, len(v) // 4, len(v) // 2, len(v)) if s >= 4]
-    points = []
-    for s in sizes:
-        rs = []
-        for k in range(len(v) // s):
-            part = v[k * s : (k + 1) * s]
-            walk = np.cumsum(part - part.mean())
-            if part.std() > 0:
-                rs.append((walk.max() - walk.min()) / part.std())
-        if rs:
-            points.append((np.log(s), np.log(np.mean(rs))))
-    if len(points) < 3:
-        return NAN
-    x, y = np.array(points).T
-    slope, at = np.polyfit(x, y, 1)
-    spread = ((y - y.mean()) ** 2).sum()
-    fit = 1 - ((y - slope * x - at) ** 2).sum() / spread if spread else 0.0
-    return float(slope) if fit >= 0.1 else NAN
+def _matches(v: np.ndarray, m: int, r: np.ndarray, own: bool) -> np.ndarray:
+    """For each row and stretch of ``m``, the stretches of the row within the row's tolerance."""
+    t = np.lib.stride_tricks.sliding_window_view(v, m, axis=1)
+    near = np.abs(t[:, :, None, 0] - t[:, None, :, 0]) <= r[:, None, None]
+    for k in range(1, m):
+        near &= np.abs(t[:, :, None, k] - t[:, None, :, k]) <= r[:, None, None]
+    return near.sum(axis=2) - (0 if own else 1)
+
+
+def approximate_rows(v: np.ndarray, m: int = 2, r: float = 0.2) -> np.ndarray:
+    tolerance = r * v.std(axis=1)
+    phi = [np.log(_matches(v, k, tolerance, True) / (v.shape[1] - k + 1)).mean(axis=1) for k in (m, m + 1)]
+    return np.where(tolerance == 0, 0.0, phi[0] - phi[1])
 
 
-def higuchi(v: np.ndarray, most: int = 8) -> float:
+def sample_rows(v: np.ndarray, m: int = 2, r: float = 0.2) -> np.ndarray:
+    tolerance = r * v.std(axis=1)
+    b, a = _matches(v[:, :-1], m, tolerance, False).sum(axis=1), _matches(v, m + 1, tolerance, False).sum(axis=1)
+    some = (a > 0) & (b > 0)
+    return np.where(tolerance == 0, 0.0, np.where(some, -np.log(np.where(some, a, 1) / np.where(some, b, 1)), NAN))
+
+
+def hurst_rows(v: np.ndarray) -> np.ndarray:
+    """Slope of log rescaled range on log size; null for poor fits and short windows."""
+    n = v.shape[1]
+    if n < 20:
+        return np.full(len(v), NAN)
+    sizes = [s for s in (n // 8, n // 4, n // 2, n) if s >= 4]
+    y = np.full((len(v), len(sizes)), NAN)
+    for k, s in enumerate(sizes):
+        part = v[:, : n // s * s].reshape(len(v), n // s, s)
+        walk = np.cumsum(part - part.mean(axis=2, keepdims=True), axis=2)
+        spread = part.std(axis=2)
+        ok = spread > 0
+        scaled = np.where(ok, (walk.max(axis=2) - walk.min(axis=2)) / np.where(ok, spread, 1), 0.0).sum(axis=1)
+        many = ok.sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            y[:, k] = np.where(many > 0, np.log(scaled / np.maximum(many, 1)), NAN)
+    known = np.isfinite(y)
+    x, y, m = np.where(known, np.log(sizes), 0.0), np.where(known, y, 0.0), known.sum(axis=1)
+    least = np.maximum(m, 1)
+    dx, dy = np.where(known, x - (x.sum(axis=1) / least)[:, None], 0.0), np.where(known, y - (y.sum(axis=1) / least)[:, None], 0.0)
+    sxx, sxy, syy = (dx * dx).sum(axis=1), (dx * dy).sum(axis=1), (dy * dy).sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = sxy / sxx
+        fit = np.where(syy > 0, sxy * slope / syy, 0.0)
+    return np.where((m >= 3) & (fit >= 0.1), slope, NAN)
+
+
+def higuchi_rows(v: np.ndarray, most: int = 8) -> np.ndarray:
     """Fractal dimension by curve lengths at steps 1..most."""
-    n, lengths = len(v), []
+    n, lengths = v.shape[1], []
     for k in range(1, most + 1):
         each = []
         for m in range(k):
-            at = np.arange(m, n, k)
-            if len(at) > 1:
-                each.append(np.abs(np.diff(v[at])).sum() * (n - 1) / ((len(at) - 1) * k) / k)
-        lengths.append(np.mean(each))
-    if min(lengths) <= 0:
-        return NAN
-    return float(np.polyfit(np.log(1 / np.arange(1, most + 1)), np.log(lengths), 1)[0])
+            steps = (n - 1 - m) // k
+            if steps > 0:
+                each.append(np.abs(np.diff(v[:, m::k], axis=1)).sum(axis=1) * (n - 1) / (steps * k) / k)
+        lengths.append(np.mean(each, axis=0))
+    y = np.array(lengths).T
+    x = np.log(1 / np.arange(1, most + 1))
+    dx = x - x.mean()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = (np.log(y) * dx).sum(axis=1) / (dx * dx).sum()
+    return np.where(y.min(axis=1) > 0, slope, NAN)
+
+
+def _of_one(rows: Callable) -> Callable[[np.ndarray], float]:
+    """The same feature of a single window."""
+    return lambda v, **parameters: float(rows(np.asarray(v, float)[None], **parameters)[0]) if len(v) else NAN
 
 
-def permutation_entropy(v: np.ndarray, m: int = 3) -> float:
-    order = np.argsort(np.lib.stride_tricks.sliding_window_view(v, m), axis=1, kind="stable")
-    _, n = np.unique(order @ (m ** np.arange(m)), return_counts=True)
-    p = n / n.sum()
-    return float(-(p * np.log2(p)).sum() / np.log2(np.prod(np.arange(1, m + 1))))
+shannon, permutation_entropy, hurst, higuchi = map(_of_one, (shannon_rows, permutation_rows, hurst_rows, higuchi_rows))
+approximate_entropy, sample_entropy = map(_of_one, (approximate_rows, sample_rows))
 
 
-def vpin(close: np.ndarray, volume: np.ndarray, n: int = 20) -> np.ndarray:
-    """Rolling imbalance of bulk-classified volume over volume."""
+def vpin(close: np.ndarray, volume: np.ndarray, windows: tuple[int, ...] = (30, 50), zscores: tuple[int, ...] = (21, 55)) -> dict[str, np.ndarray]:
+    """Rolling imbalance of bulk-classified volume over volume, and z-scores of the first window's.
+
+    A change of price is taken in deviations over the longest window; without a
+    deviation, volume is half bought.
+    """
     from math import erf, sqrt
 
-    d = pd.Series(close).diff()
-    z = d / d.rolling(n).std()
-    buy = z.map(lambda v: 0.5 * (1 + erf(v / sqrt(2))) if v == v else NAN) * volume
-    gap = (2 * buy - volume).abs().rolling(n).sum()
-    return (gap / pd.Series(volume).rolling(n).sum()).to_numpy()
+    d = pd.Series(close).diff().fillna(0.0)
+    spread = d.rolling(max(windows)).std().fillna(0.0)
+    z = (d / spread.where(spread.abs() > EPSILON)).fillna(0.0)
+    share = z.map(lambda v: 0.5 * (1 + erf(v / sqrt(2)))).where(spread != 0, 0.5)
+    v = pd.Series(volume)
+    gap = (2 * share * v - v).abs()
+    out = {}
+    for n in windows:
+        total = v.rolling(n).sum()
+        out[f"vpin_{n}"] = gap.rolling(n).sum() / total.where(total.abs() > EPSILON) if (spread != 0).any() else 0 * d
+    first = out[f"vpin_{windows[0]}"]
+    for n in zscores:
+        s = first.rolling(n).std()
+        out[f"vpin_zscore_{n}"] = (first - first.rolling(n).mean()) / s.where(s > EPSILON)
+    return {k: x.to_numpy() for k, x in out.items()}
 
 
 # Fractional differencing
 
+EPSILON = 1e-12
+
 
-def fracdiff_weights(d: float, threshold: float = 1e-4, most: int = 500) -> np.ndarray:
+def fracdiff_weights(d: float, threshold: float = 1e-5, most: int = 0) -> np.ndarray:
+    """Weights of a fractional difference, the current row's first, down to ``threshold`` or ``most`` of them (0: any number)."""
     w = [1.0]
-    while len(w) < most:
+    while not most or len(w) < most:
         nxt = -w[-1] * (d - len(w) + 1) / len(w)
         if abs(nxt) < threshold:
             break
@@ -461,15 +508,14 @@ def fracdiff_weights(d: float, threshold: float = 1e-4, most: int = 500) -> np.n
     return np.array(w)
 
 
-def fracdiff(x: np.ndarray, d: float, threshold: float = 1e-4, most: int = 500) -> np.ndarray:
-    """Fixed-width fractional difference; inner gaps are filled forward."""
-    x = pd.Series(x).ffill().to_numpy()
+def fracdiff(x: np.ndarray, d: float, threshold: float = 1e-5, most: int = 0) -> np.ndarray:
+    """Fixed-width fractional difference; inner gaps are filled forward; null throughout if there are fewer values than weights."""
     w = fracdiff_weights(d, threshold, most)
     out = np.full(len(x), NAN)
     first = np.flatnonzero(~np.isnan(x))
-    if len(first):
+    if len(first) >= len(w):
         k = first[0]
-        full = np.convolve(x[k:], w)[: len(x) - k]
+        full = np.convolve(pd.Series(x[k:]).ffill().to_numpy(), w)[: len(x) - k]
         full[: len(w) - 1] = NAN
         out[k:] = full
     return out
@@ -494,14 +540,56 @@ def adf(x: np.ndarray, lag: int = 1) -> float:
 ADF_5 = -2.86
 
 
-def least_difference(x: np.ndarray, precision: float = 0.05, low: float = 0.0, high: float = 1.0) -> float:
-    """The least order of differencing that passes the test, by bisection."""
-    passes = lambda d: (t := adf(fracdiff(x, d))) == t and t < ADF_5
-    if passes(low):
-        return low
-    if not passes(high):
-        return NAN
-    while high - low > precision:
+# MacKinnon's response surface of the test's p-value, with a constant: polynomials for small and large
+# values of the statistic, the value between them, and the range beyond which it is 0 or 1.
+_SMALL, _LARGE = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+_BETWEEN, _RANGE = -1.61, (-18.83, 2.74)
+
+
+def _regressed(x: np.ndarray, d: np.ndarray, lag: int, skip: int) -> tuple[float, float]:
+    """t statistic of the level and AIC of the unit root regression on ``lag`` differences, from row ``skip`` on."""
+    rows = len(d) - skip
+    a = np.column_stack([np.ones(rows), x[skip:-1], *[d[skip - k : len(d) - k] for k in range(1, lag + 1)]])
+    y = d[skip:]
+    beta, *_ = np.linalg.lstsq(a, y, rcond=None)
+    rest = float(((y - a @ beta) ** 2).sum())
+    if rest <= 0 or rows <= a.shape[1]:
+        return NAN, float("inf")
+    error = rest / (rows - a.shape[1]) * np.linalg.pinv(a.T @ a)[1, 1]
+    return float(beta[1] / np.sqrt(error)), rows * np.log(2 * np.pi * rest / rows) + rows + 2 * a.shape[1]
+
+
+def adf_pvalue(x: np.ndarray) -> float:
+    """p-value of the unit root test with a constant, its lag chosen by AIC; 1 where it can't be computed."""
+    from math import erf, sqrt
+
+    x = x[np.isfinite(x)]
+    if len(x) < 20 or np.ptp(x) == 0:
+        return 1.0
+    d = np.diff(x)
+    most = max(0, min(int(np.ceil(12 * (len(x) / 100) ** 0.25)), len(x) // 2 - 2))
+    lag = min(range(most + 1), key=lambda k: _regressed(x, d, k, most)[1])
+    t = _regressed(x, d, lag, lag)[0]
+    if t != t:
+        return 1.0
+    if not _RANGE[0] <= t <= _RANGE[1]:
+        return 0.0 if t < 0 else 1.0
+    z = sum(c * t**k for k, c in enumerate(_SMALL if t <= _BETWEEN else _LARGE))
+    return 0.5 * (1 + erf(z / sqrt(2)))
+
+
+def least_difference(x: np.ndarray, precision: float = 0.02, low: float = 0.0, high: float = 1.0, level: float = 0.05, sample: int = 500, most: int = 0) -> float:
+    """The least order of differencing whose last ``sample`` values pass the test, by bisection; ``high`` if none does."""
+    def passes(d: float) -> bool:
+        v = fracdiff(x, d, most=most)
+        v = v[np.isfinite(v)]
+        return len(v) >= 20 and adf_pvalue(v[-sample:]) <= level
+
+    best = high
+    while high - low > max(precision, 1e-9):
         mid = (low + high) / 2
-        low, high = (low, mid) if passes(mid) else (mid, high)
-    return high
+        if passes(mid):
+            best = high = mid
+        else:
+            low = mid
+    return round(best, 4)

@@ -1,11 +1,15 @@
-"""Index splits on the driver: they plan over row numbers, never over rows."""
+"""Index splits: they plan over row numbers, never over rows; on the driver, or as a table with the ranges of every symbol."""
 
 from __future__ import annotations
 
 import itertools
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 Range = tuple[int, int]
 
@@ -94,3 +98,50 @@ def sequence(strategy: str, low: int, high: int, standard: tuple[int, ...] = (),
     else:
         found = {round(low + k * (high - low) / (count - 1)) for k in range(count)}
     return sorted(found | {s for s in standard if low <= s <= high})
+
+
+PLAN = "symbol string, fold int, part string, start long, end long, n long"
+
+
+def plan_table(df: DataFrame, plan: Callable[[int], list[tuple]], allowed: set[str] | None = None) -> DataFrame:
+    """(symbol, fold, part, start, end, n): the row ranges that ``plan`` gives for each symbol's number of rows.
+
+    ``plan`` gives (train, test) pairs, each a range or a list of ranges.  Rows are only counted;
+    symbols with equal counts share a plan.  A symbol outside ``allowed`` is an error.
+    """
+    sizes = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    if allowed is not None:
+        strange = sizes.where(~F.col("symbol").isin(*allowed)).limit(3).collect()
+        if strange:
+            raise ValueError(f"symbols that are not allowed: {[r['symbol'] for r in strange]}")
+    ranges = []
+    for row in sizes.select("n").distinct().collect():  # distinct lengths of histories
+        for fold, (train, test) in enumerate(plan(row["n"])):
+            for part, found in (("train", train), ("test", test)):
+                ranges += [(row["n"], fold, part, a, b) for a, b in ([found] if isinstance(found, tuple) else found)]
+    if not ranges:
+        raise ValueError("no symbol has rows for a split")
+    known = df.sparkSession.createDataFrame(ranges, "n long, fold int, part string, start long, end long")
+    return sizes.join(known, "n").select("symbol", "fold", "part", "start", "end", "n")
+
+
+def parts_of(df: DataFrame, plan: DataFrame, fold: int) -> DataFrame:
+    """``df`` with the part of each row in one fold (null between the parts): rows meet their symbol's few ranges."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    rows = df.withColumn("_k", F.row_number().over(w) - 1)
+    ranges = plan.where(F.col("fold") == fold).groupBy("symbol").agg(F.collect_list(F.struct("part", "start", "end")).alias("_p"))
+    hit = F.filter("_p", lambda p: (p["start"] <= F.col("_k")) & (F.col("_k") < p["end"]))
+    return rows.join(ranges, "symbol", "left").withColumn("part", F.get(hit, F.lit(0))["part"]).drop("_k", "_p")
+
+
+def runs(df: DataFrame, number: str, keys: list[str]) -> DataFrame:
+    """(keys, start, end): the [start, end) ranges of numbers that follow each other."""
+    w = Window.partitionBy(*keys).orderBy(number)
+    d = df.select(*keys, number).distinct().withColumn("_g", F.col(number) - F.row_number().over(w))
+    return d.groupBy(*keys, "_g").agg(F.min(number).alias("start"), (F.max(number) + 1).alias("end")).drop("_g")
+
+
+def overlap(train: DataFrame, test: DataFrame, ts: str = "ts") -> DataFrame:
+    """(train_last, test_first, apart): whether all training rows lie before all test rows."""
+    a, b = train.agg(F.max(ts).alias("train_last")), test.agg(F.min(ts).alias("test_first"))
+    return a.join(b).withColumn("apart", F.col("train_last") < F.col("test_first"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from barloom.plans.registry import ORACLE, QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("indicators", "research", "candles", "selection", "more", "prep")
+MODULES = ("indicators", "research", "candles", "selection", "more", "prep", "extra")
 
 for _name in MODULES:
     importlib.import_module(f"barloom.plans.{_name}_queries")

@@ -151,14 +151,14 @@ bar_query("tail_drawdown", I.rolling_drawdown, [{"t": S.highest("close", 55)}, {
 bar_query("tail_jarque_bera", I.jarque_bera, [{"r": RET}, {"s": S.agg("skewness", "r", 55), "k": S.agg("kurtosis_pop", "r", 55)}, {"jarque_bera": f"55 / 6.0 * (power(s / {math.sqrt(55 * 54) / 53!r}, 2) + k * k / 4)"}], ["jarque_bera"])
 
 # State counters and time
-_S = "case when rn >= 24 then {} end"
+_S = "case when rn > 24 then {} end"  # a cross needs the row before, so 24 full rows of crosses begin at the 25th
 bar_query(
     "state_counters", I.state_counters,
     [
-        {"f": S.mean("close", 5), "g": S.mean("close", 20), "sg": f"sign(close - {S.lag('close')})", "up": f"coalesce(close > 50 and {S.lag('close')} <= 50, false)", "t": S.highest("close", 24)},
-        {"d": "sign(f - g)"}, {"x": f"coalesce(d <> {S.lag('d')} and d <> 0, false)", "turn": f"coalesce(cast(sg <> {S.lag('sg')} as int), 1)"},
+        {"f": S.mean("close", 5), "g": S.mean("close", 20), "sg": f"sign(close - {S.lag('close')})", "up": f"coalesce({S.lag('close')} < 50 and 50 <= close, false)", "t": S.highest("close", 24)},
+        {"d": "sign(f - g)"}, {"x": f"coalesce((d = 1 and {S.lag('d')} = -1) or (d = -1 and {S.lag('d')} = 1), false)", "turn": f"coalesce(cast(sg <> {S.lag('sg')} as int), 1)"},
         {"bars_since_cross": _S.format(f"rn - max(case when x then rn end) over {S.w(24)}"), "cross_count": _S.format(f"sum(cast(x as int)) over {S.w(24)}"), "bars_since_threshold": _S.format(f"rn - max(case when up then rn end) over {S.w(24)}"), "window_max_ratio": "case when t > 0 then close / t end", "st": f"max(case when turn = 1 then rn end) over {S.RUNNING}"},
-        {"consecutive_run": "case when sg = 0 then 0 when sg is not null then least(rn - st + 1, 24) end"},
+        {"consecutive_run": "case when sg <> 0 and rn >= 24 then least(rn - st + 1, 24) end"},
     ],
     ["bars_since_cross", "cross_count", "bars_since_threshold", "window_max_ratio", "consecutive_run"],
 )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions import indicators as I
 from barloom.functions import rolling as R
 from barloom.operators import extract as X
+from barloom.plans import recursive_sql as Q
 from barloom.plans import sql as S
 from barloom.plans.registry import bar_query, query, rounded
 from barloom.plans.research_queries import EVAL, SCORED, avg_rank, scored
@@ -47,7 +48,7 @@ def _(spark, sf_dir):
     return event_bars(spark, sf_dir).withColumn("hit", X.jump()).where("hit").select("symbol", "ts", "close")
 
 
-@query("ema_trio_features")
+@query("ema_trio_features", Q.EMA_TRIO)
 def _(spark, sf_dir):
     cols = ["ema_5", "ema_20", "ema_60", "distance", "slope"]
     return rounded(X.ema_trio(event_bars(spark, sf_dir)).select("symbol", "ts", *cols, "aligned", "crossed_up"), *cols)
@@ -78,7 +79,11 @@ def _(spark, sf_dir):
     return X.weekly(event_bars(spark, sf_dir), "close", [(40, "fear"), (60, "neutral")], "greed")
 
 
-@query("rolling_auc")
+_BEFORE = "(partition by symbol order by ts rows between 100 preceding and 1 preceding)"
+
+
+@query("rolling_auc", SCORED + f""", l as (select symbol, ts, n, list(taker_ratio) filter (where up = 1 and taker_ratio is not null) over {_BEFORE} as p, list(taker_ratio) filter (where up = 0 and taker_ratio is not null) over {_BEFORE} as q from scored)
+ select symbol, ts, round(case when n > 100 and len(p) > 0 and len(q) > 0 then list_sum(list_transform(p, lambda a: len(list_filter(q, lambda b: b < a)) + 0.5 * len(list_filter(q, lambda b: b = a)))) / (len(p) * len(q)) end, 6) + 0.0 as auc from l""")
 def _(spark, sf_dir):
     return rounded(X.rolling_auc(scored(spark, sf_dir), "taker_ratio", "up", 100), "auc")
 
@@ -155,7 +160,7 @@ def _(spark, sf_dir):
     return rounded(X.stability(trials(spark, sf_dir), "month"), "cv")
 
 
-@query("ema_crossover_lags")
+@query("ema_crossover_lags", Q.EMA_LAGS)
 def _(spark, sf_dir):
     d = X.ema_trio(event_bars(spark, sf_dir))
-    return I.add(d, I.lags(["ema_5"], [1, 2])).select("symbol", "ts", "ema_5_Lag_1", "ema_5_Lag_2")
+    return rounded(I.add(d, I.lags(["ema_5"], [1, 2])).select("symbol", "ts", "ema_5_Lag_1", "ema_5_Lag_2"), "ema_5_Lag_1", "ema_5_Lag_2")

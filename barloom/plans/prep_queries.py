@@ -35,7 +35,9 @@ def _(spark, sf_dir):
     return rounded(a.join(b, ["symbol", "ts"]), "mad", "z", digits=5)
 
 
-@query("gaussian_rank")
+@query("gaussian_rank", f"""with {S.bars()}, l as (select symbol, ts, close, case when count(close) over {S.w(20)} = 20 then list(close) over {S.w(20)} end as l from bars),
+ p as (select symbol, ts, (len(list_filter(l, lambda u: u < close)) + (len(list_filter(l, lambda u: u = close)) + 1) / 2.0) / 21 as p from l), t as (select *, sqrt(-2 * ln(least(p, 1 - p))) as t from p),
+ z as (select symbol, ts, p, t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t) as z from t) select symbol, ts, round(case when p < 0.5 then -z else z end, 6) + 0.0 as g from z""")
 def _(spark, sf_dir):
     return rounded(event_bars(spark, sf_dir).select("symbol", "ts", P.gaussian_rank("close", 20).alias("g")), "g")
 

@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 from barloom.functions import conditions
 from barloom.functions import indicators as I
 from barloom.functions import rolling as R
-from barloom.operators import align, backtest, evaluate, ic, labels, pit, recursive, search
+from barloom.operators import align, backtest, evaluate, ic, labels, pit, recursive, search, weights
+from barloom.plans import entropy_sql as H
+from barloom.plans import recursive_sql as Q
 from barloom.plans import sql as S
 from barloom.plans.registry import bar_query, query, rounded
 from barloom.sources import bars as B
@@ -80,7 +82,7 @@ def _(spark, sf_dir):
     return rounded(ic.autocorrelation(scored(spark, sf_dir), "mom3"), "autocorr")
 
 
-@query("ic_kendall", SCORED + """, b as (select symbol, n, mom3 as x, fwd4 as y from scored where mom3 is not null and fwd4 is not null and n <= 200),
+@query("ic_kendall", SCORED + """, b as (select symbol, n, mom3 as x, fwd4 as y from scored where mom3 is not null and fwd4 is not null),
  p as (select b.symbol, sign(b.x - c.x) as sx, sign(b.y - c.y) as sy from b join b c on b.symbol = c.symbol and b.n > c.n),
  t as (select symbol, sum(sx * sy) as s, sum(sx * sx) as a, sum(sy * sy) as c from p group by symbol), m as (select symbol, count(*) as n from b group by symbol)
  select t.symbol, m.n, round(s / sqrt(a * c), 6) + 0.0 as ic from t join m on t.symbol = m.symbol""")
@@ -88,7 +90,13 @@ def _(spark, sf_dir):
     return rounded(ic.kendall(scored(spark, sf_dir), "mom3", "fwd4", ["symbol"]), "ic")
 
 
-@query("ic_rolling_rank")
+def _ranks(l: str) -> str:
+    return f"list_transform({l}, lambda v: len(list_filter({l}, lambda u: u < v)) + (len(list_filter({l}, lambda u: u = v)) + 1) / 2.0)"
+
+
+@query("ic_rolling_rank", SCORED + f""", l as (select symbol, ts, n, case when (n - 100) % 10 = 0 and count(case when fwd4 is not null then mom3 end) over {S.w(100)} = 100 then list(mom3) over {S.w(100)} end as x, list(fwd4) over {S.w(100)} as y from scored),
+ r as (select symbol, ts, {_ranks('x')} as rx, {_ranks('y')} as ry from l where x is not null), m as (select symbol, ts, list_avg(list_transform(range(1, 101), lambda i: rx[i] * ry[i])) - list_avg(rx) * list_avg(ry) as c, list_stddev_pop(rx) * list_stddev_pop(ry) as s from r)
+ select l.symbol, l.ts, round(case when s > 0 then c / s end, 6) + 0.0 as rank_corr from l left join m on m.symbol = l.symbol and m.ts = l.ts""")
 def _(spark, sf_dir):
     return rounded(pit.rolling_rank_corr(scored(spark, sf_dir), "mom3", "fwd4", 100, 10), "rank_corr")
 
@@ -174,12 +182,18 @@ def _(spark, sf_dir):
     return rounded(pit.expanding(scored(spark, sf_dir), "mom3").select("symbol", "ts", "pit_rank", "pit_low", "pit_high", "pit_median"), "pit_rank", "pit_low", "pit_high", "pit_median")
 
 
-@query("pit_quantile_bins")
+PIT_BINS = SCORED + f""", h as (select *, count(mom3) over {S.RUNNING} as c, quantile_cont(mom3, 0.2) over {S.RUNNING} as q1, quantile_cont(mom3, 0.4) over {S.RUNNING} as q2, quantile_cont(mom3, 0.5) over {S.RUNNING} as mid,
+ quantile_cont(mom3, 0.6) over {S.RUNNING} as q3, quantile_cont(mom3, 0.8) over {S.RUNNING} as q4, list(mom3) filter (where mom3 is not null) over {S.RUNNING} as l from scored),
+ k as (select *, case when mom3 is null then null when mom3 <= q1 then 0 when mom3 <= q2 then 1 when mom3 <= q3 then 2 when mom3 <= q4 then 3 else 4 end as bin from h),
+ p as (select *, case when c > 100 and bin = 4 then 1.0 when c > 100 and bin = 0 then -1.0 else 0.0 end as position from k)"""
+
+
+@query("pit_quantile_bins", PIT_BINS + " select symbol, ts, case when c >= 100 then bin + 0.0 end as pit_bin, round(case when c >= 100 and mom3 is not null then list_median(list_transform(l, lambda x: abs(x - mid))) end, 6) + 0.0 as pit_mad from p")
 def _(spark, sf_dir):
     return rounded(pit.expanding(scored(spark, sf_dir), "mom3").select("symbol", "ts", "pit_bin", "pit_mad"), "pit_bin", "pit_mad")
 
 
-@query("pit_positions_turnover")
+@query("pit_positions_turnover", PIT_BINS + f" select symbol, ts, position, coalesce(abs(position - lag(position) over {O}), 0) as turnover from p")
 def _(spark, sf_dir):
     return rounded(pit.turnover(pit.positions(scored(spark, sf_dir), "mom3")), "turnover")
 
@@ -330,7 +344,7 @@ def _(spark, sf_dir):
     return rounded(align.align_events(events_of(spark, sf_dir), event_bars(spark, sf_dir), "1h"), "event_return")
 
 
-INTERVALS = """with iv as (select event_id, event_type as symbol, epoch_us(ts) // 1000000 as start, epoch_us(ts) // 1000000 + user_id * 60 as "end" from events where event_id < 2000)"""
+INTERVALS = """with iv as (select event_id, event_type as symbol, epoch_us(ts) // 1000000 as start, epoch_us(ts) // 1000000 + user_id * 60 as "end" from events)"""
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,7 +352,7 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("symbol"), t.alias("start"), (t + F.col("user_id") * 60).alias("end"))
 
 
-@query("event_manifest_overlaps", INTERVALS + """, o as (select a.event_id, count(*) as overlaps from iv a join iv b on b.start <= a."end" and b."end" >= a.start group by 1),
+@query("event_manifest_overlaps", INTERVALS + """, o as (select a.event_id, greatest(count(b.event_id), 1) as overlaps from iv a left join iv b on b.start < a."end" and b."end" > a.start group by 1),
  r as (select *, max("end") over (order by start, "end", event_id rows between unbounded preceding and 1 preceding) as reach from iv),
  c as (select *, sum(case when reach is null or start > reach then 1 else 0 end) over (order by start, "end", event_id rows between unbounded preceding and current row) as cluster from r)
  select c.event_id, c.symbol, c.start, c."end", cast(c.cluster as bigint) as cluster, o.overlaps, round(1.0 / o.overlaps, 6) + 0.0 as uniqueness from c join o on c.event_id = o.event_id""")
@@ -423,20 +437,41 @@ def _(spark, sf_dir):
 def traded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     b = event_bars(spark, sf_dir)
     b = b.withColumns({"atr": R.mean("high", 14) - R.mean("low", 14), "p": F.col("taker_ratio")})
-    return b, backtest.trades(b, backtest.Strategy())
+    return b, backtest.trades(b, backtest.Strategy(entry=0.6))
+
 
+TRADE_METRICS = """ select symbol, count(*) as n, round(avg(cast(pnl > 0 as int)), 6) + 0.0 as win_rate, round(coalesce(avg(pnl) filter (where pnl > 0), 0), 6) + 0.0 as avg_win, round(coalesce(avg(pnl) filter (where pnl < 0), 0), 6) + 0.0 as avg_loss,
+ round(coalesce(coalesce(sum(pnl) filter (where pnl > 0), 0) / abs(sum(pnl) filter (where pnl < 0)), 0), 6) + 0.0 as profit_factor, round(coalesce(avg(gain) / nullif(stddev_pop(gain), 0) * sqrt(least(count(*), 100)), 0), 6) + 0.0 as sqn,
+ round(avg(cast(pnl > 0 as int)) * coalesce(avg(pnl) filter (where pnl > 0), 0) - (1 - avg(cast(pnl > 0 as int))) * abs(coalesce(avg(pnl) filter (where pnl < 0), 0)), 6) + 0.0 as expectancy from t group by symbol"""
+_METRICS = ["win_rate", "avg_win", "avg_loss", "profit_factor", "sqn", "expectancy"]
 
-@query("backtest_trades")
+
+# The trade simulation as a recursive table: one bar a step, the position and its levels as the state.
+TRADES = f"""with recursive {S.bars()}, q as (select *, row_number() over {O} as n, case when count(high) over {S.w(14)} >= 14 then avg(high) over {S.w(14)} - avg(low) over {S.w(14)} end as atr, taker_ratio as p from bars),
+ s as (select symbol, cast(0 as bigint) as n, false as live, cast(null as bigint) as en, cast(null as double) as price, cast(null as double) as stop, cast(null as double) as target, cast(null as double) as trail, cast(null as double) as exit_price, cast(null as varchar) as reason from q group by symbol
+  union all select symbol, n, case when live then reason is null else enters end, en, price, stop, target, trail,
+   case reason when 'stop_loss' then stop when 'take_profit' then target when 'trailing_stop' then trail when 'signal_exit' then close end, reason from (
+    select *, case when not live then null when low <= stop then 'stop_loss' when high >= target then 'take_profit' when low <= trail then 'trailing_stop' when p < 0.4 then 'signal_exit' end as reason from (
+     select q.symbol, q.n, q.low, q.high, q.close, q.p, s.live, not s.live and q.p > 0.6 as enters, case when s.live then s.en when q.p > 0.6 then q.n end as en, case when s.live then s.price when q.p > 0.6 then q.close end as price,
+      case when s.live then s.stop when q.p > 0.6 and q.atr > 0 then q.close - 2 * q.atr end as stop, case when s.live then s.target when q.p > 0.6 and q.atr > 0 then q.close + 6 * q.atr end as target,
+      case when s.live and s.stop is not null and q.atr > 0 and q.high >= s.price + 0.05 * q.atr then greatest(coalesce(s.trail, q.high - 0.05 * q.atr), q.high - 0.05 * q.atr) when s.live then s.trail end as trail
+     from s join q on q.symbol = s.symbol and q.n = s.n + 1) x) y),
+ z as (select symbol, en, n as ex, price, exit_price, reason from s where reason is not null union all select s.symbol, s.en, s.n, s.price, q.close, 'data_end' from s join q on q.symbol = s.symbol and q.n = s.n where s.live and not exists (select 1 from q r where r.symbol = s.symbol and r.n = s.n + 1)),
+ t as (select z.symbol, min(q.ts) as entry_ts, max(q.ts) as exit_ts, price as entry_price, exit_price, 0.1 as size, exit_price / price - 1 - 0.003 as gain, 0.1 * (exit_price / price - 1 - 0.003) as pnl, reason, min(q.low) / price - 1 as mae, max(q.high) / price - 1 as mfe
+  from z join q on q.symbol = z.symbol and q.n between z.en and z.ex group by z.symbol, z.en, z.ex, price, exit_price, reason)"""
+
+
+@query("backtest_trades", TRADES + f" select symbol, entry_ts, exit_ts, {rn('entry_price')}, {rn('exit_price')}, cast(size as double) as size, {rn('gain')}, {rn('pnl')}, reason, {rn('mae')}, {rn('mfe')} from t")
 def _(spark, sf_dir):
-    return rounded(traded(spark, sf_dir)[1], "gain", "exit_price")
+    return rounded(traded(spark, sf_dir)[1], "gain", "pnl", "entry_price", "exit_price", "mae", "mfe")
 
 
-@query("backtest_metrics")
+@query("backtest_metrics", TRADES + TRADE_METRICS)
 def _(spark, sf_dir):
-    return rounded(backtest.trade_metrics(traded(spark, sf_dir)[1]), "win_rate", "avg_win", "avg_loss", "profit_factor", "sqn", "expectancy")
+    return rounded(backtest.trade_metrics(traded(spark, sf_dir)[1]), *_METRICS)
 
 
-@query("backtest_equity")
+@query("backtest_equity", TRADES + f" select b.symbol, b.ts, round(product(1 + coalesce(t.gain, 0)) over (partition by b.symbol order by b.ts rows between unbounded preceding and current row), 6) + 0.0 as equity from bars b left join t on t.symbol = b.symbol and t.exit_ts = b.ts")
 def _(spark, sf_dir):
     b, t = traded(spark, sf_dir)
     return rounded(backtest.equity(b, t), "equity")
@@ -450,12 +485,10 @@ def _(spark, sf_dir):
     return rounded(rounded(rounded(d.select("symbol", "bars", "total_return", "sharpe", "sortino", "max_drawdown", "drawdown_bars"), "total_return", "max_drawdown"), "sharpe", digits=5), "sortino", digits=4)
 
 
-@query("trade_statistics", """with t as (select event_type as symbol, (value - 45) / 100 as gain from events) select symbol, count(*) as n, round(avg(cast(gain > 0 as int)), 6) + 0.0 as win_rate, round(avg(gain) filter (where gain > 0), 6) + 0.0 as avg_win, round(avg(gain) filter (where gain <= 0), 6) + 0.0 as avg_loss,
- round(sum(gain) filter (where gain > 0) / abs(sum(gain) filter (where gain <= 0)), 6) + 0.0 as profit_factor, round(avg(gain) / stddev_pop(gain) * sqrt(least(count(*), 100)), 6) + 0.0 as sqn,
- round(avg(cast(gain > 0 as int)) * avg(gain) filter (where gain > 0) - (1 - avg(cast(gain > 0 as int))) * abs(avg(gain) filter (where gain <= 0)), 6) + 0.0 as expectancy from t group by symbol""")
+@query("trade_statistics", "with t as (select event_type as symbol, (value - 45) / 100 as gain, (1 + user_id % 3) * 0.1 * ((value - 45) / 100) as pnl from events)" + TRADE_METRICS)
 def _(spark, sf_dir):
-    t = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("symbol"), ((F.col("value") - 45) / 100).alias("gain"))
-    return rounded(backtest.trade_metrics(t), "win_rate", "avg_win", "avg_loss", "profit_factor", "sqn", "expectancy")
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("symbol"), ((F.col("value") - 45) / 100).alias("gain"), ((1 + F.col("user_id") % 3) * 0.1).alias("size"))
+    return rounded(backtest.trade_metrics(t.withColumn("pnl", F.col("size") * F.col("gain"))), *_METRICS)
 
 
 @query("net_returns_and_breakeven", SCORED + f", p as (select *, sign(mom3) as pos from scored), t as (select *, abs(pos - lag(pos) over {O}) as turn from p) select symbol, round(avg(pos * fwd4), 6) + 0.0 as gross, round(avg(turn), 6) + 0.0 as turnover, round(avg(pos * fwd4) - avg(turn) * 0.001, 6) + 0.0 as net, round(avg(pos * fwd4) / nullif(avg(turn), 0) * 10000, 3) + 0.0 as breakeven_bps from t group by symbol")
@@ -550,11 +583,31 @@ def _(spark, sf_dir):
     return rounded(evaluate.cusum(event_bars(spark, sf_dir), "close", ["symbol"]).drop("at"), "cusum", digits=4)
 
 
-@query("sample_weights", SCORED + """, e as (select * from scored where up is not null) select symbol, ts, round(greatest(exp(-0.6931471805599453 / 10.0 * (max(ts) over (partition by symbol) - ts) / 86400), 0.1), 6) + 0.0 as decay,
- round(count(*) over () / (2.0 * count(*) over (partition by up)), 6) + 0.0 as balance from e""")
+WEIGHTS = SCORED + f""", e as (select *, row_number() over {O} - 1 as k, (max(ts) over (partition by symbol) - ts) / 86400.0 as age, abs(fwd4) as size from scored where up is not null),
+ l as (select a.symbol, a.k, count(*) as c from e a join e b on a.symbol = b.symbol and a.k between b.k and b.k + 3 group by 1, 2),
+ m as (select e.*, greatest(power(0.5, age / 10), 0.01) as d0, count(*) over (partition by e.symbol) / (2.0 * count(*) over (partition by e.symbol, up)) as b0, greatest(size, 0.01) as r0, 1.0 / l.c as u0 from e join l on l.symbol = e.symbol and l.k = e.k),
+ w as (select symbol, ts, d0 / avg(d0) over (partition by symbol) as decay, b0 / avg(b0) over (partition by symbol) as balance, r0 / avg(r0) over (partition by symbol) as by_return, u0 / avg(u0) over (partition by symbol) as uniqueness from m),
+ c as (select *, greatest(decay * balance, 0.01) as c0 from w), f as (select *, c0 / avg(c0) over (partition by symbol) as combined from c)"""
+_WEIGHTS = ["decay", "balance", "by_return", "uniqueness", "combined"]
+
+
+def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = scored(spark, sf_dir).where("up is not null").withColumn("k", (R.row_no() - 1).cast("long"))
+    d = weights.uniqueness(weights.class_balance(d, "up", "balance"), d.select("symbol", F.col("k").alias("start"), (F.col("k") + 4).alias("end")), "k", "uniqueness")
+    d = d.withColumns({"decay": weights.time_decay("ts", 10.0), "by_return": weights.by_return("fwd4")})
+    return d.withColumn("combined", weights.combined(["decay", "balance"]))
+
+
+@query("sample_weights", WEIGHTS + f" select symbol, ts, {', '.join(rn(c) for c in _WEIGHTS)} from f")
+def _(spark, sf_dir):
+    return rounded(weighted(spark, sf_dir).select("symbol", "ts", *_WEIGHTS), *_WEIGHTS)
+
+
+@query("sample_weight_summary", WEIGHTS + """ select symbol, count(*) as n_samples, round(power(sum(combined), 2) / sum(combined * combined), 4) + 0.0 as effective_n, round(power(sum(combined), 2) / sum(combined * combined) / count(*), 6) + 0.0 as efficiency_ratio,
+ round(avg(combined), 6) + 0.0 as weight_mean, round(stddev_pop(combined), 6) + 0.0 as weight_std, round(min(combined), 6) + 0.0 as weight_min, round(max(combined), 6) + 0.0 as weight_max from f group by symbol""")
 def _(spark, sf_dir):
-    d = scored(spark, sf_dir).where("up is not null").select("symbol", "ts", evaluate.time_weights("ts", 10.0).alias("decay"), evaluate.class_weights("up").alias("balance"))
-    return rounded(d, "decay", "balance")
+    d = weights.summary(weighted(spark, sf_dir), "combined")
+    return rounded(rounded(d, "effective_n", digits=4), "efficiency_ratio", "weight_mean", "weight_std", "weight_min", "weight_max")
 
 
 @query("pareto_front", "with t as (select p_partkey, p_retailprice as a, cast(p_size as double) as b from part) select * from t where not exists (select 1 from t u where u.a >= t.a and u.b >= t.b and (u.a > t.a or u.b > t.b))")
@@ -589,28 +642,35 @@ _recursive(
     NUMBERED + f", u as ({ema_sql(14, 'up', 2, '(1.0 / 14)').format(t='u')}), w as ({ema_sql(14, 'down', 2, '(1.0 / 14)').format(t='w')}) select b.symbol, b.ts, round(case when u.v + w.v > 0 then 100 * u.v / (u.v + w.v) when u.v is not null then 0 end, 6) + 0.0 as rsi from b left join u on b.symbol = u.symbol and b.n = u.n left join w on b.symbol = w.symbol and b.n = w.n",
 )
 _recursive("ta_atr", ["atr", "natr"], lambda d: {"atr": (a := recursive.atr(d["high"], d["low"], d["close"])), "natr": 100 * a / d["close"]}, ["high", "low", "close"], NUMBERED + f", e as ({ema_sql(14, 'tr', 2, '(1.0 / 14)').format(t='e')}) select b.symbol, b.ts, round(e.v, 6) + 0.0 as atr, round(100 * e.v / b.close, 6) + 0.0 as natr from b left join e on b.symbol = e.symbol and b.n = e.n")
-_recursive("ta_dema_tema_t3", ["dema", "tema", "t3"], lambda d: {"dema": recursive.dema(d["close"], 10), "tema": recursive.tema(d["close"], 10), "t3": recursive.t3(d["close"])}, ["close"])
-_recursive("ta_kama", ["kama"], lambda d: {"kama": recursive.kama(d["close"])}, ["close"])
-_recursive("ta_macd", ["macd", "macd_signal", "macd_hist"], lambda d: dict(zip(("macd", "macd_signal", "macd_hist"), recursive.macd(d["close"]), strict=True)), ["close"])
-_recursive("ta_macdext", ["macd", "macd_signal", "macd_hist"], lambda d: dict(zip(("macd", "macd_signal", "macd_hist"), recursive.macdext(d["close"], 12, 1, 26, 1, 9, 0), strict=True)), ["close"])
-_recursive("ta_directional", ["plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "adx", "adxr"], lambda d: recursive.directional(d["high"], d["low"], d["close"]), ["high", "low", "close"])
-_recursive("ta_cmo", ["cmo"], lambda d: {"cmo": recursive.cmo(d["close"])}, ["close"])
-_recursive("ta_sar", ["sar"], lambda d: {"sar": recursive.sar(d["high"], d["low"])}, ["high", "low"])
-_recursive("ta_sarext", ["sarext"], lambda d: {"sarext": recursive.sarext(d["high"], d["low"])}, ["high", "low"])
-_recursive("ta_trix", ["trix"], lambda d: {"trix": recursive.trix(d["close"], 15)}, ["close"])
-_recursive("ta_adosc", ["adosc"], lambda d: {"adosc": recursive.adosc(d["high"], d["low"], d["close"], d["volume"])}, ["high", "low", "close", "volume"])
-_recursive("ta_stochrsi", ["fast_k", "fast_d"], lambda d: dict(zip(("fast_k", "fast_d"), recursive.stochrsi(d["close"]), strict=True)), ["close"])
-_recursive("ta_ma_kinds", [f"ma_{k}" for k in (0, 1, 2, 3, 4, 5, 6, 8)], lambda d: {f"ma_{k}": recursive.moving(d["close"], 10, k) for k in (0, 1, 2, 3, 4, 5, 6, 8)}, ["close"])
+_recursive("ta_dema_tema_t3", ["dema", "tema", "t3"], lambda d: {"dema": recursive.dema(d["close"], 10), "tema": recursive.tema(d["close"], 10), "t3": recursive.t3(d["close"])}, ["close"], Q.DEMA)
+_recursive("ta_kama", ["kama"], lambda d: {"kama": recursive.kama(d["close"])}, ["close"], Q.KAMA)
+_recursive("ta_macd", ["macd", "macd_signal", "macd_hist"], lambda d: dict(zip(("macd", "macd_signal", "macd_hist"), recursive.macd(d["close"]), strict=True)), ["close"], Q.MACD)
+_recursive("ta_macdext", ["macd", "macd_signal", "macd_hist"], lambda d: dict(zip(("macd", "macd_signal", "macd_hist"), recursive.macdext(d["close"], 12, 1, 26, 1, 9, 0), strict=True)), ["close"], Q.MACDEXT)
+_recursive("ta_directional", ["plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "adx", "adxr"], lambda d: recursive.directional(d["high"], d["low"], d["close"]), ["high", "low", "close"], Q.DIRECTIONAL)
+_recursive("ta_cmo", ["cmo"], lambda d: {"cmo": recursive.cmo(d["close"])}, ["close"], Q.CMO)
+_recursive("ta_sar", ["sar"], lambda d: {"sar": recursive.sar(d["high"], d["low"])}, ["high", "low"], Q.SAR)
+_recursive("ta_sarext", ["sarext"], lambda d: {"sarext": recursive.sarext(d["high"], d["low"])}, ["high", "low"], Q.SAREXT)
+_recursive("ta_trix", ["trix"], lambda d: {"trix": recursive.trix(d["close"], 15)}, ["close"], Q.TRIX)
+_recursive("ta_adosc", ["adosc"], lambda d: {"adosc": recursive.adosc(d["high"], d["low"], d["close"], d["volume"])}, ["high", "low", "close", "volume"], Q.ADOSC, digits=5)
+_recursive("ta_stochrsi", ["fast_k", "fast_d"], lambda d: dict(zip(("fast_k", "fast_d"), recursive.stochrsi(d["close"]), strict=True)), ["close"], Q.STOCHRSI)
+_recursive("ta_ma_kinds", [f"ma_{k}" for k in (0, 1, 2, 3, 4, 5, 6, 8)], lambda d: {f"ma_{k}": recursive.moving(d["close"], 10, k) for k in (0, 1, 2, 3, 4, 5, 6, 8)}, ["close"], Q.KINDS)
 _recursive("ta_hilbert", ["dc_period", "dc_phase", "in_phase", "quadrature", "sine", "lead_sine", "trendline", "trend_mode"], lambda d: recursive.cycle(d["close"]), ["close"])
 _recursive("ta_mama", ["mama", "fama"], lambda d: dict(zip(("mama", "fama"), recursive.mama(d["close"]), strict=True)), ["close"])
-_recursive("vol_keltner", ["keltner"], lambda d: {"keltner": recursive.keltner(d["high"], d["low"], d["close"])}, ["high", "low", "close"])
-_recursive("volume_klinger", ["klinger"], lambda d: {"klinger": recursive.klinger(d["high"], d["low"], d["close"], d["volume"])}, ["high", "low", "close", "volume"])
-_recursive("volume_force_index", ["force"], lambda d: {"force": recursive.ema((d["close"] - _shift(d["close"])) * d["volume"], 13, "first")}, ["close", "volume"])
-_recursive("micro_vpin", ["vpin"], lambda d: {"vpin": recursive.vpin(d["close"], d["volume"])}, ["close", "volume"])
-_recursive("entropy_features", ["shannon", "permutation", "hurst", "higuchi"], lambda d: {"shannon": recursive.windowed(d["close"], 50, recursive.shannon), "permutation": recursive.windowed(d["close"], 50, recursive.permutation_entropy), "hurst": recursive.windowed(d["close"], 100, recursive.hurst), "higuchi": recursive.windowed(d["close"], 50, recursive.higuchi)}, ["close"])
-_recursive("entropy_approximate", ["apen", "sampen"], lambda d: {"apen": recursive.windowed(d["close"], 40, recursive.approximate_entropy), "sampen": recursive.windowed(d["close"], 40, recursive.sample_entropy)}, ["close"])
-_recursive("fracdiff", ["fracdiff"], lambda d: {"fracdiff": recursive.fracdiff(d["close"], 0.4)}, ["close"])
-_recursive("fracdiff_least_order", ["d"], lambda d: {"d": 0 * d["close"] + recursive.least_difference(d["close"])}, ["close"])
+_recursive("vol_keltner", ["keltner"], lambda d: {"keltner": recursive.keltner(d["high"], d["low"], d["close"])}, ["high", "low", "close"], Q.KELTNER)
+_recursive("volume_klinger", ["klinger"], lambda d: {"klinger": recursive.klinger(d["high"], d["low"], d["close"], d["volume"])}, ["high", "low", "close", "volume"], Q.KLINGER)
+_recursive("volume_force_index", ["force"], lambda d: {"force": recursive.ema((d["close"] - _shift(d["close"])) * d["volume"], 13, "first")}, ["close", "volume"], Q.FORCE)
+_recursive("micro_vpin", ["vpin_30", "vpin_50", "vpin_zscore_21", "vpin_zscore_55"], lambda d: recursive.vpin(d["close"], d["volume"]), ["close", "volume"])
+_WINDOWED = {"shannon": (50, recursive.shannon_rows), "permutation": (50, recursive.permutation_rows), "hurst": (100, recursive.hurst_rows), "higuchi": (50, recursive.higuchi_rows)}
+_recursive("entropy_features", list(_WINDOWED), lambda d: {k: recursive.windowed(d["close"], n, f) for k, (n, f) in _WINDOWED.items()}, ["close"])
+for _name, _oracle, _digits in (("shannon", H.SHANNON, 6), ("permutation", H.PERMUTATION, 6), ("hurst", H.HURST, 5), ("higuchi", H.HIGUCHI, 6)):
+    _recursive(f"entropy_{_name}", [_name], lambda d, k=_name: {k: recursive.windowed(d["close"], *_WINDOWED[k])}, ["close"], _oracle, _digits)
+_recursive("entropy_approximate", ["apen", "sampen"], lambda d: {"apen": recursive.windowed(d["close"], 40, recursive.approximate_rows, 512), "sampen": recursive.windowed(d["close"], 40, recursive.sample_rows, 512)}, ["close"], H.ENTROPIES)
+_FRACDIFF = recursive.fracdiff_weights(0.4, most=100)
+_recursive(
+    "fracdiff", ["fracdiff"], lambda d: {"fracdiff": recursive.fracdiff(d["close"], 0.4, most=100)}, ["close"],
+    f"with {S.bars()} select symbol, ts, round(case when count(*) over {S.w(len(_FRACDIFF))} >= {len(_FRACDIFF)} then list_inner_product(list(close) over {S.w(len(_FRACDIFF))}, [{', '.join(repr(float(x)) for x in _FRACDIFF[::-1])}]) end, 6) + 0.0 as fracdiff from bars",
+)
+_recursive("fracdiff_least_order", ["d"], lambda d: {"d": 0 * d["close"] + recursive.least_difference(d["close"], most=100)}, ["close"])
 
 
 def _shift(x):

@@ -45,7 +45,16 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(c, k in kept, k in low, label[k], round(float(v[k]), 6)) for k, c in enumerate(FACTORS)], "name string, greedy boolean, low_vif boolean, cluster int, vif double")
 
 
-@query("factor_orthogonal")
+_F = "f as (select symbol, ts, mom3, volume, taker_ratio, sma20 from scored where mom3 is not null and volume is not null and taker_ratio is not null and sma20 is not null)"
+
+
+def _step(k: int, factor: str, source: str) -> str:
+    """Factor ``k`` less its regressions on the ones made before."""
+    less = "".join(f" - (select covar_pop(o{j}, {factor}) / var_pop(o{j}) from {source}) * o{j}" for j in range(k))
+    return f"g{k} as (select *, {factor}{less} as o{k} from {source})"
+
+
+@query("factor_orthogonal", SCORED + ", " + ", ".join([_F, *(_step(k, c, f"g{k - 1}" if k else "f") for k, c in enumerate(FACTORS))]) + " select symbol, ts, " + ", ".join(f"round(o{k}, 4) + 0.0 as orth{k}" for k in range(4)) + " from g3")
 def _(spark, sf_dir):
     d = scored(spark, sf_dir).dropna(subset=FACTORS)
     _, _, cov = X.moments(d, FACTORS)

@@ -120,12 +120,23 @@ def read_bars(spark: SparkSession, path: str, timeframe: str, symbols: list[str]
 
 
 def around(bars: DataFrame, centres: DataFrame, before: int, after: int) -> DataFrame:
-    """For each centre (symbol, centre), the bars from ``before`` before to ``after`` after the bar nearest to it."""
+    """For each centre (symbol, centre), the bars from ``before`` before to ``after`` after the bar nearest to it (the earlier of two).
+
+    Centres and bars are sorted together once, which gives each centre the number of the bar
+    before it; bars are then found by their numbers, so no bar meets every centre of its symbol.
+    """
     w = Window.partitionBy("symbol").orderBy("ts")
     numbered = bars.withColumn("bar_no", F.row_number().over(w))
-    near = F.min_by("bar_no", F.struct(F.abs(F.col("ts") - F.col("centre")), "ts"))
-    mid = numbered.join(centres, "symbol").groupBy("symbol", "centre").agg(near.alias("mid_no"))
-    return numbered.join(mid, "symbol").where((F.col("bar_no") >= F.col("mid_no") - before) & (F.col("bar_no") <= F.col("mid_no") + after)).withColumn("offset", F.col("bar_no") - F.col("mid_no"))
+    at = numbered.select("symbol", F.col("ts").cast("double").alias("_t"), F.lit(0).alias("_side"), "bar_no", F.col("ts").alias("_ts"), F.lead("ts").over(w).alias("_after"))
+    asked = centres.select("symbol", "centre").distinct().withColumns({"_t": F.col("centre").cast("double"), "_side": F.lit(1)})
+    both = asked.unionByName(at, allowMissingColumns=True)
+    upto = Window.partitionBy("symbol").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(upto)
+    held = both.withColumns({"_no": last("bar_no"), "_before": last("_ts"), "_next": last(F.when(F.col("_side") == 0, F.coalesce("_after", F.lit(1 << 62))))}).where("_side = 1")
+    nearer = F.col("_next") - F.col("centre") < F.col("centre") - F.col("_before")
+    mid = held.select("symbol", "centre", F.when(F.col("_no").isNull(), 1).when(nearer & (F.col("_next") < (1 << 62)), F.col("_no") + 1).otherwise(F.col("_no")).alias("mid_no"))
+    wanted = mid.withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after)))).withColumn("bar_no", F.col("mid_no") + F.col("offset"))
+    return numbered.join(wanted, ["symbol", "bar_no"])
 
 
 def latest(bars: DataFrame, n: int) -> DataFrame:

@@ -87,6 +87,89 @@ def orphans(registered: DataFrame, found: DataFrame, keys: list[str]) -> DataFra
     return a.unionByName(found.join(registered, keys, "left_anti").select(*keys, F.lit("found").alias("only_in")))
 
 
+def write_arrow(df: DataFrame, path: str, most: int = 1 << 20) -> int:
+    """A reference table of at most ``most`` rows as an Arrow IPC file; more are an error, as it is gathered on the driver."""
+    import pyarrow as pa
+
+    n = df.count()
+    if n > most:
+        raise ValueError(f"{n} rows are too many for one Arrow file; write Parquet")
+    fs, at = _file_system(path)
+    table = df.toArrow()
+    with fs.open_output_stream(at) as out, pa.ipc.new_file(out, table.schema) as f:
+        f.write_table(table)
+    return n
+
+
+def read_arrow(spark: SparkSession, path: str) -> DataFrame:
+    import pyarrow as pa
+
+    fs, at = _file_system(path)
+    with fs.open_input_file(at) as f:
+        return spark.createDataFrame(pa.ipc.open_file(f).read_all())
+
+
+def _file_system(path: str):
+    import pyarrow.fs as pafs
+
+    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
+def save_json(payload: object, path: str) -> None:
+    """A small object as one JSON file, in one form whatever the order of its keys."""
+    from barloom.functions.names import stable_json
+
+    fs, at = _file_system(path)
+    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(at, compression=None) as f:
+        f.write(stable_json(payload).encode())
+
+
+def load_json(path: str) -> object:
+    import json
+
+    fs, at = _file_system(path)
+    with fs.open_input_stream(at, compression=None) as f:
+        return json.loads(f.read())
+
+
+def checkpoint(state: dict, folder: str, number: int, keep: int = 3) -> list[int]:
+    """Save the state of a search under its trial's number, and delete all but the newest ``keep``; the numbers that are left."""
+    import pyarrow.fs as pafs
+
+    save_json(state, f"{folder}/checkpoint-{number:08d}.json")
+    fs, at = _file_system(folder)
+    found = sorted((f for f in fs.get_file_info(pafs.FileSelector(at)) if f.base_name.startswith("checkpoint-")), key=lambda f: f.base_name)
+    for old in found[:-keep]:
+        fs.delete_file(old.path)
+    return [int(f.base_name[11:19]) for f in found[-keep:]]
+
+
+def save_model(model, path: str, about: dict) -> None:
+    """A fitted Spark model with a JSON file of what it is beside it."""
+    model.write().overwrite().save(f"{path}/model")
+    save_json(about, f"{path}/about.json")
+
+
+# What a candidate's record must say.
+CANDIDATE = ("candidate_id", "evaluation_id", "rule_digest", "seed", "input_digest", "command", "expected")
+
+
+def record_candidate(spark: SparkSession, meta: dict, path: str) -> bool:
+    """Append a candidate to a ledger of JSON lines, with where it came from in a sidecar; False if the pair of ids is there already."""
+    missing = [k for k in CANDIDATE if k not in meta]
+    if missing or meta["expected"] not in ("pass", "fail"):
+        raise ValueError(f"candidate record: missing {missing}, expected {meta.get('expected')!r}")
+    ids = (meta["candidate_id"], meta["evaluation_id"])
+    fs, at = _file_system(path)
+    side = f"{path.rstrip('/')}-provenance/{ids[0]}-{ids[1]}.json"
+    if fs.get_file_info(_file_system(side)[1]).type.name != "NotFound":
+        return False
+    save_json(meta, side)
+    spark.createDataFrame([(*ids, meta["rule_digest"], str(meta.get("attempt_index", 0)))], "candidate_id string, evaluation_id string, rule_digest string, attempt_index string").coalesce(1).write.mode("append").json(path)
+    return True
+
+
 def schema_hash(columns: list[str]) -> str:
     import hashlib
     import json
