@@ -53,6 +53,8 @@ INDEXED = 1 << 60
 """Bit of a row's mark, above the letter counts, that says that its key is an index key."""
 SAMPLE, HOT_LINES, HOT_KEYS, SALTS = 64, 1 << 13, 1 << 14, 64
 """Keys of ``HOT_LINES`` lines or so, judged by one line in ``SAMPLE``, are dealt by ``SALTS``; ``HOT_KEYS`` of them at most. Results don't depend on it."""
+SMALL_MEMBERS, SMALL_BYTES = 1 << 14, 32 << 20
+"""Rows of keys, and bytes of their lines, up to which lines are compared in one task without shuffles."""
 PIVOT_ROUNDS, PAIRS_A_ROW = 4, 8
 """Rounds of comparisons with pivots, made only while lines of a key that are apart make more pairs than ``PAIRS_A_ROW`` a row."""
 
@@ -280,6 +282,10 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     near = (F.col("key") == F.col("key_b")) & (F.col("h") != F.col("b")) & _meet(F.col("mark"), F.col("mark_b"), threshold)
     members = keep(marked.join(other, near, "left_semi"), "members")
     discard(spark, shared, marked)
+    if members.count() <= SMALL_MEMBERS:
+        own = keep(texts.join(members.select("h").distinct(), "h", "left_semi").coalesce(1), "few-texts")
+        if (own.agg(F.sum(F.octet_length("line"))).first()[0] or 0) <= SMALL_BYTES:
+            members, texts = keep(members.coalesce(1), "few-members"), own
     links = _links(members, texts, threshold)
     return occurrences, components(links).select(F.col("id").alias("h"), F.col("component").alias("class"))
 
@@ -337,7 +343,8 @@ def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(h, line) of the lines in ``members``, once each."""
     wanted = keep(members.select("h").distinct(), "wanted")
     lines = _marked(_lines(docs).select(F.xxhash64("line").alias("h"), "line"), *_bit_table(wanted), "h")
-    return keep(lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
+    # Equal lines are one before the join, so a line that fills the corpus is sent once a task.
+    return keep(lines.groupBy("h").agg(F.first("line").alias("line")).join(wanted, "h", "left_semi"), "texts")
 
 
 def surviving(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -11,12 +11,16 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
 """Bytes of a batch that goes to a Python worker."""
 _BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+SMALL_ROWS = 1 << 16
+"""Rows of ids (16 bytes each) up to which a table is worked on in one task."""
 _made: dict[str, str] = {}
 
 
@@ -75,6 +79,11 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def gathered(kept: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A table of :func:`keep` as one partition, if it has at most ``rows`` rows: later steps on it then need no shuffle. Larger ones stay as they are."""
+    return kept.coalesce(1) if kept.count() <= rows else kept
+
+
 def discard(spark: SparkSession, *kept: DataFrame) -> None:
     """Delete tables of :func:`keep` that no later step reads, and let Spark drop the shuffles behind them.
 
@@ -98,6 +107,16 @@ def remove(spark: SparkSession | None, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system of a folder, and the folder's path there."""
+    return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+
+
+def attempt() -> str:
+    """A name of this task attempt's own: a retried, speculative or lost attempt never touches another's files."""
+    return f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -115,8 +134,10 @@ def components(edges: DataFrame) -> DataFrame:
     and replaces each parent by its own parent; so depths halve.  The smallest
     parent is an aggregate, combined before its shuffle, and hubs are only ever
     join keys, where Spark can split them.  The rounds go on until nothing moves.
+    Few edges, by a count, are worked on in one task without shuffles.
     """
     tree = keep(edges.select(F.greatest("a", "b").alias("c"), F.least("a", "b").alias("p")).where("c != p").distinct().withColumn("moved", F.lit(False)), "edges")
+    tree = gathered(tree)
     while True:
         ranked = tree.join(tree.groupBy("c").agg(F.min("p").alias("top")), "c")
         linked = ranked.select(
