@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import textops
-from barloom.llm.ngram_join import PERCENT, WIDTH, _profile, linked_classes, linked_groups, set_digest, sets
+from barloom.llm.ngram_join import PERCENT, WIDTH, linked_classes, linked_groups, set_digest, sets
 from barloom.llm.shared import columns, discard, in_batches, keep, partitions
 
 K = 128
@@ -62,6 +62,11 @@ def _raw(sig: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * sig.shape[1]), len(sig), [None, pa.py_buffer(sig.astype(">u2").tobytes())]).cast(pa.binary())
 
 
+def _signature(col: pa.Array) -> np.ndarray:
+    """Signatures from their bytes."""
+    return np.frombuffer(b"".join(col.to_pylist()), ">u2").reshape(len(col), K)
+
+
 def _hexed(column: str) -> Column:
     return F.lower(F.hex(column)).alias(column)
 
@@ -81,32 +86,41 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return columns(docs, doc_id="long", text="string").transform(in_batches, run, "doc_id long, fingerprint binary").select("doc_id", _hexed("fingerprint"))
 
 
-def _banded(width: int, bands: int):
-    """(token, salt, sig): the bands of each text's signature, keyed by the text's set."""
+def _bands(sig: np.ndarray, bands: int) -> np.ndarray:
+    """A hash of each band of each signature."""
     rows = K // bands
+    key = np.ascontiguousarray(sig[:, : bands * rows]).reshape(len(sig), bands, rows).astype(np.uint64)
+    token = np.zeros((len(sig), bands), np.uint64)
+    for r in range(rows):
+        token = textops.mix(token + key[:, :, r] + np.uint64(1))
+    return textops.mix(token + np.arange(bands, dtype=np.uint64))
+
+
+def _banded(bands: int):
+    """(token, salt, sig): the bands of the signatures (fingerprint), keyed by the text's set, once in a batch."""
 
     def run(batches):
         for b in batches:
-            col = b.column("text")
-            digest = np.array([set_digest(s) for s in sets(col, width)], np.int64)
-            sig = signatures(col, width)
-            full = digest != 0
-            sig, digest = sig[full], digest[full]
-            key = np.ascontiguousarray(sig[:, : bands * rows]).reshape(len(sig), bands, rows).astype(np.uint64)
-            token = np.zeros((len(sig), bands), np.uint64)
-            for r in range(rows):
-                token = textops.mix(token + key[:, :, r] + np.uint64(1))
-            token = textops.mix(token + np.arange(bands, dtype=np.uint64))
-            salt = np.zeros(token.size, np.int32)
-            flat = pa.RecordBatch.from_arrays([pa.array(token.ravel().view(np.int64)), pa.array(salt), pa.array(np.repeat(digest, bands))], names=["token", "salt", "sig"])
-            yield pa.Table.from_batches([flat]).group_by(["token", "salt", "sig"]).aggregate([]).combine_chunks().to_batches()[0] if flat.num_rows else flat
+            digest = b.column("sig").to_numpy()
+            _, once = np.unique(digest, return_index=True)
+            once = once[digest[once] != 0]
+            sig = _signature(b.column("fingerprint").take(pa.array(once)))
+            token = _bands(sig, bands)
+            yield pa.RecordBatch.from_arrays([pa.array(token.ravel().view(np.int64)), pa.array(np.zeros(token.size, np.int32)), pa.array(np.repeat(digest[once], bands))], names=["token", "salt", "sig"])
 
     return run
 
 
-def _profiled(docs: DataFrame, width: int) -> DataFrame:
-    profile = keep(docs.transform(in_batches, _profile(width), "doc_id long, n long, sig long, token long, uses long"), "profiles")
-    return profile.where("n is not null").select("doc_id", "n", "sig")
+def _profiled(width: int):
+    """(doc_id, n, sig, fingerprint) of each text: the size and the digest of its shingle set, and its signature."""
+
+    def run(batches):
+        for b in batches:
+            every = [(len(s), set_digest(s)) for s in sets(b.column("text"), width)]
+            n, digest = (np.array([v[k] for v in every], np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(digest), _raw(signatures(b.column("text"), width))], names=["doc_id", "n", "sig", "fingerprint"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
@@ -117,15 +131,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     every pair is searched.
     """
     docs = columns(docs, doc_id="long", text="string")
-    entries = docs.select("text").transform(in_batches, _banded(width, bands), "token long, salt int, sig long")
-    return linked_groups(docs, _profiled(docs, width), entries, width, percent)
+    profile = keep(docs.transform(in_batches, _profiled(width), "doc_id long, n long, sig long, fingerprint binary"), "profiles")
+    entries = profile.select("sig", "fingerprint").transform(in_batches, _banded(bands), "token long, salt int, sig long")
+    return linked_groups(docs, profile.select("doc_id", "n", "sig"), entries, width, percent)
 
 
-def near_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
-    """Rows (sig, component_id) of the shingle sets that have more than one document in their component."""
-    docs = columns(docs, doc_id="long", text="string")
-    entries = docs.select("text").transform(in_batches, _banded(width, bands), "token long, salt int, sig long")
-    classes, linked = linked_classes(docs, _profiled(docs, width), entries, width, percent)
+def near_classes(docs: DataFrame, profile: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
+    """Rows (sig, component_id) of the shingle sets that have more than one document in their component.
+
+    ``profile`` has (doc_id, n, sig, fingerprint) of each of ``docs``.
+    """
+    entries = profile.select("sig", "fingerprint").transform(in_batches, _banded(bands), "token long, salt int, sig long")
+    classes, linked = linked_classes(docs, profile.select("doc_id", "n", "sig"), entries, width, percent)
     several = classes.join(linked, "sig", "left").where("least is not null or copies > 1")
     return keep(several.select("sig", F.coalesce("least", "rep").alias("component_id")), "near-classes")
 
@@ -170,7 +187,7 @@ def _lent(first: np.ndarray):
     return run
 
 
-def _edited(width: int):
+def _edited(width: int, near: bool):
     def run(batches):
         held = None  # the row that waits for its successor: range, lent, id, text
         for b in batches:
@@ -180,12 +197,12 @@ def _edited(width: int):
                 rows = [] if held is None else [held]
                 rows += zip(part.column("k").to_pylist(), part.column("lent").to_pylist(), part.column("doc_id").to_pylist(), (t or "" for t in part.column("text").to_pylist()), strict=True)
                 held = rows[-1]
-                yield _compare(rows, width)
+                yield _compare(rows, width, near)
 
     return run
 
 
-def _compare(rows: list[tuple], width: int) -> pa.RecordBatch:
+def _compare(rows: list[tuple], width: int, near: bool) -> pa.RecordBatch:
     """Each row but the last against the row after it, within a range; lent rows only serve as successors."""
     texts = [r[3] for r in rows]
     pairs = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i][0] == rows[i + 1][0]]
@@ -196,6 +213,7 @@ def _compare(rows: list[tuple], width: int) -> pa.RecordBatch:
         edited.append(t[: len(t) - half] + texts[i + 1][:half])
     own, new = signatures(pa.array(texts, pa.large_string()), width), signatures(pa.array(edited, pa.large_string()), width)
     at = np.array(pairs, np.int64)
+    digests = [(len(s), set_digest(s)) for s in sets(pa.array([texts[i] for i in pairs], pa.large_string()), width)] if near else [(0, 0)] * len(pairs)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([rows[i][2] for i in pairs], pa.int64()),
@@ -205,9 +223,10 @@ def _compare(rows: list[tuple], width: int) -> pa.RecordBatch:
             _raw(new),
             pa.array(likeness(own[at], new)),
             pa.array(likeness(own[at], own[at + 1])),
-            pa.array([set_digest(s) for s in sets(pa.array([texts[i] for i in pairs], pa.large_string()), width)], pa.int64()),
+            pa.array([v[0] for v in digests], pa.int64()),
+            pa.array([v[1] for v in digests], pa.int64()),
         ],
-        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "sig"],
+        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n", "sig"],
     )
 
 
@@ -216,25 +235,26 @@ def edited_fingerprints(docs: DataFrame, width: int = WIDTH, near: bool = False)
 
     The edited text has the last floor(n / 2) code points replaced by the first as
     many (or all) of the next document by doc_id; the first follows the last.  With
-    ``near``, the signatures' bands are joined and verified first, and ``component_id``
+    ``near``, the signatures' bands are joined and verified too, and ``component_id``
     is the smallest doc_id that a document reaches over near duplicates, its own without any.
     """
     docs = columns(docs, doc_id="long", text="string")
     spark = docs.sparkSession
-    groups = near_classes(docs, width) if near else None
-    if near:
-        discard(spark)
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, sig long"
-    parts = partitions(spark)
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, n long, sig long"
+    parts, dealt = partitions(spark), None
     first = _ranges(docs, min(8 * parts, 4096))
     if len(first):
         dealt = docs.transform(in_batches, _lent(first), "k long, lent boolean, key long, doc_id long, text string")
         dealt = dealt.repartition(parts, "k").sortWithinPartitions("k", "lent", "key", "text")
-        found = dealt.transform(in_batches, _edited(width), schema)
+        found = dealt.transform(in_batches, _edited(width, near), schema)
     else:
         found = spark.createDataFrame([], schema)
     out = ["doc_id", "n_chars", "edited_sha256", _hexed("fingerprint"), _hexed("edited_fingerprint"), "near_edited", "near_next"]
     if near:
+        found = keep(found, "fingerprints")
+        del dealt
+        discard(spark)
+        groups = near_classes(docs, found, width)
         small = groups.count() <= BROADCAST_ROWS
         found = found.join(F.broadcast(groups) if small else groups, "sig", "left")
         out.append(F.coalesce("component_id", "doc_id").alias("component_id"))
