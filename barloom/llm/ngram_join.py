@@ -97,10 +97,17 @@ def least_shared(n: np.ndarray) -> np.ndarray:
 
 
 class _Repeats:
-    """Shingles met in two classes or more of a bounded run of texts, with their counts."""
+    """Shingles met in two classes or more of a bounded run of texts, or often in a task's runs, with their counts.
+
+    Shingles that come once a run are told by a table of counters over the whole task, one for
+    each value of their first 24 bits: from ``OFTEN`` on a counter's shingles are given too.
+    """
+
+    OFTEN = 32
 
     def __init__(self, most: int = 1 << 19) -> None:
         self.most, self.size, self.parts = most, 0, []
+        self.met = np.zeros(1 << 24, np.uint8)
 
     def add(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         self.parts.append(s)
@@ -112,7 +119,11 @@ class _Repeats:
             return None
         token, count = np.unique(np.concatenate(self.parts), return_counts=True)
         self.parts, self.size = [], 0
-        more = count > 1
+        at = (token >> np.uint64(40)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        sums = np.add.reduceat(count, first)
+        self.met[at[first]] = np.minimum(self.met[at[first]] + sums, 255)
+        more = (count > 1) | (self.met[at] >= self.OFTEN)
         return token[more], count[more]
 
 
@@ -269,12 +280,14 @@ def _stars(batches):
 class Search:
     """T-occurrence search over the sets of a block, by DivideSkip.
 
-    ``links`` yields index pairs of sets that reach the similarity, without
-    pairs that are connected already.
+    ``links`` yields index pairs of sets that reach the similarity, without pairs that are
+    connected already: a set is compared with the components met last first, and then
+    searched for in lists without the members of its own.
     """
 
     MU = 0.0085
     """DivideSkip's weight of a probe against a merge step, as published."""
+    RECENT = 2
 
     def __init__(self, members: list[np.ndarray], percent: int = PERCENT) -> None:
         self.percent = percent
@@ -290,38 +303,46 @@ class Search:
         ids = np.empty(len(flat), np.int64)
         ids[by] = np.repeat(np.arange(len(first)), np.diff(self.begin))
         self.tokens = np.split(ids, np.cumsum(self.size)[:-1]) if members else []
-        self.root = list(range(len(self.members)))
+        self.component = np.arange(len(self.members))
+
+    def _needed(self, x: int, y) -> np.ndarray:
+        """Overlap that sets ``x`` and ``y`` must reach."""
+        return -(-self.percent * (self.size[x] + self.size[y]) // (100 + self.percent))
 
-    def find(self, x: int) -> int:
-        while self.root[x] != x:
-            self.root[x] = self.root[self.root[x]]
-            x = self.root[x]
-        return x
+    def _join(self, x: int, y: int) -> tuple[int, int]:
+        a, b = self.component[x], self.component[y]
+        self.component[self.component == max(a, b)] = min(a, b)
+        return int(self.order[x]), int(self.order[y])
 
     def links(self) -> Iterator[tuple[int, int]]:
         p = self.percent
+        recent: list[int] = []
         for x in range(len(self.members)):
             n = int(self.size[x])
             if not n:
                 continue
-            low = int(np.searchsorted(self.size, -(-p * n // 100)))
-            if low >= x:
-                continue
             least = -(-p * n // 100)
-            need = -(-p * (n + least) // (100 + p))
-            # Inverted lists, cut to sets that are no larger than the query's and large enough.
-            lists = [self.lists[self.begin[t] : self.begin[t + 1]] for t in self.tokens[x]]
-            lists = [v[np.searchsorted(v, low) : np.searchsorted(v, x)] if len(v) > 1 else v[:0] for v in lists]
-            lists = sorted((v for v in lists if len(v)), key=len)
-            if len(lists) < need:
-                continue
-            longest = len(lists[-1])
-            aside = min(need - 1, int(need / (self.MU * np.log2(longest + 1) + 1)))
-            short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-            yield from self._probe(x, n, need - aside, short, long)
-
-    def _probe(self, x: int, n: int, least: int, short: list, long: list) -> Iterator[tuple[int, int]]:
-        found, counts, last, count = [], [], -1, 0
+            low = int(np.searchsorted(self.size, least))
+            if low < x:
+                for y in recent:
+                    if y >= low and self.component[y] != self.component[x] and len(np.intersect1d(self.tokens[x], self.tokens[y], assume_unique=True)) >= self._needed(x, y):
+                        yield self._join(x, y)
+                yield from self._search(x, n, low, -(-p * (n + least) // (100 + p)))
+            home = self.component[x]
+            recent = [x, *(y for y in recent if self.component[y] != home)][: self.RECENT]
+
+    def _search(self, x: int, n: int, low: int, need: int) -> Iterator[tuple[int, int]]:
+        # Inverted lists, cut to sets that are no larger than the query's, large enough, and not connected with it.
+        lists = [self.lists[self.begin[t] : self.begin[t + 1]] for t in self.tokens[x]]
+        lists = [v[np.searchsorted(v, low) : np.searchsorted(v, x)] for v in lists if len(v) > 1]
+        home = self.component[x]
+        lists = sorted((w for v in lists if len(v) and len(w := v[self.component[v] != home])), key=len)
+        if len(lists) < need:
+            return
+        longest = len(lists[-1])
+        aside = min(need - 1, int(need / (self.MU * np.log2(longest + 1) + 1)))
+        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        least, found, counts, last, count = need - aside, [], [], -1, 0
         merged = heapq.merge(*(v.tolist() for v in short)) if len(short) > 1 else short[0].tolist()
         for y in merged:
             if y == last:
@@ -334,12 +355,10 @@ class Search:
         if count >= least:
             found.append(last)
             counts.append(count)
-        home = self.find(x)
-        rest = [k for k, y in enumerate(found) if self.find(y) != home]
-        if not rest:
+        if not found:
             return
-        ids, got = np.array(found)[rest], np.array(counts)[rest]
-        need = -(-self.percent * (n + self.size[ids]) // (100 + self.percent))
+        ids, got = np.array(found), np.array(counts)
+        need = self._needed(x, ids)
         for k, v in enumerate(long):
             at = np.searchsorted(v, ids)
             at[at == len(v)] = 0
@@ -351,10 +370,8 @@ class Search:
                     if not len(ids):
                         return
         for y in ids[got >= need].tolist():
-            a, b = self.find(x), self.find(y)
-            if a != b:
-                self.root[max(a, b)] = min(a, b)
-                yield int(self.order[x]), int(self.order[y])
+            if self.component[x] != self.component[y]:
+                yield self._join(x, y)
 
 
 def _block_links(percent: int, most: int):
