@@ -11,9 +11,10 @@ position.  All phrases are searched backward at once; the rows found are walked
 to the nearest sampled position; and the words of all occurrences, merged, are
 the removal spans.
 
-No shuffle is made.  Phrases come in blocks of at most ``BLOCK_BYTES`` of item
-text: one block is sent to the tasks, more are read by them, one at a time, from
-the shared folder, so a benchmark of any size fits.
+No shuffle of documents is made.  Phrases come in blocks of about ``BLOCK_BYTES`` of item
+text: one block is sent to the tasks; more are encoded once, by a job of their own, and
+read from the shared folder, one at a time and once for ``HOLD_BYTES`` of a task's
+documents, so a benchmark of any size fits.
 
 Defined cases: null texts have no words; items without words have no phrase;
 items with a null item_id mark words but are not listed; equal phrases of several
@@ -24,22 +25,23 @@ extra columns are ignored (:func:`clean` keeps them).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import textops
-from barloom.llm.shared import columns, in_batches, scratch
+from barloom.llm.shared import attempt, columns, file_system, in_batches, keep, partitions, scratch
 
 WINDOW = 13
 SHARD_BYTES = 1 << 21
 SAMPLE = 8
 BLOCK_BYTES = 4 << 20
+HOLD_BYTES = 8 << 20
+"""Bytes of texts that a task holds to search them for all blocks, if there are several."""
 SHARE = 20
 """A document is contaminated if one word in ``SHARE`` or more is hit."""
 _END, _GAP, _FIRST = 0, 1, 2
@@ -52,24 +54,32 @@ class Phrases:
         data, off = textops.buffers(pa.array(texts, pa.large_string()))
         _, _, h, row = textops.words(data, off, textops.ALNUM_WORDS)
         self.vocab, code = np.unique(h, return_inverse=True)
-        code = code + _FIRST
+        code = (code + _FIRST).astype(np.int32)
         self.likely = np.zeros(1 << 20, bool)
         self.likely[(self.vocab >> np.uint64(44)).astype(np.int64)] = True
-        found: dict[tuple, set] = {}
-        at = np.searchsorted(row, np.arange(len(ids) + 1))
-        for k, item in enumerate(ids):
-            words = code[at[k] : at[k + 1]].tolist()
-            for s in range(max(1, len(words) - window + 1) if words else 0):
-                into = found.setdefault(tuple(words[s : s + window]), set())
-                if item is not None:
-                    into.add(item)
-        self.items = list(found.values())
-        self.size = np.array([len(w) for w in found], np.int64)
-        self.words = np.zeros((len(found), window), np.int64)
-        for k, w in enumerate(found):
-            self.words[k, window - len(w) :] = w  # right-aligned: read backward from the last column
+        count = np.bincount(row, minlength=len(ids)) if len(row) else np.zeros(len(ids), np.int64)
+        first = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+        # Windows are right-aligned, to be read backward from the last column; short items are one window each.
+        whole = np.flatnonzero(row[: len(row) - window + 1] == row[window - 1 :]) if len(row) >= window else np.zeros(0, np.int64)
+        short = np.flatnonzero((count > 0) & (count < window))
+        words = np.zeros((len(whole) + len(short), window), np.int32)
+        for k in range(window):
+            words[: len(whole), k] = code[whole + k]
+        for at, item in enumerate(short.tolist(), len(whole)):
+            words[at, window - count[item] :] = code[first[item] : first[item] + count[item]]
+        owner = np.concatenate([row[whole], short]).astype(np.int64)
+        self.words, phrase = np.unique(words, axis=0, return_inverse=True) if len(words) else (words, owner)
+        self.size = (self.words > 0).sum(axis=1).astype(np.int64)
+        named = np.array([i is not None for i in ids], bool)
+        pairs = np.unique(np.stack([phrase.reshape(-1), owner], 1)[named[owner]], axis=0) if len(words) else np.zeros((0, 2), np.int64)
+        self.item_of = pairs[:, 1]
+        self.item_at = np.searchsorted(pairs[:, 0], np.arange(len(self.words) + 1))
+        self.ids = ids
         self.symbols = len(self.vocab) + _FIRST
 
+    def items(self, phrase: int) -> list[str]:
+        return [self.ids[k] for k in self.item_of[self.item_at[phrase] : self.item_at[phrase + 1]].tolist()]
+
     def encode(self, h: np.ndarray) -> np.ndarray:
         """The symbol of each word, ``_GAP`` for words of no phrase."""
         out = np.full(len(h), _GAP, np.int64)
@@ -154,7 +164,7 @@ class FMIndex:
             go = np.flatnonzero(size[which] > k)
             if not len(go):
                 break
-            c = words[which[go], words.shape[1] - 1 - k]
+            c = words[which[go], words.shape[1] - 1 - k].astype(np.int64)
             low[go] = self.before[c] + self.rank(c, low[go])
             high[go] = self.before[c] + self.rank(c, high[go])
             left = high > low
@@ -205,65 +215,113 @@ def _occurrences(code: np.ndarray, row: np.ndarray, p: Phrases) -> tuple[np.ndar
     return np.repeat(which, count), word[index.locate(rows)]
 
 
-def _search(texts: pa.Array, blocks: Callable[[], Iterator[Phrases]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[set], list[list]]]:
-    """For each shard: rows i to j, words and hits of each, their items and removal spans."""
-    data, off = textops.buffers(texts)
-    for i, j in textops.slices(off, SHARD_BYTES):
-        part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        start, end, h, row = textops.words(part, at, textops.ALNUM_WORDS)
-        change = np.zeros(len(h) + 1, np.int64)
-        items: list[set] = [set() for _ in range(j - i)]
-        for p in blocks():
-            which, first = _occurrences(p.encode(h), row, p)
-            np.add.at(change, first, 1)
-            np.add.at(change, first + p.size[which], -1)
-            for r, w in np.unique(np.stack([row[first], which], 1), axis=0).tolist() if len(first) else ():
-                items[r] |= p.items[w]
-        hit = np.cumsum(change[:-1]) > 0
-        spans: list[list] = [[] for _ in range(j - i)]
+class _Shard:
+    """The words of some texts, and what was found in them."""
+
+    def __init__(self, part: np.ndarray, at: np.ndarray) -> None:
+        self.part, self.at, self.rows = part, at, len(at) - 1
+        self.start, self.end, self.h, self.row = textops.words(part, at, textops.ALNUM_WORDS)
+        self.change = np.zeros(len(self.h) + 1, np.int64)
+        self.items: list[set] = [set() for _ in range(self.rows)]
+
+    def search(self, p: Phrases) -> None:
+        which, first = _occurrences(p.encode(self.h), self.row, p)
+        np.add.at(self.change, first, 1)
+        np.add.at(self.change, first + p.size[which], -1)
+        for r, w in np.unique(np.stack([self.row[first], which], 1), axis=0).tolist() if len(first) else ():
+            self.items[r].update(p.items(w))
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, list[set], list[list]]:
+        """Words and hits of each text, their items and removal spans."""
+        hit, row = np.cumsum(self.change[:-1]) > 0, self.row
+        spans: list[list] = [[] for _ in range(self.rows)]
         if hit.any():
-            chars = np.concatenate([[0], np.cumsum(part & 0xC0 != 0x80)])
+            chars = np.concatenate([[0], np.cumsum(self.part & 0xC0 != 0x80)])
             k = np.flatnonzero(hit)
             new = np.concatenate([[True], (k[1:] != k[:-1] + 1) | (row[k[1:]] != row[k[:-1]])])
             heads = np.flatnonzero(new)
             for a, b in zip(k[heads], k[np.append(heads[1:], len(k)) - 1], strict=True):
-                base = chars[at[row[a]]]
-                spans[row[a]].append([int(chars[start[a]] - base), int(chars[end[b]] - base)])
-        n = np.bincount(row, minlength=j - i) if len(row) else np.zeros(j - i, np.int64)
-        n_hit = np.bincount(row[hit], minlength=j - i) if len(row) else n
-        yield i, j, n, n_hit, items, spans
+                base = chars[self.at[row[a]]]
+                spans[row[a]].append([int(chars[self.start[a]] - base), int(chars[self.end[b]] - base)])
+        n = np.bincount(row, minlength=self.rows) if len(row) else np.zeros(self.rows, np.int64)
+        return n, np.bincount(row[hit], minlength=self.rows) if len(row) else n, self.items, spans
+
 
+def _search(batches: Iterator[pa.RecordBatch], blocks: Callable[[], Iterator[Phrases]], hold: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[set], list[list]]]:
+    """Each batch with the words, hits, items and spans of its texts; the blocks are gone through once for ``hold`` bytes of texts."""
+    held: list[tuple[pa.RecordBatch, list[_Shard]]] = []
+    size = 0
 
-def _blocks(benchmark: DataFrame, window: int) -> Callable[[], Iterator[Phrases]]:
-    """A function for the tasks that gives the phrases block by block."""
+    def done():
+        for p in blocks():
+            for _, shards in held:
+                for shard in shards:
+                    shard.search(p)
+        for b, shards in held:
+            found = [s.result() for s in shards]
+            n, n_hit = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            yield b, n, n_hit, [x for f in found for x in f[2]], [x for f in found for x in f[3]]
+
+    for b in batches:
+        data, off = textops.buffers(b.column("text"))
+        held.append((b, [_Shard(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in textops.slices(off, SHARD_BYTES)]))
+        size += len(data)
+        if size >= hold:
+            yield from done()
+            held, size = [], 0
+    yield from done()
+
+
+def _encoded(folder: str, window: int):
+    """Write the phrases of blocks of items to the shared folder, ready to search; one row (name) each."""
+
+    def run(batches):
+        fs, root = file_system(folder)
+        fs.create_dir(root, recursive=True)
+        ids, texts, size, names = [], [], 0, []
+
+        def write():
+            names.append(f"phrases-{attempt()}")
+            with fs.open_output_stream(f"{root}/{names[-1]}", compression=None) as f:
+                f.write(pickle.dumps(Phrases(ids, texts, window), protocol=5))
+
+        for b in batches:
+            for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                ids.append(item)
+                texts.append(text)
+                size += len(text)
+                if size >= BLOCK_BYTES:
+                    write()
+                    ids, texts, size = [], [], 0
+        if ids:
+            write()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, window: int) -> tuple[Callable[[], Iterator[Phrases]], int]:
+    """A function for the tasks that gives the phrases block by block, and the bytes of texts to hold for each round of it."""
     items = columns(benchmark, item_id="string", text="string").where("text is not null")
+    spark = benchmark.sparkSession
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size <= BLOCK_BYTES:
         rows = items.toArrow()
         if not rows.num_rows:
-            return lambda: iter(())
-        sent = benchmark.sparkSession.sparkContext.broadcast(Phrases(rows["item_id"].to_pylist(), rows["text"].to_pylist(), window))
-        return lambda: iter((sent.value,))
-    path = scratch(benchmark.sparkSession, "phrases")
-    items.write.parquet(path)
+            return lambda: iter(()), SHARD_BYTES
+        sent = spark.sparkContext.broadcast(Phrases(rows["item_id"].to_pylist(), rows["text"].to_pylist(), window))
+        return lambda: iter((sent.value,)), SHARD_BYTES
+    folder = scratch(spark, "phrases")
+    dealt = items.repartition(max(1, min(partitions(spark), size // BLOCK_BYTES)))
+    names = [r["name"] for r in keep(dealt.transform(in_batches, _encoded(folder, window), "name string"), "phrase-blocks").collect()]  # one for BLOCK_BYTES of items
 
     def read() -> Iterator[Phrases]:
-        fs, root = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-        for info in sorted(fs.get_file_info(pafs.FileSelector(root)), key=lambda f: f.path):
-            if not info.path.endswith(".parquet"):
-                continue
-            ids, texts, size = [], [], 0
-            for b in pq.ParquetFile(fs.open_input_file(info.path)).iter_batches(256):
-                ids += b.column("item_id").to_pylist()
-                texts += b.column("text").to_pylist()
-                size += b.nbytes
-                if size >= BLOCK_BYTES:
-                    yield Phrases(ids, texts, window)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield Phrases(ids, texts, window)
+        fs, root = file_system(folder)
+        for name in names:
+            with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
+                yield pickle.loads(f.read())  # written by _encoded, in this session's own folder
 
-    return read
+    return read, HOLD_BYTES
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -272,20 +330,12 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     ``items`` are the item_ids (as strings, sorted) with an occurring window,
     ``spans`` the merged removal spans in code points, end exclusive.
     """
-    blocks = _blocks(benchmark, window)
+    blocks, hold = _blocks(benchmark, window)
 
     def run(batches):
-        for b in batches:
-            n, n_hit, items, spans = [], [], [], []
-            for _, _, words, hits, found, cut in _search(b.column("text"), blocks):
-                n.append(words)
-                n_hit.append(hits)
-                items += [sorted(x) for x in found]
-                spans += cut
-            if not b.num_rows:
-                continue
+        for b, n, n_hit, items, spans in _search(batches, blocks, hold):
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(n_hit).astype(np.int64)), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
+                [b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
                 names=["doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
@@ -302,13 +352,10 @@ def contamination(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    blocks = _blocks(benchmark, window)
+    blocks, hold = _blocks(benchmark, window)
 
     def run(batches):
-        for b in batches:
-            keep = [~((hits > 0) & (SHARE * hits >= words)) for _, _, words, hits, _, _ in _search(b.column("text"), blocks)]
-            yield b.filter(pa.array(np.concatenate(keep))) if keep else b
+        for b, n, n_hit, _, _ in _search(batches, blocks, hold):
+            yield b.filter(pa.array(~((n_hit > 0) & (SHARE * n_hit >= n))))
 
     return docs.transform(in_batches, run, docs.schema)
-
-

@@ -28,9 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.packing import blocks, documents
-from barloom.llm.shared import columns, in_batches, keep, partitions, scratch
+from barloom.llm.shared import attempt, columns, file_system, in_batches, keep, partitions, scratch
 from barloom.llm.tokenize import default_path
-from barloom.llm.warc import attempt, file_system
 
 LENGTH = 1024
 BLOCK_TOKENS = 1 << 21
@@ -96,12 +95,12 @@ def best_fit(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int, int
     return sorted(out, key=lambda p: (p[3], p[4]))
 
 
-def _write(folder: str, path: str, length: int, block_tokens: int, special_tokens: bool):
+def _write(folder: str, path: str, length: int, block_tokens: int):
     def run(batches):
         fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         context = TaskContext.get()
-        for k, block in enumerate(blocks(documents(batches, path, special_tokens), block_tokens)):
+        for k, block in enumerate(blocks(documents(batches, path), block_tokens)):
             pieces = best_fit([len(ids) for _, ids in block], length)
             sequences = pieces[-1][3] + 1
             matrix = np.zeros((sequences, length), "<u4")
@@ -129,10 +128,10 @@ _SEGMENT = pa.struct([(k, pa.int64()) for k in ("doc_id", "start", "length", "se
 _ARROW = pa.schema([("folder", pa.string()), ("block", pa.string()), ("sequences", pa.int64()), ("width", pa.int64()), ("segments", pa.list_(_SEGMENT))])
 
 
-def write_packed(docs: DataFrame, folder: str, path: str | None = None, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS, special_tokens: bool = False) -> DataFrame:
+def write_packed(docs: DataFrame, folder: str, path: str | None = None, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into files in ``folder`` (a shared one) and return the manifest, one row for each block."""
     docs = columns(docs, doc_id="long", text="string")
-    return keep(docs.transform(in_batches, _write(folder, path or default_path(), length, block_tokens, special_tokens), _MANIFEST), "manifest")
+    return keep(docs.transform(in_batches, _write(folder, path or default_path(), length, block_tokens), _MANIFEST), "manifest")
 
 
 def _read(batches):
@@ -161,6 +160,6 @@ def read_packed(manifest: DataFrame) -> DataFrame:
     return manifest.repartition(partitions(manifest.sparkSession), F.xxhash64("block")).transform(in_batches, _read, schema)
 
 
-def packed_digest(docs: DataFrame, path: str | None = None, length: int = LENGTH, special_tokens: bool = False) -> DataFrame:
+def packed_digest(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """Write ``docs`` to the shared folder and read the segments back."""
-    return read_packed(write_packed(docs, scratch(docs.sparkSession, "packed"), path, length, special_tokens=special_tokens))
+    return read_packed(write_packed(docs, scratch(docs.sparkSession, "packed"), path, length))

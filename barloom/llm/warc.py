@@ -26,7 +26,6 @@ import bisect
 import gzip
 import hashlib
 import io
-import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -38,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import columns, in_batches, keep, partitions, scratch
+from barloom.llm.shared import attempt, columns, file_system, in_batches, keep, partitions, scratch
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
@@ -65,10 +64,6 @@ def url_key(url: str | None) -> str:
     return f"{','.join(reversed(host.split('.')))}{tail}){u.path or '/'}{'?' + u.query if u.query else ''}"
 
 
-def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
-
-
 class _Output:
     """A file and how much was written; its name holds the attempt's, and the rows that the winning attempt returns hold it."""
 
@@ -85,11 +80,6 @@ class _Output:
         self.stream.close()
 
 
-def attempt() -> str:
-    """A name of this task attempt's own: a retried, speculative or lost attempt never touches another's files."""
-    return f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-
-
 def record(page_id: int | None, place: str, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record, not compressed."""
     name = f"urn:page:{page_id}" if page_id is not None else f"urn:page:none:{place}"
