@@ -70,8 +70,8 @@ def balance(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int, int,
     return out
 
 
-def documents(batches, path: str, special_tokens: bool = False) -> Iterator[tuple[int | None, np.ndarray]]:
-    encode = encoder(path, special_tokens).ids
+def documents(batches, path: str) -> Iterator[tuple[int | None, np.ndarray]]:
+    encode = encoder(path).ids
     for b in batches:
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
             yield doc_id, encode(text.as_py() or "")
@@ -89,10 +89,10 @@ def blocks(docs: Iterator[tuple[int | None, np.ndarray]], tokens: int) -> Iterat
         yield held
 
 
-def _run(path: str, length: int, block_tokens: int, special_tokens: bool):
+def _run(path: str, length: int, block_tokens: int):
     def run(batches):
         number = TaskContext.get().partitionId() << 40
-        for block in blocks(documents(batches, path, special_tokens), block_tokens):
+        for block in blocks(documents(batches, path), block_tokens):
             pieces = balance([len(ids) for _, ids in block], length)
             doc, start, n, sequence, offset = (np.array(v, np.int64) for v in zip(*pieces, strict=True))
             crc = [zlib.crc32(block[d][1][a : a + m].astype("<u4", copy=False).tobytes()) for d, a, m, _, _ in pieces]
@@ -108,7 +108,7 @@ def _run(path: str, length: int, block_tokens: int, special_tokens: bool):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS, special_tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one for each piece."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return columns(docs, doc_id="long", text="string").transform(in_batches, _run(path or default_path(), length, block_tokens, special_tokens), schema)
+    return columns(docs, doc_id="long", text="string").transform(in_batches, _run(path or default_path(), length, block_tokens), schema)

@@ -97,6 +97,9 @@ _PATTERNS = {
         rf"|(?<![{_L}\d_])(?i:{'|'.join(map(regex.escape, LEADS))})[ ](?P<c>{_MAJOR}(?:[ ]{_MAJOR})?)"
     ),
 }
+# What a form of address looks like, loosely and quickly: few texts have it, and only they are looked through for names.
+_ADDRESS = re.compile(rf"[{''.join(sorted({t[0] for t in TITLES}))}](?:{'|'.join(sorted({re.escape(x[1:]) for t in TITLES for x in (t, t.upper())}))})\.?[ ]")
+_DOTTED = tuple(sorted(f"{t.lower()}. " for t in TITLES))
 _PLAIN_TITLES = {t.lower() for t in TITLES}
 _CUED = regex.compile(rf"(?<![{_L}])(?i:{'|'.join(PHONES)})(?![{_L}])[ .:#]{{0,3}}(?P<n>\+?\d[\d .()-]{{5,18}}\d)(?![\d])")
 _HINT = {"email": "@", "ipv6": ":"}
@@ -310,6 +313,10 @@ def _ipv6(text: str) -> bool:
 
 def _names(text: str) -> list[tuple[int, int]]:
     """Where names are: those told by what stands before them, then every other place of their words."""
+    if not _ADDRESS.search(text) and not any(t in text for t in _DOTTED):
+        low = text.lower()
+        if not any(lead in low for lead in LEADS):
+            return []
     told = []
     for m in _PATTERNS["name"].finditer(text):
         group = next(g for g in "abc" if m[g])

@@ -3,9 +3,7 @@
 The vocabulary file is the library's; ids are computed from it by tiktoken's
 encoder, which gives the same ids in a quarter of the time (a test holds the two
 against each other), and by the library itself for a text that the former
-refuses.  The strings of the file's added tokens are ordinary text, or with
-``special_tokens`` (as the registered queries and the pipeline have it) those
-tokens' ids, as the library gives them by default.
+refuses.  The strings of the file's added tokens are those tokens' ids, as the library has it.
 """
 
 from __future__ import annotations
@@ -34,14 +32,14 @@ def _byte_symbols() -> dict[str, int]:
 
 
 class Encoder:
-    def __init__(self, path: str, special_tokens: bool = False) -> None:
-        self.path, self.special_tokens = path, special_tokens
+    def __init__(self, path: str) -> None:
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         byte = _byte_symbols()
         ranks = {bytes(byte[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
-        self.fast = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if special_tokens else {})
+        self.fast = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.slow = None
 
     def ids(self, text: str) -> np.ndarray:
@@ -57,11 +55,10 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = not self.special_tokens
         return self.slow
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, special_tokens: bool = False) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file."""
-    return Encoder(path, special_tokens)
+    return Encoder(path)

@@ -18,7 +18,6 @@ SCHEMA = "doc_id long, text string, length string, start long"
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 

@@ -25,7 +25,7 @@ def test_ids_with_special_tokens(library):
     rng = random.Random(4)
     parts = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "don't", "Übung", "日本語", "12", "😀", "　", "<|"]
     for t in TEXTS + ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(2000)]:
-        assert encoder(default_path(), special_tokens=True).ids(t).tolist() == library(t)
+        assert encoder(default_path()).ids(t).tolist() == library(t)
 
 
 @pytest.mark.parametrize("name", ["op9_packing", "op10_token_output", "pipeline"])
