@@ -354,7 +354,7 @@ def _(spark, sf_dir):
 
 @query("preprocess_chain", SCORED + """, t as (select *, n <= 100 as train, last_value(mom3 ignore nulls) over (partition by symbol order by ts rows between unbounded preceding and current row) as x from scored),
  b as (select symbol, quantile_cont(x, 0.01) filter (where train) as lo, quantile_cont(x, 0.99) filter (where train) as hi from t group by symbol),
- c as (select t.symbol, ts, train, greatest(least(x, hi), lo) as x from t join b on t.symbol = b.symbol), m as (select symbol, avg(x) filter (where train) as m, stddev_samp(x) filter (where train) as s from c group by symbol)
+ c as (select t.symbol, ts, train, case when x is not null then greatest(least(x, hi), lo) end as x from t join b on t.symbol = b.symbol), m as (select symbol, avg(x) filter (where train) as m, stddev_samp(x) filter (where train) as s from c group by symbol)
  select c.symbol, ts, round(case when x is not null and s > 0 then (x - m) / s end, 5) + 0.0 as x from c join m on c.symbol = m.symbol""")
 def _(spark, sf_dir):
     d = scored(spark, sf_dir).withColumn("x", F.col("mom3"))
