@@ -124,20 +124,27 @@ class Surrogates:
         return int.from_bytes(raw[:size]) % below
 
     def permute(self, label: str, x: int, n: int) -> int:
-        """A keyed permutation of 0..n-1; small ranges turn, so that nothing stays in place."""
+        """A keyed permutation of 0..n-1 that leaves nothing in place (of two or more).
+
+        Numbers are put into a keyed order, each takes the place of the next in it: one cycle
+        through all, which stays one cycle when it is walked on to the numbers with a property.
+        """
         if n < 2:
             return x
-        if n < 4096:
-            return (x + 1 + self._number(label, n, n - 1)) % n
+        return self._ordered(label, (self._ordered(label, x, n) + 1) % n, n, back=True)
+
+    def _ordered(self, label: str, x: int, n: int, back: bool = False) -> int:
+        """The place of ``x`` in the keyed order of 0..n-1, or what is at place ``x``: a Feistel network, walked on until within n."""
         a = 1 << (n.bit_length() + 1) // 2
+        b = -(-n // a)
         while True:
             left, right = x // a, x % a
-            b = -(-n // a)
-            for k in range(self.ROUNDS):
+            for k in reversed(range(self.ROUNDS)) if back else range(self.ROUNDS):
+                sign = -1 if back else 1
                 if k % 2:
-                    right = (right + self._number(f"{label}|{n}|{k}", left, a)) % a
+                    right = (right + sign * self._number(f"{label}|{n}|{k}", left, a)) % a
                 else:
-                    left = (left + self._number(f"{label}|{n}|{k}", right, b)) % b
+                    left = (left + sign * self._number(f"{label}|{n}|{k}", right, b)) % b
             x = left * a + right
             if x < n:
                 return x
@@ -262,15 +269,18 @@ def _alphabet(c: str) -> str:
     ASCII digits, and common letters of one case among themselves; other letters among those of their
     script, kind and block of 256 codes (Latin's first two blocks are one) whose case is one letter.
     """
-    for first, last in _CORES:
-        if first <= c <= last:
-            return "".join(x for x in map(chr, range(ord(first), ord(last) + 1)) if x < "\x80" or x.upper().lower() == x or x.lower().upper() == x)
     kind = unicodedata.category(c)
-    if kind not in ("Ll", "Lu", "Lo") or ord(c) < 128:
+    core = next(((x, y) for x, y in _CORES if x <= c <= y), None)
+    if core:
+        found = [x for x in map(chr, range(ord(core[0]), ord(core[1]) + 1)) if x < "\x80" or x.upper().lower() == x or x.lower().upper() == x]
+    elif kind in ("Ll", "Lu", "Lo") and ord(c) >= 128:
+        script = unicodedata.name(c, "").split(" ")[0]
+        block = range(0x80, 0x180) if ord(c) < 0x180 else range(ord(c) & ~255, (ord(c) | 255) + 1)
+        found = [x for x in map(chr, block) if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script and len(x.upper()) == len(x.lower()) == 1]
+        found = [x for x in found if (kind == "Lo" or x.upper().lower() == x.lower() and x.lower().upper() == x.upper()) and not any(a <= x <= b for a, b in _CORES)]
+    else:
         return ""
-    script = unicodedata.name(c, "").split(" ")[0]
-    block = range(0x80, 0x180) if ord(c) < 0x180 else range(ord(c) & ~255, (ord(c) | 255) + 1)
-    return "".join(x for x in map(chr, block) if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script and len(x.upper()) == len(x.lower()) == 1 and (kind == "Lo" or x.upper().lower() == x.lower() and x.lower().upper() == x.upper()) and not any(a <= x <= b for a, b in _CORES))
+    return "".join(found) if c in found else ""  # a letter whose case is two letters stays
 
 
 def luhn(digits: str) -> bool:
@@ -435,15 +445,20 @@ def _plain(kind: str, entity: str, surrogate: str) -> tuple[str, str, str]:
     return kind, entity, surrogate
 
 
+def _movable(kind: str, entity: str) -> bool:
+    """Whether a letter or digit of an entity has others to move among (the last part of an address stays)."""
+    return any(map(_alphabet, entity.rsplit(".", 1)[0] if kind == "email" else entity))
+
+
 def entities(docs: DataFrame, key: bytes | None = None) -> DataFrame:
-    """Distinct rows (kind, entity, surrogate) of a corpus; names by word."""
+    """Distinct rows (kind, entity, surrogate) of a corpus; names by word, and without those of which no letter or digit can move."""
     key = key or session_key(docs.sparkSession)
 
     def run(batches):
         surrogates = Surrogates(key)
         for b in batches:
             seen = {(k, w) for t in b.column("text").to_pylist() if t for x, y, k in find(t) for w in (_words(t[x:y]) if k == "name" else [t[x:y]])}
-            rows = sorted({_plain(*e, surrogates.of(*e)) for e in seen})
+            rows = sorted({_plain(*e, surrogates.of(*e)) for e in seen if _movable(*e)})
             yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in rows], pa.string()) for k in range(3)], names=["kind", "entity", "surrogate"])
 
     return columns(docs, text="string").transform(in_batches, run, "kind string, entity string, surrogate string").distinct()
@@ -452,5 +467,4 @@ def entities(docs: DataFrame, key: bytes | None = None) -> DataFrame:
 def collisions(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """Rows (kind, surrogate, n) where ``n`` entities share a surrogate, or one is its own."""
     found = entities(docs, key)
-    # An entity that has a single form (no letters or digits that could move) stays as it is by necessity.
     return found.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("entity") == F.col("surrogate")).alias("same")).where("n > 1 or same").drop("same")

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import subprocess
@@ -300,8 +301,23 @@ def test_colliding_surrogates_are_refused(spark, monkeypatch):
 def test_permutations(n):
     s = pii.Surrogates(b"k")
     assert sorted(s.permute("x", k, n) for k in range(n)) == list(range(n))
-    if n < 4096:
-        assert all(s.permute("x", k, n) != k for k in range(n))
+    assert all(s.permute("x", k, n) != k for k in range(n))
+
+
+@pytest.mark.parametrize("name", ["Weiß", "Στέφανος", "Κως", "İnönü", "ŉ", "Müller-Lüdenscheidt", "王小明", "محمد", "Ñandú", "d'Ávila", "ǅ", "Ⅻ", "ß"])
+def test_any_name_has_a_surrogate(name):
+    s = pii.Surrogates(b"k")
+    new = s.word(name)
+    assert len(new) == len(name) and (new != name or not any(map(pii._alphabet, name))) and s.of("name", f"Dr. {name}") == f"Dr. {new}"
+    for kind, text in (("email", f"{name}@{name}.de"), ("phone", "555-1234"), ("ssn", "123-45-6789"), ("ipv4", "10.0.0.1")):
+        assert s.of(kind, text) != text or not pii._movable(kind, text)
+
+
+def test_no_short_name_keeps_its_place():
+    s = pii.Surrogates(b"k")
+    names = ["".join(p) for p in itertools.product("abcdefghijklmnopqrst", repeat=3)]
+    made = {s.word(n) for n in names}
+    assert len(made) == len(names) and not any(s.word(n) == n for n in names[::7])
 
 
 def test_no_two_entities_share_a_surrogate(spark):
