@@ -154,6 +154,15 @@ def test_large_layers_are_read_whole_in_bounded_memory():
     assert int(out) < 300 * 1024  # kB; held as a layer, it would take 16 bytes for each of 120 million characters
 
 
+def test_streams_of_any_length_are_inflated_whole():
+    for n in (1, 100, (1 << 20) - 1, 1 << 20, (1 << 20) + 1, (1 << 20) + 200, (1 << 21), (1 << 22) + 77):
+        for body in (b"a" * n, b"ab" * (n // 2), random.Random(n).randbytes(min(n, 70_000)) * (1 + n // 70_000)):
+            for packed, after in ((gzip.compress(body), b""), (zlib.compress(body), b""), (gzip.compress(body[:50]) + gzip.compress(body[50:]), b""), (gzip.compress(body), b"\0\0")):
+                used = []
+                got = b"".join(secrets._inflating(iter([packed + after + b"more"]), used))
+                assert got == body and used == [len(packed)], (n, len(got), used, len(packed))
+
+
 def test_two_streams_that_lead_back_end():
     inner = b"plain text of no interest at all"
     for _ in range(6):
