@@ -241,7 +241,11 @@ def edited_fingerprints(docs: DataFrame, width: int = WIDTH, near: bool = False)
     docs = columns(docs, doc_id="long", text="string")
     spark = docs.sparkSession
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, n long, sig long"
-    parts, dealt = partitions(spark), None
+    parts, groups = partitions(spark), None
+    if near:  # first, so that its tables are gone when the texts are shuffled
+        profile = keep(docs.transform(in_batches, _profiled(width), "doc_id long, n long, sig long, fingerprint binary"), "profiles")
+        groups = near_classes(docs, profile, width)
+        discard(spark, profile)
     first = _ranges(docs, min(8 * parts, 4096))
     if len(first):
         dealt = docs.transform(in_batches, _lent(first), "k long, lent boolean, key long, doc_id long, text string")
@@ -251,10 +255,6 @@ def edited_fingerprints(docs: DataFrame, width: int = WIDTH, near: bool = False)
         found = spark.createDataFrame([], schema)
     out = ["doc_id", "n_chars", "edited_sha256", _hexed("fingerprint"), _hexed("edited_fingerprint"), "near_edited", "near_next"]
     if near:
-        found = keep(found, "fingerprints")
-        del dealt
-        discard(spark)
-        groups = near_classes(docs, found, width)
         small = groups.count() <= BROADCAST_ROWS
         found = found.join(F.broadcast(groups) if small else groups, "sig", "left")
         out.append(F.coalesce("component_id", "doc_id").alias("component_id"))
