@@ -215,8 +215,8 @@ def roll_spread(n: int = 21) -> Stages:
 def corwin_schultz(n: int = 21) -> Stages:
     """High-low spread estimate over pairs of bars, negative ones as 0, and its mean."""
     k = 3 - 2 * math.sqrt(2)
-    one = F.pow(F.ln(_c("high") / _c("low")), 2)
-    two = F.pow(F.ln(F.greatest(_c("high"), R.lag("high")) / F.least(_c("low"), R.lag("low"))), 2)
+    one = F.pow(R.log(R.ratio(_c("high"), _c("low"))), 2)
+    two = F.pow(R.log(R.ratio(F.greatest(_c("high"), R.lag("high")), F.least(_c("low"), R.lag("low")))), 2)
     alpha = (math.sqrt(2) - 1) * F.sqrt("_b") / k - F.sqrt(_c("_g") / k)
     return [
         {"_b": one + R.lag(one), "_g": F.when(R.lag("high").isNotNull(), two)},

@@ -17,6 +17,16 @@ def col(c: C) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """``a / b`` as floating point has it: infinite or NaN over zero, where Spark's division fails."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
+
+
+def log(c: Column) -> Column:
+    """Natural logarithm, minus infinity at zero, where Spark's is null."""
+    return F.when(c == 0, F.lit(float("-inf"))).otherwise(F.ln(c))
+
+
 def order() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("ts")
 
