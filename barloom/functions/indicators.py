@@ -183,7 +183,7 @@ def parkinson(n: int = 20) -> Stages:
 
 
 def garman_klass(n: int = 20) -> Stages:
-    x = 0.5 * F.pow(F.ln(_c("high") / _c("low")), 2) - (2 * math.log(2) - 1) * F.pow(F.ln(_c("close") / _c("open")), 2)
+    x = 0.5 * F.pow(R.log(R.ratio(_c("high"), _c("low"))), 2) - (2 * math.log(2) - 1) * F.pow(R.log(R.ratio(_c("close"), _c("open"))), 2)
     return [{"_x": x}, {"garman_klass": F.sqrt(F.greatest(R.mean("_x", n), F.lit(0.0)))}]
 
 
