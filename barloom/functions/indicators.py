@@ -179,7 +179,7 @@ def donchian(n: int = 20) -> Stages:
 
 
 def parkinson(n: int = 20) -> Stages:
-    return [{"_x": F.pow(F.ln(_c("high") / _c("low")), 2)}, {"parkinson": F.sqrt(R.mean("_x", n) / (4 * math.log(2)))}]
+    return [{"_x": F.pow(R.log(R.ratio(_c("high"), _c("low"))), 2)}, {"parkinson": F.sqrt(R.mean("_x", n) / (4 * math.log(2)))}]
 
 
 def garman_klass(n: int = 20) -> Stages:

@@ -25,7 +25,7 @@ def plain(v):
     return "nan" if v != v else float(f"{v:.6g}") if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["micro_cs_spread", "vol_garman_klass"])
+@pytest.mark.parametrize("name", ["micro_cs_spread", "vol_garman_klass", "vol_parkinson"])
 def test_query_equals_oracle_with_prices_of_zero(spark, odd, name):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{odd}/events.parquet'")
