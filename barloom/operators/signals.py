@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,21 +20,30 @@ def surges(bars: DataFrame, timeframe: str) -> DataFrame:
     return bars.withColumn("price_change", change).where(_c("price_change") >= (0.10 if timeframe == "12h" else 0.15))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often and in whatever lambda it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed_std(values: Column) -> Column:
     """Deviation (over n - 1) of an array's values within 1.5 interquartile ranges of the quartiles."""
     def at(v: Column, q: float) -> Column:
         place = (F.size(v) - 1) * F.lit(q)
         low = F.floor(place).cast("int")
         a, b = F.get(v, low), F.get(v, F.least(low + 1, F.size(v) - 1))
-        return a + (place - low) * (b - a)
+        return F.when((place == low) | (a == b), a).otherwise(a + (place - low) * (b - a))  # values may be infinite
+
+    def within(v: Column) -> Column:
+        bounds = lambda lo, hi: F.array(lo - 1.5 * (hi - lo), hi + 1.5 * (hi - lo))
+        return _bound(_bound(F.array(at(v, 0.25), at(v, 0.75)), lambda q: bounds(q[0], q[1])), lambda b: F.filter(v, lambda x: (x >= b[0]) & (x <= b[1])))
+
+    def deviation(kept: Column) -> Column:
+        n = F.size(kept)
+        mean = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / n
+        square = _bound(mean, lambda m: F.aggregate(kept, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
+        return F.when(n > 1, F.sqrt(square / (n - 1)))
 
-    v = F.array_sort(values)
-    lo, hi = at(v, 0.25), at(v, 0.75)
-    kept = F.filter(v, lambda x: (x >= lo - 1.5 * (hi - lo)) & (x <= hi + 1.5 * (hi - lo)))
-    n = F.size(kept)
-    mean = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / n
-    square = F.aggregate(kept, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return F.when(n > 1, F.sqrt(square / (n - 1)))
+    return _bound(_bound(F.array_sort(values), within), deviation)
 
 
 # How many deviations a bar's change may have, from eight bars before a signal to the one before.
@@ -45,7 +56,7 @@ def signal_class(bars: DataFrame, days: int = 10) -> DataFrame:
 
     Bounds are multiples of the trimmed deviation of the changes in the ``2 * days`` bars before.
     """
-    change = F.abs((_c("close") - _c("open")) / _c("open"))
+    change = F.abs(R.ratio(_c("close") - _c("open"), _c("open")))
     w = R.order()
     d = bars.withColumn("_x", change).withColumns({"_k": F.row_number().over(w) - 1, "_past": F.collect_list("_x").over(w.rowsBetween(-2 * days, -1))})
     d = d.withColumn("base_std", trimmed_std(_c("_past")))
