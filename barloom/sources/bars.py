@@ -53,8 +53,8 @@ def with_synthetic(bars: DataFrame) -> DataFrame:
     )
 
 
-def bar_faults(bars: DataFrame) -> DataFrame:
-    """Rows that break a bar's rules, with an array of the rules broken."""
+def bar_faults(bars: DataFrame, of: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows that break a bar's rules (all of them, or those named), with an array of the rules broken."""
     c = F.col
     rules = {
         "missing": F.greatest(*[c(k).isNull() for k in (*PRICES, "volume")]),
@@ -65,7 +65,7 @@ def bar_faults(bars: DataFrame) -> DataFrame:
         "ratio": (c("taker_ratio") < 0) | (c("taker_ratio") > 1),
         "repeated": F.count(F.lit(1)).over(Window.partitionBy("symbol", "ts")) > 1,
     }
-    named = F.array_compact(F.array(*[F.when(F.coalesce(p, F.lit(False)), F.lit(k)) for k, p in rules.items()]))
+    named = F.array_compact(F.array(*[F.when(F.coalesce(p, F.lit(False)), F.lit(k)) for k, p in rules.items() if of is None or k in of]))
     return bars.withColumn("faults", named).where(F.size("faults") > 0)
 
 

@@ -29,7 +29,7 @@ def plain(v):
     return "nan" if v != v else float(f"{v:.6g}") if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["micro_cs_spread", "vol_garman_klass", "vol_parkinson", "signal_class"])
+@pytest.mark.parametrize("name", ["micro_cs_spread", "vol_garman_klass", "vol_parkinson", "signal_class", "bars_validation"])
 def test_query_equals_oracle_with_prices_of_zero(spark, tmp_path, name):
     odd = events(tmp_path, OPENS if name == "signal_class" else ZEROS)
     con = duckdb.connect()
