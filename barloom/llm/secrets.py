@@ -14,12 +14,15 @@ the code points of the document that it came from, so found spans are spans of t
 document; what comes out of compressed bytes maps to the whole of the run that they were
 read from.
 
-Inflated bytes beyond ``HELD_BYTES`` are never held: they stream through the same scan in
-windows, which overlap by ``OVERLAP_BYTES`` or, if longer, by the base64 run that goes on
-over the window's end, up to ``HELD_BYTES``.  As all of them map to one span, what is found
-is whole; memory is bounded, and time follows the size of what is inflated.  (Of a base64 run
-over ``HELD_BYTES`` inside such a stream, text is read throughout, but a compressed stream in it only as
-far as one window holds it.)
+Compressed bytes are first read to their end, which gives their place and a digest of what
+they inflate to, and then scanned; so neither depends on the size.  Inflated bytes beyond
+``HELD_BYTES`` are never held: they are inflated again and go through the same scan in
+windows, which overlap by ``OVERLAP_BYTES`` or, if longer, by the base64 or escaped run that goes on
+over the window's end, up to ``HELD_BYTES``.  Compressed bytes among them are read on over
+a window's end.  Memory is bounded, and time follows the size of what is inflated.  (What windows can't hold
+still differs from a held scan: of a base64 or escaped run over ``HELD_BYTES`` inside such a stream, or one over
+``OVERLAP_BYTES`` with blanks or other punctuation in it, text is read throughout, but a compressed stream in it
+only as far as one window holds it; and a window may begin within a match of a shorter key word.)
 
 Defined cases: a null text is empty; each row is scanned by itself, so repeated rows and
 ids agree; extra columns are ignored.
@@ -34,7 +37,7 @@ import re
 import unicodedata
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +72,11 @@ _PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _UTF8 = re.compile(rb"(?:[\x09\x0a\x0d\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){%d,}" % LEAST_TEXT)
 _UTF16 = re.compile(rb"(?:[\x09\x0a\x0d\x20-\x7e]\x00){%d,}|(?:\x00[\x09\x0a\x0d\x20-\x7e]){%d,}" % (LEAST_TEXT, LEAST_TEXT))
 _SPACES = re.compile(rb"\x20{65,}")
-_OPEN_RUN = re.compile(rb"[A-Za-z0-9+/_=\r\n-]+\Z")
+_OPEN_RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.~%\\\r\n"
+"""Bytes of base64 over lines and of escapes."""
 
+Source = Callable[[], Iterator[bytes]]
+"""Gives the same bytes, a piece at a time, whenever it is called."""
 Span = tuple[int, int, int]
 """Start, kind (index into KINDS), end: sorts as the contract lists."""
 
@@ -158,19 +164,21 @@ def _inflating(pieces: Iterator[bytes], used: list[int]) -> Iterator[bytes]:
     ``used`` becomes how many bytes they took, if the last stream came to its end, and else stays empty.
     """
     z, taken, ended, made = zlib.decompressobj(47), 0, False, False
+    pad, rest = 0, b""
     for piece in pieces:
-        data = piece
+        data, rest = rest + piece if rest else piece, b""
         while data:
             if ended:  # zeros may pad members; anything else is not theirs
                 rest = data.lstrip(b"\0")
-                if not rest:
+                pad += len(data) - len(rest)
+                if len(rest) < 3:  # a member's header may go on in the next piece
                     break
                 if not _packed(rest):
                     used.append(taken)
                     return
                 z, ended = zlib.decompressobj(47), False
-                taken += len(data) - len(rest)
-                data = rest
+                taken, pad = taken + pad, 0
+                data, rest = rest, b""
             try:
                 out = z.decompress(data, WINDOW_BYTES)
             except zlib.error:
@@ -218,6 +226,27 @@ def _texts(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
             yield text, first, first + 2
 
 
+def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The same bytes in pieces of at least ``WINDOW_BYTES``."""
+    held, size = [], 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size >= WINDOW_BYTES:
+            yield b"".join(held)
+            held, size = [], 0
+    if held:
+        yield b"".join(held)
+
+
+def _from(pieces: Iterator[bytes], at: int) -> Iterator[bytes]:
+    """The bytes from place ``at`` on; nothing is read before they are asked for."""
+    for piece in pieces:
+        if at < len(piece):
+            yield piece[at:]
+        at = max(0, at - len(piece))
+
+
 def _spread(text: str, span: tuple[int, int]) -> Layer:
     """A layer whose every character maps to the whole span."""
     return Layer(text, np.broadcast_to(np.int64(span[0]), len(text)), np.broadcast_to(np.int64(span[1]), len(text)))
@@ -264,10 +293,14 @@ class Scan:
     def __init__(self, text: str, base: list[Span]) -> None:
         self.spans, self.seen, self.met = set(base), set(), set()
         self.todo: deque[Layer] = deque([Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))])
+        self.inside: list[tuple[bytes, tuple[int, int]]] = []
         self.text = text
 
     def run(self) -> list[Span]:
-        while self.todo:
+        while self.todo or self.inside:
+            if self.inside:
+                self.inner(*self.inside.pop())
+                continue
             layer = self.todo.popleft()
             key = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), int(layer.start[0]) if len(layer.start) else 0
             if key in self.seen:
@@ -344,59 +377,71 @@ class Scan:
 
     def packed(self, raw: bytes, span) -> int:
         """Take what is in compressed bytes; ``span`` tells the place of the first ``n`` of them (0: all). Gives how many they were, if they came to an end."""
-        if not _packed(raw):
-            return 0
+        return self.inflated(lambda: iter([raw]), span) if _packed(raw) else 0
+
+    def inflated(self, source: Source, span) -> int:
+        """Like :meth:`packed`, of bytes that can be read more than once: first all of them for their end, and so their place, whatever they inflate to."""
         used: list[int] = []
-        pieces = _inflating(iter([raw]), used)
-        held, size = [], 0
-        for piece in pieces:
-            held.append(piece)
+        held, size, digest = [], 0, hashlib.sha256()
+        for piece in _inflating(source(), used):
             size += len(piece)
+            digest.update(piece)
+            held.append(piece)
             if size > HELD_BYTES:
-                place = span(0)  # its end is not known before all of it was read
-                self.stream(itertools.chain(held, pieces), place)
-                return used[0] if used else 0
+                held.clear()
+        took = used[0] if used else 0
         if size:
-            took = used[0] if used else 0
-            self.inner(b"".join(held), span(took))
-            return took
-        return 0
+            place = span(took)
+            key = digest.digest(), place
+            if key not in self.met:
+                self.met.add(key)
+                if size <= HELD_BYTES:
+                    self.inside.append((b"".join(held), place))
+                else:
+                    self.stream(lambda: _inflating(source(), []), place)
+        return took
 
     def inner(self, raw: bytes, place: tuple[int, int]) -> None:
-        """Take inflated bytes that are held: compressed ones again, or the texts in them."""
-        key = hashlib.sha256(raw).digest(), place
-        if key in self.met:
-            return
-        self.met.add(key)
-        if _packed(raw) and self.packed(raw, lambda n: place):
-            return
+        """Take inflated bytes that are held: the compressed ones in them, and the texts."""
+        end = 0
+        for m in _PACKED.finditer(raw):
+            if m.start() >= end:
+                end = m.start() + self.packed(memoryview(raw)[m.start() :], lambda n: place)
         self.todo += [_spread(text, place) for text, _, _ in _texts(raw)]
 
-    def stream(self, pieces: Iterator[bytes], place: tuple[int, int]) -> None:
-        """Scan inflated bytes of any size in windows; all of them map to one place."""
-        first = next(pieces, b"")
-        while _packed(first):
-            key = hashlib.sha256(first[:OVERLAP_BYTES]).digest(), place
-            if key in self.met:
-                return
-            self.met.add(key)
-            inside = _inflating(itertools.chain([first], pieces), [])
-            got = next(inside, b"")
-            if not got:
-                break
-            first, pieces = got, inside
-        tail, last = b"", b""
-        for piece in itertools.chain([first], pieces):
+    def stream(self, source: Source, place: tuple[int, int]) -> None:
+        """Take inflated bytes of any size in windows, like :meth:`inner`; all of them map to one place.
+
+        Compressed bytes that go on over a window's end are read on from the source.
+        """
+        tail, last, raw, at, end, pieces = b"", b"", b"", 0, 0, _windows(source())
+        piece = next(pieces, b"")
+        while piece:
+            after = next(pieces, b"")
             window = tail + _SPACES.sub(b" " * 64, piece)
             if window != last:  # a bomb repeats itself
                 last = window
-                below = Scan("", [])
-                below.met, below.todo = self.met, deque(_spread(text, place) for text, _, _ in _texts(window))
-                for m in _PACKED.finditer(window):
-                    below.packed(window[m.start() :], lambda n: place)
-                self.spans |= set(below.run())
-            run = _OPEN_RUN.search(window, max(0, len(window) - HELD_BYTES))
-            tail = window[min(len(window) - min(len(window), OVERLAP_BYTES), run.start() if run else len(window)) :]
+                self.below([_spread(text, place) for text, _, _ in _texts(window)])
+            raw += piece
+            ahead = at + len(raw)
+            whole = max(0, len(raw) - OVERLAP_BYTES) if after else len(raw)
+            for m in _PACKED.finditer(raw):
+                if m.start() >= whole:
+                    break
+                if at + m.start() >= end:
+                    rest = memoryview(raw)[m.start() :]
+                    end = at + m.start() + self.below([], lambda: itertools.chain([rest], _from(source(), ahead)), place)  # noqa: B023
+            at, raw = at + whole, raw[whole:]
+            kept = max(len(window.rstrip(_OPEN_RUN)), len(window) - HELD_BYTES)
+            tail, piece = window[min(max(0, len(window) - OVERLAP_BYTES), kept) :], after
+
+    def below(self, layers: list[Layer], source: Source | None = None, place: tuple[int, int] = (0, 0)) -> int:
+        """Scan layers and compressed bytes at once, so that none of them are kept."""
+        scan = Scan("", [])
+        scan.met, scan.todo = self.met, deque(layers)
+        took = scan.inflated(source, lambda n: place) if source else 0
+        self.spans |= set(scan.run())
+        return took
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:
