@@ -445,9 +445,11 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bloc
     parts = partitions(docs.sparkSession)
     entries = docs.select("text").transform(in_batches, _prefixes(width, percent, hot), "token long, salt int, sig long, n int")
     listed = entries.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "sig")
-    shared = listed.transform(in_batches, _shared_only, "sig long, n int, token long, size long")
+    shared = keep(listed.transform(in_batches, _shared_only, "sig long, n int, token long, size long"), "shared")  # the shuffle of all lists ends here
     entries = shared.repartition(parts, "sig").sortWithinPartitions("sig", "size", "token").transform(in_batches, _rarest, "token long, salt int, sig long")
-    return linked_groups(docs, profile, entries, width, percent, block_shingles)
+    groups = linked_groups(docs, profile, entries, width, percent, block_shingles)
+    discard(docs.sparkSession, shared)
+    return groups
 
 
 def linked_groups(docs: DataFrame, profile: DataFrame, entries: DataFrame, width: int, percent: int, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 """Bytes of a batch that goes to a Python worker."""
 _BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SMALL_ROWS = 1 << 16
 """Rows of ids (16 bytes each) up to which a table is worked on in one task."""
 _made: dict[str, str] = {}
@@ -47,10 +48,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Have Spark delete the shuffles of each query that runs within as the query ends, not when the driver happens to collect its plan."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage."""
+    """Write a table to the shared folder and read it again: cuts the lineage, and the shuffles behind it are deleted."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept._barloom_path = path
     return kept
@@ -85,9 +101,9 @@ def gathered(kept: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def discard(spark: SparkSession, *kept: DataFrame) -> None:
-    """Delete tables of :func:`keep` that no later step reads, and let Spark drop the shuffles behind them.
+    """Delete tables of :func:`keep` that no later step reads, and ask for a collection.
 
-    Spark removes a shuffle's files once the driver has collected the plan that made it.
+    Shuffles of counts and other actions go only once the driver has collected their plans; those behind :func:`keep` are gone already.
     """
     for df in kept:
         remove(spark, df._barloom_path)
